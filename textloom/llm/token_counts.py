@@ -33,8 +33,9 @@ def _tokenizer(path: str):
     got = worker_cache("tokenizers")
     if path not in got:
         import json
+        import re
+        import unicodedata
 
-        import regex
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
@@ -43,19 +44,30 @@ def _tokenizer(path: str):
         kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers") or []]
         fits = (first.get("pattern") or {}).get("Regex") == PATTERN and kinds == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix") == "</w>"
         special = [a["content"] for a in spec["added_tokens"]]
-        got[path] = t, regex.compile(PATTERN).findall if fits else None, regex.compile(PLAIN).fullmatch, special
+        # over plain texts, explicit classes say the same as the file's Unicode classes and match faster
+        plain = [c for c in map(chr, range(0x30, 0x180)) if re.fullmatch(PLAIN, c)]
+        of = lambda kind: "".join(c for c in plain if unicodedata.category(c)[0] == kind)
+        split = re.compile(PATTERN.replace(r"\p{L}", of("L")).replace(r"\p{N}", of("N"))).findall
+        got[path] = t, split if fits else None, re.compile(PLAIN).fullmatch, special
     return got[path]
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte value: printable Latin-1 for itself, the others from U+0100 on in turn."""
+    shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 class Lengths(dict):
     """Tier two: pre-token -> number of tokens; a miss is encoded and kept, within ``bound`` entries."""
 
     def __init__(self, table: dict, tokenizer, bound: int):
         super().__init__(table)
-        self.table, self.tokenizer, self.bound = table, tokenizer, bound
+        self.table, self.encode, self.bound, self.letters = table, tokenizer.model.tokenize, bound, dict(enumerate(_byte_letters()))
 
     def __missing__(self, token: str) -> int:
-        n = len(self.tokenizer.encode(token, add_special_tokens=False).ids)
+        n = len(self.encode(token if token.isascii() else token.encode().decode("latin-1").translate(self.letters)))
         if len(self) >= self.bound:
             self.clear()
             self.update(self.table)
