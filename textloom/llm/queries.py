@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import MIX_SQL, mix
+from .ngram_automaton import score_texts
 from .simhash_dedup import near_duplicates
 from .token_counts import token_counts
 
@@ -20,6 +21,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.element_at("lanes", 1)), 16, "0")).alias("fingerprint"), "component_id")
@@ -29,5 +34,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op9_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_lm_scores, op9_simhash, op10_mixing)}
 SQL = {"op10_mixing": MIX_SQL}
