@@ -9,6 +9,7 @@ from .common import crc_bucket
 from .license_scan import scan
 from .mixing import MIX_SQL, mix
 from .ngram_automaton import score_texts
+from .onebit_ann import NEAREST_SQL, nearest
 from .quality_fm import fit, score
 from .simhash_dedup import near_duplicates
 from .token_counts import token_counts
@@ -38,6 +39,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.element_at("lanes", 1)), 16, "0")).alias("fingerprint"), "component_id")
@@ -47,5 +53,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_lm_scores, op4_license_scan, op9_simhash, op10_mixing)}
-SQL = {"op10_mixing": MIX_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_lm_scores, op4_license_scan, op8_nearest, op9_simhash, op10_mixing)}
+SQL = {"op8_nearest": NEAREST_SQL, "op10_mixing": MIX_SQL}
