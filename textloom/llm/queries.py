@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_bucket
+from .decontamination import leaks
 from .license_scan import scan
 from .mixing import MIX_SQL, mix
 from .ngram_automaton import score_texts
@@ -13,6 +14,7 @@ from .onebit_ann import NEAREST_SQL, nearest
 from .quality_fm import fit, score
 from .simhash_dedup import near_duplicates
 from .token_counts import token_counts
+from .url_graph import judge
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,14 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "pages"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
@@ -53,5 +63,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_lm_scores, op4_license_scan, op8_nearest, op9_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_lm_scores, op4_license_scan, op5_url_filter, op7_decontamination, op8_nearest, op9_simhash, op10_mixing)}
 SQL = {"op8_nearest": NEAREST_SQL, "op10_mixing": MIX_SQL}
