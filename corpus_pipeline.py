@@ -1,8 +1,67 @@
-"""The corpus pipeline: stages over documents, each written and reread by the next."""
+"""From raw documents to a training mix: each stage works on all that its predecessor kept.
 
-STAGES = []
+STAGES lists (name, function). A function takes (spark, docs, sf_dir) and returns a DataFrame; all
+but the last return the columns of documents. Thresholds are parameters of the operators; those that
+differ from their defaults are set here.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm.common import Stage
+from textloom.llm.decontamination import decontaminated
+from textloom.llm.mixing import mix
+from textloom.llm.quality_fm import fit, score
+from textloom.llm.simhash_dedup import deduplicated
+from textloom.llm.suffix_dedup import without_repeats
+
+#: Bytes of a repeated passage: 50 words take about 320, and hardly ever fewer than this.
+PASSAGE = 250
+#: Hashings of a text's words; two texts are near copies if any of them differs in two bits or fewer.
+LANES = 8
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    names = docs.columns
+    return score(docs, model, carry=tuple(c for c in names if c != "doc_id")).where("predicted = 1").select(*names)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return deduplicated(docs, shingle=1, distinct=True, lanes=LANES)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of passages that stand elsewhere too are cut from the texts; n_chars follows."""
+    out = without_repeats(docs, length=PASSAGE)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, and when."""
+    return mix(docs)
+
+
+STAGES = [("quality", quality), ("simhash", near_copies), ("suffix", passages), ("benchmark", benchmark), ("mixing", mixing)]
+#: The classifier, fingerprints, repeated bytes and tiles have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each one's result written and reread."""
+    stage = Stage(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, function) in enumerate(STAGES):
+        docs = function(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stage.put(docs)
+    return docs

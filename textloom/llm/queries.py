@@ -13,6 +13,7 @@ from .ngram_automaton import score_texts
 from .onebit_ann import NEAREST_SQL, nearest
 from .quality_fm import fit, score
 from .simhash_dedup import near_duplicates
+from .suffix_dedup import kept_digests
 from .token_counts import token_counts
 from .url_graph import judge
 
@@ -45,6 +46,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_digests(_table(spark, sf_dir, "documents"), length=400).drop("spans")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -63,5 +68,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_lm_scores, op4_license_scan, op5_url_filter, op7_decontamination, op8_nearest, op9_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_lm_scores, op4_license_scan, op5_url_filter, op6_suffix_dedup, op7_decontamination, op8_nearest, op9_simhash, op10_mixing)}
 SQL = {"op8_nearest": NEAREST_SQL, "op10_mixing": MIX_SQL}
