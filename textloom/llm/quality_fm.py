@@ -91,7 +91,9 @@ def train(rows: list[tuple[list[int], list[float]]], y: list[int], rank: int = 8
     w0, w, v = float(np.log(p / (1 - p))), np.zeros(size), rng.normal(0, 0.05, (size, rank))
     stats = np.array([s for _, s in rows], float).reshape(len(rows), N_STATS)
     mean, scale = (stats.mean(axis=0), stats.std(axis=0) + 1e-6) if rows else (np.zeros(N_STATS), np.ones(N_STATS))
-    if len(set(y)) == 2:
+    if len(set(y)) < 2:
+        v[:] = 0
+    else:
         g0, gw, gv, target = 1e-6, np.full(size, 1e-6), np.full((size, rank), 1e-6), np.array(y, float)
         for _ in range(epochs):
             order = rng.permutation(len(rows))
