@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     names = docs.columns
-    return score(docs, model, carry=tuple(c for c in names if c != "doc_id")).where("predicted = 1").select(*names)
+    return score(docs, model, carry=tuple(c for c in names if c != "doc_id"), names=("_score", "_predicted")).where("_predicted = 1").select(*names)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

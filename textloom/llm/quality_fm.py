@@ -142,15 +142,15 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = 12_000, folds: int = 5,
     return train([(sorted(w), s) for w, s in zip(got["words"], got["stats"])], got["y"])
 
 
-def score(df: DataFrame, model: dict, threshold: float = 0.3, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score, predicted (and the columns ``carry``) for every row.
+def score(df: DataFrame, model: dict, threshold: float = 0.3, carry: tuple[str, ...] = (), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """doc_id, score, predicted (by these or other ``names``) and the columns ``carry`` for every row.
 
     Null text counts as empty and gets a score like any other; null or repeated doc_ids keep their
     rows; without usable labels every score is 0.5. n_chars may be null or absent (then the text's
     bytes stand for it). Empty input: no rows. Other columns are ignored.
     """
     shared, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    names = ["doc_id", *carry]
+    held = ["doc_id", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -170,9 +170,9 @@ def score(df: DataFrame, model: dict, threshold: float = 0.3, carry: tuple[str,
                     z.append(_forward(np, m["w0"], m["w"], m["v"], *_design(np, part, m["mean"], m["scale"]))[0])
                     part, size = [], 0
             p = 1 / (1 + np.exp(-np.clip(np.concatenate(z), -40, 40))) if z else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*(b.column(i + 2) for i in range(len(names))), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i + 2) for i in range(len(held))), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*held, *names])
 
-    kinds = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+    kinds = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in held)
     n = F.col("n_chars").cast("long") if "n_chars" in df.columns else F.lit(None).cast("long")
-    rows = df.select(F.coalesce("text", F.lit("")).cast("binary").alias("_text"), n.alias("_n"), *names)
-    return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
+    rows = df.select(F.coalesce("text", F.lit("")).cast("binary").alias("_text"), n.alias("_n"), *held)
+    return rows.mapInArrow(run, f"{kinds}, `{names[0]}` double, `{names[1]}` int")
