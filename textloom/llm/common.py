@@ -97,3 +97,13 @@ def connected_components(stage: Stage, edges: DataFrame) -> DataFrame:
                 e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
         state = now
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], salt, n: int = 16, how: str = "left") -> DataFrame:
+    """A join for keys that may hold a third of left: its rows are dealt over ``n`` tasks a key by a hash of ``salt``.
+
+    right, small beside left and with one row a key, is repeated n times.
+    """
+    a = left.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(n)).cast("int"))
+    b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return a.join(b, [*keys, "_salt"], how).drop("_salt")

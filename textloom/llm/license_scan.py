@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .common import spread_join
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that count wherever their words stand consecutively.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -92,7 +94,7 @@ def scan(df: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple
         F.array_join(F.sort_array(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"), F.max("share").alias("score"),
     )
-    out = docs.select("doc_id", "_text", F.size("_w").cast("long").alias("n_words")).join(found, "_text", "left")
+    out = spread_join(docs.select("doc_id", "_text", F.size("_w").cast("long").alias("n_words")), found, ["_text"], F.col("doc_id"))
     none = F.lit("")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
