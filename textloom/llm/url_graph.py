@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, ascii_lower
+from .common import Stage, ascii_lower, spread_join
 
 #: Fixed values: (verdict, rule).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -75,7 +75,7 @@ def judge(df: DataFrame, rules=RULES, damping: float = 0.85, rounds: int = 20, c
     pages = stage.put(df.select("page_id", host.alias("host"), path.alias("path"), F.filter(F.transform(to, lambda x: ascii_lower(F.regexp_extract(x, r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]+)", 1))), lambda x: x != "").alias("links")))
     named = pages.where("host <> ''")
     fitting = host_rules(named.select("host").distinct(), rules)
-    ruled = pages.select("page_id", "host", "path").join(fitting, "host", "left")
+    ruled = spread_join(pages.select("page_id", "host", "path"), fitting, ["host"], F.struct("page_id", "path"))
     hit = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(0))
     ruled = stage.put(ruled.select("page_id", "host", "path", hit["rule"].alias("rule"), hit["verdict"].alias("verdict")))
 
@@ -88,5 +88,5 @@ def judge(df: DataFrame, rules=RULES, damping: float = 0.85, rounds: int = 20, c
     scores = spread(stage, start, edges, damping, rounds, close)
     per_page = F.col("distrust") * F.lit(float(bad)) - F.col("trust") * F.lit(float(good))
     hosts = scores.join(nodes.where("pages > 0").select("host", "pages"), "host").select("host", F.when(per_page / F.col("pages") > threshold, "block").otherwise("allow").alias("host_verdict"))
-    out = ruled.join(hosts, "host", "left")
+    out = spread_join(ruled, hosts, ["host"], F.struct("page_id", "path"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "host_verdict", F.lit("allow")).alias("verdict"))
