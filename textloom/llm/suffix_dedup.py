@@ -282,7 +282,8 @@ class Repeats:
         self.of = picked.select("doc_id", "text_key", "n_bytes", "sha256")
         distinct = stage.put(picked.groupBy("text_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("n_bytes").alias("n_bytes"), F.first("pos").alias("pos"), F.first("hash").alias("hash")))
         at = distinct.select("text_key", F.inline(F.arrays_zip("pos", "hash")).alias("pos", "h"))
-        twice = at.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+        # written first: beside an aggregate of its own stage, the join couldn't split an anchor that many texts hold
+        twice = stage.put(at.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
         places = at.join(twice, "h", "left_semi").groupBy("text_key").agg(F.collect_list(F.struct("pos", "h")).alias("places"))
         places = places.join(distinct.select("text_key", "rep"), "text_key")
         # one row of equal texts is enough; of repeated rows of one id, all come and count once below
