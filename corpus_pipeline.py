@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Stage
+from textloom.llm.common import Stage, small_batches
 from textloom.llm.decontamination import decontaminated
 from textloom.llm.mixing import mix
 from textloom.llm.quality_fm import fit, score
@@ -25,6 +25,7 @@ LANES = 8
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    small_batches(spark)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     names = docs.columns
     return score(docs, model, carry=tuple(c for c in names if c != "doc_id"), names=("_score", "_predicted")).where("_predicted = 1").select(*names)
@@ -32,17 +33,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    small_batches(spark)
     return deduplicated(docs, shingle=1, distinct=True, lanes=LANES)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that stand elsewhere too are cut from the texts; n_chars follows."""
+    small_batches(spark)
     out = without_repeats(docs, length=PASSAGE)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    small_batches(spark)
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -28,7 +28,7 @@ class Buckets(dict):
     """Word -> hash bucket, kept by the worker within a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = got = zlib.crc32(word) % BUCKETS
         return got

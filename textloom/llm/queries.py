@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket
+from .common import crc_bucket, small_batches
 from .decontamination import leaks
 from .license_scan import scan
 from .mixing import MIX_SQL, mix
@@ -19,6 +19,7 @@ from .url_graph import judge
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
