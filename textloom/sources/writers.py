@@ -28,7 +28,7 @@ def write_qrels_map(qrels: DataFrame, path: str, parts: int = 1) -> None:
     """Lines that are JSON objects {qid: {doc_id: grade}}."""
     inner = qrels.groupBy("qid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("doc_id", "rel")))).alias("docs"))
     inner = inner.withColumn("_p", F.pmod(F.xxhash64("qid"), F.lit(parts)))
-    inner.groupBy("_p").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("qid", "docs"))))).alias("value")).select("value").write.mode("overwrite").text(path)
+    inner.groupBy("_p").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("qid", "docs")))).alias("value")).select("value").write.mode("overwrite").text(path)
 
 
 def write_once(spark: SparkSession, make: Callable[[], DataFrame], path: str) -> DataFrame:
