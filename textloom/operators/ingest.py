@@ -98,6 +98,7 @@ def stratified_sample(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, r
     Queries by tertile of num_qrels and of avg_rel_len; all their known relevant documents stay; if
     those are fewer than ceil(N * ratio), each length bin is topped up to its own share.
     """
+    corpus, qrels = corpus.select("doc_id", "n_words").persist(), qrels.persist()  # ids and numbers, read by several jobs
     features = binned(binned(query_features(queries, qrels, corpus), "num_qrels", "_a"), "avg_rel_len", "_b")
     picked = sample_strata(features, "qid", ["_a", "_b"], ratio, seed).select("qid")
     docs = binned(corpus.select("doc_id", "n_words"), "n_words", "_bin")
