@@ -100,3 +100,33 @@ def scan(df: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", none).alias("base_labels"), F.coalesce("labels", none).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )
+
+
+def _sql_rows() -> str:
+    rows = []
+    for t, (label, text, base) in enumerate([(v, k, True) for k, v in PHRASES.items()] + [(a, b, False) for a, b in TEMPLATES]):
+        words = text.split()
+        k = min(K, len(words))
+        for p in range(len(words) - k + 1):
+            own = ", ".join([f"'{w}'" for w in words[p : p + k]] + ["NULL"] * (K - k))
+            rows.append(f"({t}, '{label}', {base}, {len(words)}, {len(words) - k + 1}, {p}, {own})")
+    return ", ".join(rows)
+
+
+#: DuckDB SQL for the rows of ``op4_license_scan``.
+SCAN_SQL = rf"""
+WITH t AS (SELECT * FROM (VALUES {_sql_rows()}) AS v(template, label, base, length, grams, place, t1, t2, t3, t4)),
+d AS (SELECT doc_id, md5(coalesce(text, '')) AS k,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT k, p - 1 AS pos, w[p] AS w1, w[p + 1] AS w2, w[p + 2] AS w3, w[p + 3] AS w4 FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS p FROM (SELECT k, any_value(w) AS w FROM d GROUP BY k))),
+h AS (SELECT k, template, label, base, length, grams, pos - place AS diagonal, pos FROM g JOIN t ON t1 = w1 AND t2 = w2 AND (t3 IS NULL OR t3 = w3) AND (t4 IS NULL OR t4 = w4)),
+v AS (SELECT k, template, label, base, length, grams, diagonal, count(DISTINCT pos) AS votes, min(pos) AS lo, max(pos) AS hi FROM h GROUP BY ALL),
+n AS (SELECT *, CASE WHEN base OR grams = 1 OR coalesce(lo - lag(hi) OVER o > 8 OR abs(diagonal - lag(diagonal) OVER o) > 3, true) THEN 1 ELSE 0 END AS fresh FROM v WINDOW o AS (PARTITION BY k, template ORDER BY lo, diagonal)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY k, template ORDER BY lo, diagonal ROWS UNBOUNDED PRECEDING) AS span FROM n),
+m AS (SELECT k, template, label, base, length, grams, span, least(CAST(sum(votes) AS DOUBLE) / grams, 1) AS share, min(s.lo) AS lo, max(s.hi) AS hi FROM s GROUP BY k, template, label, base, length, grams, span),
+f AS (SELECT * FROM m WHERE base AND share >= 1 OR NOT base AND share >= 0.6 AND hi - lo + least(length, 4) <= 2 * length),
+r AS (SELECT k, count(*) FILTER (base) AS n_base, min(f.lo) FILTER (f.base) AS first_word, max(f.lo) FILTER (f.base) AS last_word,
+  array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(share) AS score FROM f GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score FROM d LEFT JOIN r USING (k)
+"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_bucket, small_batches
 from .decontamination import leaks
-from .license_scan import scan
+from .license_scan import SCAN_SQL, scan
 from .mixing import MIX_SQL, mix
 from .ngram_automaton import score_texts
 from .onebit_ann import NEAREST_SQL, nearest
@@ -70,4 +70,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_lm_scores, op4_license_scan, op5_url_filter, op6_suffix_dedup, op7_decontamination, op8_nearest, op9_simhash, op10_mixing)}
-SQL = {"op8_nearest": NEAREST_SQL, "op10_mixing": MIX_SQL}
+SQL = {"op4_license_scan": SCAN_SQL, "op8_nearest": NEAREST_SQL, "op10_mixing": MIX_SQL}
