@@ -60,6 +60,14 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk(docs(spark, d))
 
 
+@lru_cache(maxsize=2)
+def indexed(spark: SparkSession, d: str) -> tuple[DataFrame, bm25.Bm25Index]:
+    """Chunks and their BM25 index, built once a session and folder, as an index is."""
+    c = chunks(spark, d).persist()
+    postings = bm25.term_frequencies(c).persist()
+    return c, bm25.Bm25Index.of(c, postings)
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
 
@@ -337,7 +345,7 @@ def corpus_statistics(spark, d):
 
 @query(f"WITH {SQL_POSTINGS}, {SQL_ITEM_TOKENS}, {sql_bm25('bq', 'qid', 10)} SELECT qid, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM bm")
 def bm25_search(spark, d):
-    return bm25.Bm25Index.fit(chunks(spark, d)).search(bm25.query_tokens(items(spark, d)).select("qid", "tokens"), 10)
+    return indexed(spark, d)[1].search(bm25.query_tokens(items(spark, d)).select("qid", "tokens"), 10)
 
 
 # ---- dense search and fusion ----------------------------------------------------------------------------------
@@ -364,8 +372,9 @@ bl AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score
 
 
 def _lists(spark, d):
-    found = bm25.Bm25Index.fit(chunks(spark, d)).search(bm25.query_tokens(items(spark, d)).select("qid", "tokens"), 100)
-    pooled = fusion.to_documents(found, chunks(spark, d).select("chunk_id", "doc_id")).select("qid", F.col("doc_id").alias("chunk_id"), "score", "rank")
+    c, index = indexed(spark, d)
+    found = index.search(bm25.query_tokens(items(spark, d)).select("qid", "tokens"), 100)
+    pooled = fusion.to_documents(found, c.select("chunk_id", "doc_id")).select("qid", F.col("doc_id").alias("chunk_id"), "score", "rank")
     return pooled, dense.search(vectors(spark, d), vector_queries(spark, d), 100)
 
 
@@ -390,15 +399,15 @@ u AS (SELECT qid, variant, chunk_id, rank FROM bm UNION ALL SELECT qid, 0, chunk
 {sql_rrf('u', 'qid, variant', 50, 'one')}, {sql_rrf('one', 'qid', 20, 'two')} SELECT qid, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM two""")
 def two_level_rrf(spark, d):
     flat = R.variants(R.understand(items(spark, d), 3, by_intent=False))
-    sparse = bm25.Bm25Index.fit(chunks(spark, d)).search(bm25.query_tokens(flat).select("qid", "variant", "tokens"), 50, ["qid", "variant"])
+    sparse = indexed(spark, d)[1].search(bm25.query_tokens(flat).select("qid", "variant", "tokens"), 50, ["qid", "variant"])
     close = dense.search(vectors(spark, d), vector_queries(spark, d), 50).withColumn("variant", F.lit(0))
     return fusion.two_level([sparse, close], top=50).where("rank <= 20")
 
 
 @query(f"WITH {SQL_POSTINGS}, {SQL_ITEM_TOKENS}, {sql_bm25('bq', 'qid', 100)} SELECT qid, doc_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (SELECT qid, split_part(chunk_id, '__', 1) AS doc_id, max(score) AS score FROM bm GROUP BY ALL)")
 def max_pool_documents(spark, d):
-    c = chunks(spark, d)
-    return fusion.to_documents(bm25.Bm25Index.fit(c).search(bm25.query_tokens(items(spark, d)).select("qid", "tokens"), 100), c)
+    c, index = indexed(spark, d)
+    return fusion.to_documents(index.search(bm25.query_tokens(items(spark, d)).select("qid", "tokens"), 100), c)
 
 
 # ---- query understanding ---------------------------------------------------------------------------------------
@@ -469,8 +478,8 @@ ce AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sco
 
 
 def _ce(spark, d):
-    c = chunks(spark, d)
-    found = bm25.Bm25Index.fit(c).search(bm25.query_tokens(items(spark, d)).select("qid", "tokens"), 30)
+    c, index = indexed(spark, d)
+    found = index.search(bm25.query_tokens(items(spark, d)).select("qid", "tokens"), 30)
     return rerank.cross_encoder(found, items(spark, d), c, k=10), c
 
 
@@ -567,8 +576,8 @@ hn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS pos FROM
 
 
 def _hard(spark, d):
-    c = chunks(spark, d)
-    run = bm25.Bm25Index.fit(c).search(bm25.query_tokens(items(spark, d)).select("qid", "tokens"), 52)
+    c, index = indexed(spark, d)
+    run = index.search(bm25.query_tokens(items(spark, d)).select("qid", "tokens"), 52)
     return mining.hard_negatives(R.enrich(run, c).select("qid", "chunk_id", "doc_id", "rank"), judged(spark, d)), c, run
 
 
@@ -699,8 +708,8 @@ def _chunk_vectors(spark, d, c):
 
 @lru_cache(maxsize=4)
 def _corpus(spark, d) -> R.Corpus:
-    c = chunks(spark, d)
-    return R.Corpus(c, bm25.Bm25Index.fit(c), _chunk_vectors(spark, d, c))
+    c, index = indexed(spark, d)
+    return R.Corpus(c, index, _chunk_vectors(spark, d, c))
 
 
 @query()
