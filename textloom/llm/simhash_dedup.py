@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, connected_components
+from .common import Stage, connected_components, spread_join
 
 SEED = 42
 #: Odd multipliers that turn one hash into those of further lanes: the k-th odd number times this one.
@@ -137,7 +137,7 @@ def near_duplicates(df: DataFrame, shingle: int = 3, distinct: bool = False, lan
     units = units.select("unit", "low").join(found.withColumnRenamed("node", "unit"), "unit", "left")
     units = stage.put(units.withColumn("component", F.coalesce("component", "unit")))
     lows = units.groupBy("component").agg(F.min("low").alias("component_id"))
-    units = units.join(lows, "component").select("unit", "component_id")
+    units = spread_join(units, lows, ["component"], F.col("unit")).select("unit", "component_id")
     return docs.join(units, "unit").select("doc_id", "lanes", "component_id")
 
 
