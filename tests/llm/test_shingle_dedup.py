@@ -1,0 +1,68 @@
+"""Near copies against the brute-force Jaccard similarity of all pairs."""
+
+import random
+from itertools import combinations
+
+import corpus_pipeline
+from textloom.llm.shingle_dedup import near_copies
+
+
+def grams(text):
+    w = text.lower().split()
+    k = min(5, len(w))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+
+
+def brute(rows):
+    own = {i: grams(t or "") for i, t in rows}
+    up = {i: i for i in own}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in combinations(own, 2):
+        both = len(own[a] & own[b])
+        if 5 * both >= 4 * (len(own[a]) + len(own[b]) - both):
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+    return {i: top(i) for i in own}
+
+
+def variants(n=14):
+    """Copies around 0.8: cut, appended to, reordered, scattered edits; and texts that share half."""
+    rng, rows = random.Random(1), []
+    for _ in range(n):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice((60, 200, 900)))]
+        size = len(base)
+        made = [base, *(base[: int(size * x)] for x in (0.95, 0.9, 0.83, 0.79, 0.7)), *(base + [f"f{rng.random()}" for _ in range(int(size * x))] for x in (0.1, 0.2, 0.24, 0.3))]
+        made += [base[size // 3 :] + base[: size // 3], [w if rng.random() > 0.02 else f"e{rng.random()}" for w in base], [w if rng.random() > 0.05 else f"e{rng.random()}" for w in base], base[: size // 2] + [f"h{rng.random()}" for _ in range(size // 2)]]
+        rng.shuffle(made)
+        rows += made[:9]
+    texts = [*map(" ".join, rows), "", None, " \n", "a b", "A  b", "b a", "one two three four five", "one two three four five"]
+    return list(enumerate(texts))
+
+
+def test_near_copies_match_brute_force(spark):
+    rows = variants()
+    want = brute(rows)
+    assert 20 < len(set(want.values())) < len(rows) - 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for sample in (1, 16):
+        assert {r.doc_id: r.component_id for r in near_copies(df, sample=sample).collect()} == want
+
+
+def test_families_link_through_other_than_their_smallest(spark):
+    base = [f"b{i}" for i in range(300)]
+    chain = [base[i * 25 :] + [f"n{j}" for j in range(i * 25)] for i in range(8)]
+    rows = list(enumerate([*map(" ".join, chain), *(" ".join([*base[:i], "x", *base[i + 1 :]]) for i in range(0, 300, 10))]))
+    got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_pipeline_takes_cut_and_extended_copies(spark):
+    w = [f"p{i}" for i in range(400)]
+    texts = [w, w[:335], w + [f"q{i}" for i in range(80)], w[:250] + [f"r{i}" for i in range(150)]]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == {0, 3}

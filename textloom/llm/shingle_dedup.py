@@ -1,0 +1,151 @@
+"""Near copies by the Jaccard similarity of their sets of word shingles: an exact join, no candidate is left to chance.
+
+Sets of similarity 4/5 or more share at least four fifths of the larger one. So under any one order of
+all shingles, the first n - ceil(4n/5) + 1 of a set of n (its prefix) hold a shingle of the other's
+prefix. Prefixes are joined by equality and the pairs that meet are verified on the whole sets. The order
+puts shingles that are frequent in a sample last, which keeps postings short; it decides about cost alone.
+
+A family of near copies isn't paired up: a first round compares each posting's members with its smallest
+one; a second one compares only pairs that the first hasn't linked to one and the same text.
+
+Before sets are fetched, pairs meet a bound: each bit of one set's signature that the other's lacks is a
+shingle that the other lacks. No pair of similarity 4/5 fails it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Stage, connected_components, spread_join
+
+PRIME = 0x9E3779B97F4A7C15
+#: Longs of a signature.
+LONGS = 16
+#: Ids that are broadcast at most to pick texts; more are joined by a shuffle.
+FEW = 1_000_000
+
+
+def shingles(text: bytes | None, k: int):
+    """The set of hashed k-word shingles, sorted; a shorter text is one shingle, an empty one none."""
+    import numpy as np
+    import xxhash
+
+    words = text.lower().split() if text else []  # of bytes: A-Z alone, and white space 0x09-0x0D and 0x20
+    if not words:
+        return np.zeros(0, np.int64)
+    w, k = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), min(k, len(words))
+    h = np.full(len(words) - k + 1, k, np.uint64)
+    for j in range(k):
+        h = (h ^ w[j : len(words) - k + 1 + j]) * np.uint64(PRIME)
+        h ^= h >> np.uint64(31)
+    return np.unique(h.view(np.int64))
+
+
+def _frequent(texts: DataFrame, k: int, sample: int, most: int) -> tuple:
+    """(shingles, places): the ``most`` most frequent ones of every ``sample``-th text, sorted by value, and their order."""
+    import numpy as np
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(shingles(t, k) for t in b.column(0).to_pylist())]))], ["g"])
+
+    found = texts.where(F.pmod("tid", F.lit(sample)) == 0).select("text").mapInArrow(run, "g long").groupBy("g").count().where("count > 2")
+    g = found.orderBy(F.desc("count"), "g").limit(most).select("g").toArrow().column("g").to_numpy()[::-1]
+    by = np.argsort(g)
+    return g[by], by + 1
+
+
+def _units(texts: DataFrame, k: int, frequent) -> DataFrame:
+    """(tid, n, prefix, signature) for every row of (tid, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        known, place = frequent.value
+        for b in batches:
+            sizes, prefixes, signatures = [], [], []
+            for text in b.column(1).to_pylist():
+                s = shingles(text, k)
+                if len(known) and len(s):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    order = np.lexsort((s, np.where(known[at] == s, place[at], 0)))
+                else:
+                    order = np.arange(len(s))
+                bits = np.zeros(64 * LONGS, np.uint8)
+                bits[s & (64 * LONGS - 1)] = 1
+                sizes.append(len(s))
+                prefixes.append(s[order[: len(s) - (4 * len(s) + 4) // 5 + 1]])
+                signatures.append(np.packbits(bits).view(np.int64))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(prefixes, longs), pa.array(signatures, longs)], ["tid", "n", "prefix", "signature"])
+
+    return texts.mapInArrow(run, "tid long, n int, prefix array<long>, signature array<long>")
+
+
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """(tid, shingles) for every row of (tid, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, k) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["tid", "shingles"])
+
+    return texts.mapInArrow(run, "tid long, shingles array<long>")
+
+
+def _verified(stage: Stage, pairs: DataFrame, units: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) whose sets have similarity 4/5 or more."""
+    of = lambda df, *cs: [df.select(F.col("tid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in cs]) for x in "ab"]
+    similar = lambda both: 9 * both >= 4 * (F.col("a_n") + F.col("b_n"))
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}_signature")[i].bitwiseAND(F.bitwise_not(F.col(f"{y}_signature")[i]))) for i in range(LONGS)), F.lit(0))
+    a, b = of(units, "n", "signature")
+    pairs = pairs.distinct().join(a, "a").join(b, "b").where(similar(F.least(F.col("a_n") - lacks("a", "b"), F.col("b_n") - lacks("b", "a"))))
+    pairs = stage.put(pairs.select("a", "b", "a_n", "b_n"))
+    wanted = stage.put(pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    own = stage.put(_sets(texts.join(wanted, "tid", "left_semi").dropDuplicates(["tid"]), k))
+    a, b = of(own, "shingles")
+    return stage.put(pairs.join(a, "a").join(b, "b").where(similar(F.size(F.array_intersect("a_shingles", "b_shingles")))).select("a", "b"))
+
+
+def near_copies(df: DataFrame, shingle: int = 5, sample: int = 16, most: int = 65_536) -> DataFrame:
+    """doc_id, component_id for every row of (doc_id, text): texts link at Jaccard similarity 4/5 of their shingle sets.
+
+    component_id is the smallest doc_id that links reach. Null, empty or blank texts are one group.
+    Fewer words than a shingle: the whole sequence is one shingle.
+    """
+    stage = Stage(df.sparkSession, "shingles")
+    texts = df.select(F.xxhash64("text").alias("tid"), F.col("text").cast("binary").alias("text"))
+    frequent = df.sparkSession.sparkContext.broadcast(_frequent(texts, shingle, sample, most))
+    # equal texts are one row; blank ones have no shingles and are linked here
+    units = stage.put(_units(texts, shingle, frequent).dropDuplicates(["tid"]))
+    blank = units.where("n = 0").select("tid")
+    edges = stage.put(blank.join(blank.agg(F.min("tid").alias("a"))).where("tid <> a").select("a", F.col("tid").alias("b")))
+
+    posts = units.select("tid", "n", F.explode("prefix").alias("g"))
+    shared = posts.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
+    index = stage.put(posts.join(shared, "g").withColumn("c", F.col("tid")))
+    close = (5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n")) & (F.col("a_c") != F.col("b_c"))
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    sides = lambda: [index.select("g", F.col("tid").alias(x), F.col("n").alias(f"{x}_n"), F.col("c").alias(f"{x}_c")) for x in "ab"]
+    a, b = sides()
+    low = index.groupBy("g").agg(F.min(F.struct("tid", "n", "c")).alias("s")).select("g", F.col("s.tid").alias("a"), F.col("s.n").alias("a_n"), F.col("s.c").alias("a_c"))
+    edges = stage.put(edges.unionByName(_verified(stage, b.join(low, "g").where(close).select(*pair), units, texts, shingle)))
+    # members that link to one text are connected; pairs of them need no comparison
+    linked = edges.groupBy(F.col("b").alias("tid")).agg(F.min("a").alias("to"))
+    left = stage.put(index.drop("c").join(linked, "tid", "left").withColumn("c", F.coalesce("to", "tid")).drop("to"))
+    mixed = left.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("g")
+    index = stage.put(left.join(mixed, "g"))
+    a, b = sides()
+    edges = edges.unionByName(_verified(stage, a.join(b, "g").where("a < b").where(close).select(*pair), units, texts, shingle))
+    found = connected_components(stage, edges)
+
+    docs = df.select("doc_id", F.xxhash64("text").alias("tid"))
+    lows = docs.groupBy("tid").agg(F.min("doc_id").alias("low")).join(found.withColumnRenamed("node", "tid"), "tid", "left")
+    lows = stage.put(lows.withColumn("component", F.coalesce("component", "tid")))
+    first = lows.groupBy("component").agg(F.min("low").alias("component_id"))
+    lows = spread_join(lows, first, ["component"], F.col("tid")).select("tid", "component_id")
+    return docs.join(lows, "tid").select("doc_id", "component_id")

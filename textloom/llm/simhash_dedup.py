@@ -141,13 +141,13 @@ def near_duplicates(df: DataFrame, shingle: int = 3, distinct: bool = False, lan
     return docs.join(units, "unit").select("doc_id", "lanes", "component_id")
 
 
-def deduplicated(df: DataFrame, **options) -> DataFrame:
-    """The rows of df, all columns, with one row left of each group of ``near_duplicates``.
+def deduplicated(df: DataFrame, groups=near_duplicates, **options) -> DataFrame:
+    """The rows of df, all columns, with one row left of each of ``groups``.
 
     The row with the smallest (doc_id, hash of text) stays, a null doc_id only where no other is;
     of fully repeated rows one stays.
     """
     own = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.xxhash64("text").alias("t"))
-    found = near_duplicates(df.select(own.alias("doc_id"), "text"), **options)
+    found = groups(df.select(own.alias("doc_id"), "text"), **options)
     stay = found.select(F.col("component_id").alias("_own")).distinct()
     return df.withColumn("_own", own).join(stay, "_own", "left_semi").dropDuplicates(["_own"]).select(*df.columns)
