@@ -13,21 +13,38 @@ def _pair_order(seed: int):
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col("qid").cast("string"), F.lit("|"), F.col("doc_id").cast("string")))
 
 
-def random_negatives(queries: DataFrame, docs: DataFrame, positives: DataFrame, n: int = 5, seed: int = 42, pool: int = 2000) -> DataFrame:
-    """(qid, doc_id, n): up to n documents of each query that are not among its positives.
+def _places(docs: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, _at): every document's place from 0 in hash order; only sums of 65,536 hash ranges meet in one task."""
+    d = docs.select("doc_id", hash_order(F.col("doc_id"), seed).alias("_h")).withColumn("_b", F.substring("_h", 1, 4))
+    before = d.groupBy("_b").agg(F.count("*").alias("_c")).select("_b", (F.sum("_c").over(W.orderBy("_b")) - F.col("_c")).alias("_before"))
+    d = d.withColumn("_n", F.row_number().over(W.partitionBy("_b").orderBy("_h", "doc_id")))
+    return d.join(before, "_b").select("doc_id", (F.col("_before") + F.col("_n") - 1).alias("_at"))
 
-    Drawn without replacement from a pool of ``pool`` documents in hash order: each query starts at a
-    hashed place of the pool and looks at up to 8n documents from there on.
+
+def random_negatives(queries: DataFrame, docs: DataFrame, positives: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
+    """(qid, doc_id, n): n documents of each query that are not among its positives, or all such if there are fewer.
+
+    Drawn without replacement from all documents in hash order: each query starts at a hashed place and
+    looks at 8n documents from there on; where these hold fewer than n negatives, at four times as many.
     """
-    order = [hash_order(F.col("doc_id"), seed), "doc_id"]
-    drawn = docs.select("doc_id").orderBy(*order).limit(pool)
-    drawn = drawn.withColumn("_at", F.row_number().over(W.orderBy(*order)) - 1)
-    size = max(drawn.count(), 1)
+    drawn = _places(docs, seed)
+    size = max(docs.count(), 1)
     start = F.conv(F.substring(hash_order(F.col("qid"), seed), 1, 8), 16, 10).cast("long") % size
-    pairs = queries.select("qid", start.alias("_start"), F.explode(F.sequence(F.lit(0), F.lit(min(size, 8 * n) - 1))).alias("_d"))
-    pairs = pairs.withColumn("_at", ((F.col("_start") + F.col("_d")) % size).cast("int")).join(F.broadcast(drawn), "_at")  # at most ``pool`` ids
-    pairs = pairs.join(positives.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_anti")
-    return pairs.select("qid", "doc_id", F.row_number().over(W.partitionBy("qid").orderBy("_d")).alias("n")).where(F.col("n") <= n)
+    known = positives.select("qid", "doc_id").distinct()
+    pending, done, width = queries.select("qid"), None, min(size, 8 * n)
+    while True:
+        pairs = pending.select("qid", start.alias("_start"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("_d"))
+        pairs = pairs.withColumn("_at", (F.col("_start") + F.col("_d")) % size).join(drawn, "_at").join(known, ["qid", "doc_id"], "left_anti")
+        got = pairs.select("qid", "doc_id", F.row_number().over(W.partitionBy("qid").orderBy("_d")).alias("n")).where(F.col("n") <= n)
+        if width == size:
+            return got if done is None else done.unionByName(got)
+        full = got.where(F.col("n") == n).select("qid").distinct()
+        short = pending.join(full, "qid", "left_anti")
+        if short.isEmpty():
+            return got if done is None else done.unionByName(got)
+        got = got.join(full, "qid", "left_semi")
+        done = got if done is None else done.unionByName(got)
+        pending, width = short, min(size, 4 * width)
 
 
 def one_positive(positives: DataFrame, seed: int = 42) -> DataFrame:
