@@ -4,50 +4,54 @@ All rolling word k-grams of the texts are joined by hash to the positions of lic
 Every hit votes for a diagonal, its text position less its template position. Votes are summed by
 (text, template, diagonal), neighbouring diagonals (insertions and deletions shift them) are merged,
 and a merged span counts if it holds enough of its template.
+
+The texts are read and split into words once. While the templates are few enough to broadcast, k-grams
+that are no template's are passed over before any row is made of them.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import spread_join
-
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Phrases that count wherever their words stand consecutively.
-PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Opening passages of common licenses and notices, by label.
-TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("reserved", "all rights reserved"),
-]
+from .common import Stage, spread_join
+from .license_texts import PHRASES, TEMPLATES
+
+#: What separates the words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of a lower-cased text; this form of the class is the one Java matches fast.
+BETWEEN = r"[^a-z0-9\x80-\x{10ffff}]+"
 K = 4  # words of a k-gram; a shorter template is one k-gram
+#: Words of templates that are broadcast at most; more are joined by a shuffle.
+FEW = 100_000
+
+
+def template_words(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
 
-def template_grams(spark: SparkSession, phrases: dict[str, str], templates: list[tuple[str, str]]) -> DataFrame:
-    """One row per k-gram position of each template."""
-    rows = []
-    for t, (label, text, base) in enumerate([(v, k, True) for k, v in phrases.items()] + [(a, b, False) for a, b in templates]):
-        words = text.split()
-        k = min(K, len(words))
-        if k < 2:
-            raise ValueError(f"a template needs two words: {text!r}")
-        for p in range(len(words) - k + 1):
-            own = ", ".join(f"'{w}'" for w in words[p : p + k]) + ", CAST(NULL AS STRING)" * (K - k)
-            rows.append(f"({t}, '{label}', {str(base).lower()}, {len(words)}, {len(words) - k + 1}, {p}, {own})")
-    names = ", ".join(f"t{i + 1}" for i in range(K))
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(template, label, base, length, grams, at, {names})").withColumn("key", F.xxhash64("t1", "t2"))
+def _bodies(phrases: dict[str, str], templates: list[tuple[str, str]]) -> list[tuple[int, str, bool, list[str]]]:
+    """(template, label, base, words): the phrases, then the templates, in order."""
+    out = [(t, label, base, template_words(text)) for t, (label, text, base) in enumerate([(v, k, True) for k, v in phrases.items()] + [(a, b, False) for a, b in templates])]
+    if short := [" ".join(w) for *_, w in out if len(w) < 2]:
+        raise ValueError(f"a template needs two words: {short}")
+    return out
+
+
+def _key(words: list):
+    return F.xxhash64(F.lit(len(words)), *words)
+
+
+def template_grams(spark: SparkSession, bodies) -> DataFrame:
+    """A row for each k-gram position: template, label, base, length, grams, at, gram (its words, spaced), key."""
+    t = spark.createDataFrame([(a, b, c, d) for a, b, c, d in bodies], "template int, label string, base boolean, words array<string>")
+    t = t.withColumn("length", F.size("words")).withColumn("k", F.least(F.lit(K), F.size("words")))
+    t = t.withColumn("grams", F.col("length") - F.col("k") + 1)
+    t = t.select("*", F.explode(F.sequence(F.lit(0), F.col("grams") - 1)).alias("at"))
+    word = lambda i: F.get("words", F.col("at") + i)
+    key = F.coalesce(*[F.when(F.col("k") == k, _key([word(i) for i in range(k)])) for k in range(2, K + 1)])
+    return t.select("template", "label", "base", "length", "grams", "at", F.array_join(F.slice("words", F.col("at") + 1, F.col("k")), " ").alias("gram"), key.alias("key"))
 
 
 def scan(df: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, coverage: float = 0.6, drift: int = 3, gap: int = 8) -> DataFrame:
@@ -55,46 +59,52 @@ def scan(df: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple
 
     A-Z are lower-cased. n_base counts all places of ``phrases``; first_word and last_word are the
     smallest and largest of their starts. A template's diagonals merge if they differ by at most
-    ``drift`` and their spans lie within ``gap`` words; a merged span with at least ``coverage`` of the
-    template's k-grams adds the template's label. score: the best coverage, 1 for a phrase, else 0.
+    ``drift`` and their spans lie within ``gap`` words; a merged span that holds at least ``coverage`` of
+    the template's k-grams, in at most twice its words, adds the template's label. score: the best
+    coverage, 1 for a phrase, else 0.
 
     Null text counts as empty: 0 words, no labels (empty strings), score 0. Null or repeated doc_ids
     keep their rows; equal texts are scanned alike. Empty input: no rows. Other columns are ignored.
     """
+    spark, bodies = df.sparkSession, _bodies(phrases, templates)
+    stage, table = Stage(spark, "licenses"), template_grams(spark, bodies)
+    small = sum(len(w) for *_, w in bodies) <= FEW
+    ks = sorted({min(K, len(w)) for *_, w in bodies})
+
     # the Kelvin sign is the one character beyond ASCII whose lower case is an ASCII letter by itself
-    text = F.lower(F.replace(F.coalesce("text", F.lit("")), F.lit("K"), F.lit("ĸ")))
-    docs = df.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_w"))
-
-    n = F.size("_w")
-    shifted = [F.slice("_w", F.lit(i + 1), F.greatest(n - i, F.lit(0))) for i in range(K)]
-    grams = docs.select("_text", F.posexplode(F.arrays_zip(*[s.alias(f"w{i + 1}") for i, s in enumerate(shifted)])).alias("pos", "g"))
-    grams = grams.select("_text", "pos", *[F.col("g")[f"w{i + 1}"].alias(f"w{i + 1}") for i in range(K)]).withColumn("key", F.xxhash64("w1", "w2"))
-    table = template_grams(df.sparkSession, phrases, templates)
-    same = F.col("g.key") == F.col("t.key")
-    for i in range(1, K + 1):
-        same &= F.col(f"t.t{i}").isNull() | (F.col(f"t.t{i}") == F.col(f"g.w{i}"))
-    small = sum(len(t.split()) for t in [*phrases, *(b for _, b in templates)]) <= 100_000
-    hits = grams.alias("g").join(F.broadcast(table).alias("t") if small else table.alias("t"), same)
-    hits = hits.select("g._text", "t.template", "t.label", "t.base", "t.length", "t.grams", "t.at", "g.pos", (F.col("pos") - F.col("at")).alias("diagonal"))
-
-    by = ["_text", "template", "label", "base", "length", "grams", "diagonal"]
-    # equal texts hit alike: each place once
-    votes = hits.distinct().groupBy(*by).agg(F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    text = F.lower(F.replace(F.coalesce("text", F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
+    docs = df.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_text"), F.array_remove(F.split(text, BETWEEN), "").alias("_w"))
+    word = lambda i: F.get("_w", i)
+    places = F.transform("_w", lambda w, i: i)
+    if small:
+        starts = sorted({w[p] for *_, w in bodies for p in range(len(w) - min(K, len(w)) + 1)})
+        places = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(starts), i)), lambda i: i.isNotNull())
+    grams = F.flatten(F.transform(places, lambda i: F.array(*[F.struct(i.alias("pos"), F.lit(k).alias("k"), _key([word(i + j) for j in range(k)]).alias("key")) for k in ks])))
+    if small:
+        keys = [r[0] for r in table.select("key").distinct().collect()]
+        grams = F.filter(grams, lambda g: g["key"].isin(keys))
+    grams = F.transform(grams, lambda g: F.struct(g["pos"].alias("pos"), g["key"].alias("key"), F.array_join(F.slice("_w", g["pos"] + 1, g["k"]), " ").alias("gram")))
+    docs = stage.put(docs.select("doc_id", "_text", F.size("_w").cast("long").alias("n_words"), grams.alias("grams")))
+
+    # equal texts hit alike: one row of them is enough
+    own = docs.where(F.size("grams") > 0).select("_text", "grams").distinct().select("_text", F.inline("grams"))
+    hits = own.join(F.broadcast(table) if small else table, ["key", "gram"])
+    by = ["_text", "template", "label", "base", "length", "grams"]
+    votes = hits.groupBy(*by, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("at").alias("ats"))
     order = W.partitionBy("_text", "template").orderBy("lo", "diagonal")
     far = (F.col("lo") - F.lag("hi").over(order) > gap) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > drift)
     votes = votes.withColumn("new", (F.coalesce(far, F.lit(True)) | F.col("base") | (F.col("grams") == 1)).cast("int"))
     votes = votes.withColumn("span", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    spans = votes.groupBy("_text", "template", "label", "base", "length", "grams", "span").agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    share = F.least(F.col("votes") / F.col("grams"), F.lit(1.0))
+    spans = votes.groupBy(*by, "span").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("held"))
+    base, share = F.col("base"), F.col("held") / F.col("grams")
     fits = (F.col("hi") - F.col("lo") + F.least(F.col("length"), F.lit(K))) <= 2 * F.col("length")
-    spans = spans.withColumn("share", share).where(F.col("base") & (share >= 1.0) | ~F.col("base") & (share >= coverage) & fits)
-    base = F.col("base")
+    spans = spans.withColumn("share", share).where(base & (F.col("held") == F.col("grams")) | ~base & (share >= coverage) & fits)
     found = spans.groupBy("_text").agg(
         F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("lo"))).cast("long").alias("first_word"), F.max(F.when(base, F.col("lo"))).cast("long").alias("last_word"),
         F.array_join(F.sort_array(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"), F.max("share").alias("score"),
     )
-    out = spread_join(docs.select("doc_id", "_text", F.size("_w").cast("long").alias("n_words")), found, ["_text"], F.col("doc_id"))
+    out = spread_join(docs.select("doc_id", "_text", "n_words"), found, ["_text"], F.col("doc_id"))
     none = F.lit("")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
@@ -103,30 +113,24 @@ def scan(df: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple
 
 
 def _sql_rows() -> str:
-    rows = []
-    for t, (label, text, base) in enumerate([(v, k, True) for k, v in PHRASES.items()] + [(a, b, False) for a, b in TEMPLATES]):
-        words = text.split()
-        k = min(K, len(words))
-        for p in range(len(words) - k + 1):
-            own = ", ".join([f"'{w}'" for w in words[p : p + k]] + ["NULL"] * (K - k))
-            rows.append(f"({t}, '{label}', {base}, {len(words)}, {len(words) - k + 1}, {p}, {own})")
-    return ", ".join(rows)
+    return ", ".join(f"({t}, '{label}', {base}, '{' '.join(words)}')" for t, label, base, words in _bodies(PHRASES, TEMPLATES))
 
 
 #: DuckDB SQL for the rows of ``op4_license_scan``.
 SCAN_SQL = rf"""
-WITH t AS (SELECT * FROM (VALUES {_sql_rows()}) AS v(template, label, base, length, grams, place, t1, t2, t3, t4)),
-d AS (SELECT doc_id, md5(coalesce(text, '')) AS k,
+WITH b AS (SELECT template, label, base, string_split(body, ' ') AS w, least(len(string_split(body, ' ')), 4) AS k FROM (VALUES {_sql_rows()}) AS v(template, label, base, body)),
+t AS (SELECT template, label, base, len(w) AS length, len(w) - k + 1 AS grams, k, p - 1 AS place, array_to_string(w[p : p + k - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM b)),
+d AS (SELECT doc_id, md5(coalesce(text, '')) AS id,
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-g AS (SELECT k, p - 1 AS pos, w[p] AS w1, w[p + 1] AS w2, w[p + 2] AS w3, w[p + 3] AS w4 FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS p FROM (SELECT k, any_value(w) AS w FROM d GROUP BY k))),
-h AS (SELECT k, template, label, base, length, grams, pos - place AS diagonal, pos FROM g JOIN t ON t1 = w1 AND t2 = w2 AND (t3 IS NULL OR t3 = w3) AND (t4 IS NULL OR t4 = w4)),
-v AS (SELECT k, template, label, base, length, grams, diagonal, count(DISTINCT pos) AS votes, min(pos) AS lo, max(pos) AS hi FROM h GROUP BY ALL),
-n AS (SELECT *, CASE WHEN base OR grams = 1 OR coalesce(lo - lag(hi) OVER o > 8 OR abs(diagonal - lag(diagonal) OVER o) > 3, true) THEN 1 ELSE 0 END AS fresh FROM v WINDOW o AS (PARTITION BY k, template ORDER BY lo, diagonal)),
-s AS (SELECT *, sum(fresh) OVER (PARTITION BY k, template ORDER BY lo, diagonal ROWS UNBOUNDED PRECEDING) AS span FROM n),
-m AS (SELECT k, template, label, base, length, grams, span, least(CAST(sum(votes) AS DOUBLE) / grams, 1) AS share, min(s.lo) AS lo, max(s.hi) AS hi FROM s GROUP BY k, template, label, base, length, grams, span),
+g AS (SELECT id, p - 1 AS pos, k, array_to_string(w[p : p + k - 1], ' ') AS gram FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS p FROM (SELECT id, any_value(w) AS w FROM d GROUP BY id)) CROSS JOIN (SELECT DISTINCT k FROM b) WHERE p + k - 1 <= len(w)),
+h AS (SELECT id, template, label, base, length, grams, pos - place AS diagonal, pos, place FROM g JOIN t USING (k, gram)),
+v AS (SELECT id, template, label, base, length, grams, diagonal, list(DISTINCT place) AS places, min(pos) AS lo, max(pos) AS hi FROM h GROUP BY ALL),
+n AS (SELECT *, CASE WHEN base OR grams = 1 OR coalesce(lo - lag(hi) OVER o > 8 OR abs(diagonal - lag(diagonal) OVER o) > 3, true) THEN 1 ELSE 0 END AS fresh FROM v WINDOW o AS (PARTITION BY id, template ORDER BY lo, diagonal)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY id, template ORDER BY lo, diagonal ROWS UNBOUNDED PRECEDING) AS span FROM n),
+m AS (SELECT id, template, label, base, length, grams, span, CAST(len(list_distinct(flatten(list(places)))) AS DOUBLE) / grams AS share, min(s.lo) AS lo, max(s.hi) AS hi FROM s GROUP BY id, template, label, base, length, grams, span),
 f AS (SELECT * FROM m WHERE base AND share >= 1 OR NOT base AND share >= 0.6 AND hi - lo + least(length, 4) <= 2 * length),
-r AS (SELECT k, count(*) FILTER (base) AS n_base, min(f.lo) FILTER (f.base) AS first_word, max(f.lo) FILTER (f.base) AS last_word,
-  array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(share) AS score FROM f GROUP BY k)
+r AS (SELECT id, count(*) FILTER (base) AS n_base, min(f.lo) FILTER (f.base) AS first_word, max(f.lo) FILTER (f.base) AS last_word,
+  array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(share) AS score FROM f GROUP BY id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
-  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score FROM d LEFT JOIN r USING (k)
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score FROM d LEFT JOIN r USING (id)
 """
