@@ -48,7 +48,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept_digests(_table(spark, sf_dir, "documents"), length=400).drop("spans")
+    return kept_digests(_table(spark, sf_dir, "documents"), length=400)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

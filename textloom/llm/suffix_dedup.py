@@ -9,9 +9,8 @@ A byte is removed if a string of ``length`` bytes covers it that also starts any
    (one anchor and one offset) are sorted one at a time: by leading bytes up to the next position of a
    difference cover modulo 31, then by the precomputed ranks of cover samples, made by doubling, which
    settle long ties without walking through them. Neighbours that agree over ``length`` bytes repeat.
-3. Anchors in more than ``hot`` different contexts aren't collected: a range of offsets whose union of
-   bytes recurs repeats whole, one whose common bytes don't recur is clean, and any other range is
-   halved. Each step is a count by key, with partial sums before the shuffle.
+3. An anchor with more than ``hot`` different contexts is too large to sort at once: its contexts are dealt
+   to smaller buckets by the bytes beside the anchor, again and again, until each can be sorted.
 """
 
 from __future__ import annotations
@@ -22,6 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import Stage
 
@@ -173,8 +173,8 @@ def _runs(np, flags) -> tuple[list[int], list[int]]:
     return edge[::2].tolist(), edge[1::2].tolist()
 
 
-def _sorted_buckets(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, context, lo array, hi array): per context, the runs [lo, hi) of its offsets that repeat."""
+def _sorted_buckets(buckets: DataFrame, length: int, gram: int) -> DataFrame:
+    """(h, context, lo array, hi array): per row of ``buckets``, the runs [lo, hi) of its offsets first..last that repeat in its bucket."""
     side = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,21 +182,20 @@ def _sorted_buckets(contexts: DataFrame, length: int, gram: int) -> DataFrame:
 
         def solve(rows: list[tuple]) -> pa.RecordBatch:
             data = np.zeros((len(rows), length + side), np.uint8)
-            first, last = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
-            for i, (_, _, left, _, c) in enumerate(rows):
-                data[i, side - left : side - left + len(c)] = np.frombuffer(c, np.uint8)
-                first[i], last[i] = side - left, side - left + len(c) - length
+            for i, r in enumerate(rows):
+                data[i, side - r[3] : side - r[3] + len(r[7])] = np.frombuffer(r[7], np.uint8)
+            first, last = np.array([r[5] for r in rows], np.int64), np.array([r[6] for r in rows], np.int64)
             _, group = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)
             found = repeated_offsets(np, group, data, first, last, length)
             lo, hi = [], []
             for i, r in enumerate(rows):
-                if r[3] > 1:
+                if r[4] > 1:
                     found[i, first[i] : last[i] + 1] = True
                 a, b = _runs(np, found[i])
                 lo.append(a)
                 hi.append(b)
             ints = pa.list_(pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array(lo, ints), pa.array(hi, ints)], ["h", "context", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array(lo, ints), pa.array(hi, ints)], ["h", "context", "lo", "hi"])
 
         held: list[tuple] = []
         for b in batches:
@@ -208,65 +207,52 @@ def _sorted_buckets(contexts: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    rows = contexts.select("h", "context", "left", "times", "bytes").repartition("h").sortWithinPartitions("h")
+    rows = buckets.select("bucket", "h", "context", "left", "times", "first", "last", "bytes").repartition("bucket").sortWithinPartitions("bucket")
     return rows.mapInArrow(run, "h long, context binary, lo array<int>, hi array<int>")
 
 
-def _halved_ranges(stage: Stage, contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for anchors in too many contexts to sort together; by counts alone."""
-    side = length - gram
-    start = F.lit(side) - F.col("left")
-    live = contexts.select("h", "context", "left", "bytes", start.alias("a"), (start + F.length("bytes") - length).alias("b"))
-    live = live.where("b >= a").withColumn("a0", F.col("a")).withColumn("b0", F.col("b"))
-    # ranges are cut at the same places for all contexts: multiples of shrinking steps
-    step, done = 1, None
-    while step <= side:
-        step *= 2
-    live = live.select("h", "context", "left", "bytes", "a0", "b0", F.lit(0).alias("a"), F.lit(step - 1).alias("b"))
-
-    def part(lo: Column, hi: Column) -> Column:
-        at = lo - (F.lit(side) - F.col("left")) + 1
-        return F.md5(F.substring("bytes", at, hi - lo))
-
-    while True:
-        whole = (F.col("a") >= F.col("a0")) & (F.col("b") <= F.col("b0"))
-        some = (F.col("b") >= F.col("a0")) & (F.col("a") <= F.col("b0"))
-        live = live.where(some)
-        # the bytes that all windows of the range share lie in every row with any window in it; the union only in whole ones
-        live = live.withColumn("whole", whole).withColumn("common", part(F.col("b"), F.col("a") + length)).withColumn("union", F.when(whole, part(F.col("a"), F.col("b") + length)))
-        live = stage.put(live)
-        same = ["h", "a", "b"]
-        unions = live.where("whole").groupBy(*same, "union").agg(F.count("*").alias("n_union"), F.min("context").alias("witness"))
-        commons = live.groupBy(*same, "common").agg(F.count("*").alias("n_common"))
-        seen = live.join(unions, [*same, "union"], "left").join(commons, [*same, "common"], "left")
-        seen = stage.put(seen.select("h", "context", "left", "bytes", "a0", "b0", "a", "b", "whole", "n_union", "n_common", "witness"))
-        hit = seen.where("n_union > 1").select("h", "context", F.col("a").alias("lo"), (F.col("b") + 1).alias("hi"))
-        done = hit if done is None else done.unionByName(hit)
-        if step == 1:
-            break
-        # of equal unions one goes on, for the texts that share only a part of it
-        more = seen.where(F.coalesce(F.col("witness") == F.col("context"), F.lit(True)) & (F.col("n_common") > 1))
-        step //= 2
-        half = F.array(F.struct(F.col("a").alias("a"), (F.col("a") + step - 1).alias("b")), F.struct((F.col("a") + step).alias("a"), F.col("b").alias("b")))
-        live = more.select("h", "context", "left", "bytes", "a0", "b0", F.explode(half).alias("r")).select("h", "context", "left", "bytes", "a0", "b0", "r.a", "r.b")
-    return done.groupBy("h", "context").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+def _refined(stage: Stage, buckets: DataFrame, length: int, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Buckets of more than ``hot`` contexts, split by longer shared strings until each can be sorted.
+
+    The contexts of a bucket share the bytes [s, e). Every window holds the half of its free bytes next to
+    these on the left, or else more than half on the right: so a context goes to one bucket by its bytes
+    on the left, for the windows that hold them, and to one by those on the right, for the others. A
+    context alone in a bucket repeats nothing there. Returns buckets to sort, and runs of windows that are
+    shared whole.
+    """
+    small, whole = [], []
+    live = buckets
+    while not live.isEmpty():
+        free = F.lit(length) - (F.col("e") - F.col("s"))
+        part = lambda lo, hi: F.substring("bytes", lo - F.col("origin") + 1, hi - lo)
+        same = live.where(free == 0).withColumn("string", F.md5(part(F.col("s"), F.col("e"))))
+        many = same.groupBy("bucket", "string").agg(F.count("*").alias("k")).where("k > 1").select("bucket", "string")
+        whole.append(stage.put(same.join(many, ["bucket", "string"]).select("h", "context", F.array("s").alias("lo"), F.array(F.col("s") + 1).alias("hi"))))
+        half = F.ceil(free / 2).cast("int")
+        to_left = F.struct(F.lit(0).alias("way"), (F.col("s") - half).alias("s"), F.col("e").alias("e"), F.col("first").alias("first"), F.least(F.col("last"), F.col("s") - half).alias("last"), part(F.col("s") - half, F.col("s")).alias("string"))
+        end = F.col("s") - half + 1 + length
+        to_right = F.struct(F.lit(1).alias("way"), F.col("s").alias("s"), end.alias("e"), F.greatest(F.col("first"), F.col("s") - half + 1).alias("first"), F.col("last").alias("last"), part(F.col("e"), end).alias("string"))
+        split = live.where(free > 0).select("bucket", "h", "context", "left", "origin", "times", "bytes", F.explode(F.array(to_left, to_right)).alias("x")).where("x.first <= x.last")
+        split = stage.put(split.select(F.xxhash64("bucket", "x.way", "x.string").alias("bucket"), "h", "context", "left", "origin", "times", "bytes", "x.s", "x.e", "x.first", "x.last"))
+        sizes = stage.put(split.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"))
+        sized = stage.put(split.join(sizes, "bucket"))
+        stage.drop(split)
+        small.append(sized.where(F.col("k") <= hot).drop("k"))
+        live = sized.where(F.col("k") > hot).drop("k")
+    return small, whole
 
 
 class Repeats:
-    """What repeats in (doc_id, text) rows: ``of`` names each row's text, ``spans`` its repeated spans.
+    """What repeats in (doc_id, text) rows.
 
-    of: doc_id, text_key, n_bytes, sha256. spans: text_key, copies, spans (array of (lo, hi) in bytes,
-    maximal and in order) of texts that repeat anything. texts: text_key, text of those with spans
-    found by sorting.
+    spans: text_key, spans (array of (lo, hi) in bytes, maximal and in order) of texts that repeat anything.
     """
 
-    def __init__(self, df: DataFrame, length: int = 400, gram: int | None = None, hot: int = 4096):
+    def __init__(self, df: DataFrame, length: int = 400, gram: int | None = None, hot: int = 1024):
         gram = gram or length // 2
         stage = Stage(df.sparkSession, "repeats")
         text = F.coalesce("text", F.lit("")).cast("binary")
-        docs = df.select("doc_id", text.alias("text"))
-        docs = docs.select("doc_id", "text", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
-        docs = docs.withColumn("text_key", F.unhex(F.substring("sha256", 1, 32)))
+        docs = df.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), text_key(F.col("text")).alias("text_key"))
         kind = df.schema["doc_id"].dataType.simpleString()
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,10 +262,9 @@ class Repeats:
             for b in batches:
                 got = anchors(np, powers, b.column(1).to_pylist(), length, gram)
                 more = [pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(i) for i in (2, 3, 4)), *more], ["doc_id", "sha256", "n_bytes", "text_key", "pos", "hash"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 2, 3)), *more], ["doc_id", "n_bytes", "text_key", "pos", "hash"])
 
-        picked = stage.put(docs.mapInArrow(pick, f"doc_id {kind}, sha256 string, n_bytes long, text_key binary, pos array<int>, hash array<long>"))
-        self.of = picked.select("doc_id", "text_key", "n_bytes", "sha256")
+        picked = stage.put(docs.mapInArrow(pick, f"doc_id {kind}, n_bytes long, text_key binary, pos array<int>, hash array<long>"))
         distinct = stage.put(picked.groupBy("text_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("n_bytes").alias("n_bytes"), F.first("pos").alias("pos"), F.first("hash").alias("hash")))
         at = distinct.select("text_key", F.inline(F.arrays_zip("pos", "hash")).alias("pos", "h"))
         # written first: beside an aggregate of its own stage, the join couldn't split an anchor that many texts hold
@@ -289,7 +274,6 @@ class Repeats:
         # one row of equal texts is enough; of repeated rows of one id, all come and count once below
         held = docs.select("text_key", "doc_id", "text").join(places.hint("shuffle_hash"), "text_key").where(F.col("doc_id").eqNullSafe(F.col("rep")))
         held = stage.put(held.select("text_key", "text", "places"))
-        self.texts = held.select("text_key", "text")
         side = length - gram
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,61 +298,88 @@ class Repeats:
         counts = once.groupBy("h", "context").agg(F.sum(F.size("pos")).alias("times"))
         contexts = around.groupBy("h", "context").agg(F.first("left").alias("left"), F.first("bytes").alias("bytes")).join(counts, ["h", "context"])
         contexts = stage.put(contexts)
-        sizes = contexts.groupBy("h").agg(F.count("*").alias("n"), F.sum("times").alias("all")).where(F.col("all") > 1)
+        # each side written first, for the same reason
+        sizes = stage.put(contexts.groupBy("h").agg(F.count("*").alias("n"), F.sum("times").alias("all")).where(F.col("all") > 1))
         contexts = stage.put(contexts.join(sizes, "h"))
-        found = _sorted_buckets(contexts.where(F.col("n") <= hot), length, gram)
-        crowded = contexts.where(F.col("n") > hot)
-        if not crowded.isEmpty():
-            many = crowded.where("times > 1").select("h", "context", F.array(F.lit(side) - F.col("left")).alias("lo"), F.array(F.lit(side) - F.col("left") + F.length("bytes") - length + 1).alias("hi"))
-            found = found.unionByName(_halved_ranges(stage, crowded, length, gram)).unionByName(many)
-        runs = stage.put(found).select("h", "context", F.inline(F.arrays_zip("lo", "hi")).alias("lo", "hi"))
-        spans = once.join(runs, ["h", "context"]).select("text_key", F.explode("pos").alias("p"), "lo", "hi")
-        spans = spans.select("text_key", F.struct((F.col("p") - side + F.col("lo")).cast("long").alias("lo"), (F.col("p") - side + F.col("hi") - 1 + length).cast("long").alias("hi")).alias("s"))
-        spans = spans.groupBy("text_key").agg(F.array_sort(F.collect_set("s")).alias("s"))
-        merged = F.aggregate(
-            "s", F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)"),
-            lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["hi"] >= x["lo"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.element_at(done, -1)["lo"].alias("lo"), F.greatest(F.element_at(done, -1)["hi"], x["hi"]).alias("hi"))))).otherwise(F.concat(done, F.array(x))),
-        )
-        spans = spans.select("text_key", merged.alias("spans"))
+        origin = F.lit(side) - F.col("left")  # where a context's bytes begin, when all are aligned at the anchor
+        last = origin + F.length("bytes") - length
+        buckets = contexts.select("*", F.col("h").alias("bucket"), origin.alias("origin"), F.lit(side).alias("s"), F.lit(side + gram).alias("e"), origin.alias("first"), last.alias("last")).where("first <= last")
+        found = _sorted_buckets(buckets.where(F.col("n") <= hot), length, gram)
+        crowded = buckets.where(F.col("n") > hot)
+        small, whole = _refined(stage, crowded, length, hot)
+        if whole:
+            many = crowded.where("times > 1").select("h", "context", F.array("first").alias("lo"), F.array(F.col("last") + 1).alias("hi"))
+            for part in [*(_sorted_buckets(x, length, gram) for x in small), *whole]:
+                many = many.unionByName(part)
+            # the runs that a context has from its buckets, at most one an offset, as one list of runs
+            many = many.select("h", "context", F.flatten(F.zip_with("lo", "hi", lambda a, b: F.sequence(a, b - 1))).alias("o"))
+            many = many.groupBy("h", "context").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("o")))).alias("o"))
+            found = found.unionByName(many.select("h", "context", F.filter("o", lambda x, i: (i == 0) | (F.get("o", i - 1) < x - 1)).alias("lo"), F.transform(F.filter("o", lambda x, i: (i == F.size("o") - 1) | (F.get("o", i + 1) > x + 1)), lambda x: x + 1).alias("hi")))
+        runs = stage.put(found.where(F.size("lo") > 0).select("h", "context", F.arrays_zip("lo", "hi").alias("runs")))
+        # a run's windows at the places of a context overlap or touch unless the places lie further apart than the run is wide
+        wide = lambda r: r["hi"] - r["lo"] - 1 + length
+        starts = lambda r: F.filter("pos", lambda p, i: (i == 0) | (p - F.get("pos", i - 1) > wide(r)))
+        ends = lambda r: F.filter("pos", lambda p, i: (i == F.size("pos") - 1) | (F.get("pos", i + 1) - p > wide(r)))
+        at = lambda r: F.zip_with(starts(r), ends(r), lambda a, b: F.struct((a - side + r["lo"]).cast("long").alias("lo"), (b - side + r["hi"] - 1 + length).cast("long").alias("hi")))
+        self.places = spans = once.join(runs, ["h", "context"]).select("text_key", F.inline(F.flatten(F.transform("runs", at))))
+        order = W.partitionBy("text_key").orderBy("lo")
+        reached = F.max("hi").over(order.rowsBetween(W.unboundedPreceding, -1))
+        spans = spans.withColumn("new", F.coalesce(F.col("lo") > reached, F.lit(True)).cast("int"))
+        spans = spans.withColumn("span", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+        spans = spans.groupBy("text_key", "span").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        spans = spans.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
         copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
         all_of = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))
         both = distinct.select("text_key", "copies", "n_bytes").join(spans, "text_key", "left")
-        both = both.select("text_key", "copies", F.when(copied, all_of).otherwise(F.col("spans")).alias("spans"))
+        both = both.select("text_key", F.when(copied, all_of).otherwise(F.col("spans")).alias("spans"))
         self.spans = stage.put(both.where(F.col("spans").isNotNull()))
 
 
+def text_key(text: Column) -> Column:
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
+
+
+def _with_spans(df: DataFrame, length: int, **options) -> DataFrame:
+    """df with ``_spans``, null where nothing repeats."""
+    spans = Repeats(df, length, **options).spans.select(F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
+    return df.withColumn("_key", text_key(F.col("text"))).join(spans, "_key", "left").drop("_key")
+
+
 def kept_digests(df: DataFrame, length: int = 400, **options) -> DataFrame:
-    """doc_id, n_bytes, spans, n_removed, n_spans, kept_sha256 for every row of (doc_id, text).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, text for every row of (doc_id, text).
 
-    Matches are judged on the input and never cross texts. Null text counts as empty; a text shorter
-    than ``length`` bytes keeps all. Null or repeated doc_ids keep their rows, and rows of equal text
-    repeat each other. Empty input: no rows. Other columns are ignored.
+    spans: the removed runs as (lo, hi) in bytes. text: what is left, U+FFFD where a cut split a
+    character; kept_sha256 is of the bytes themselves. Matches are judged on the input and never cross
+    texts. Null text counts as empty; a text shorter than ``length`` bytes keeps all. Null or repeated
+    doc_ids keep their rows, and rows of equal text repeat each other. Empty input: no rows. Other
+    columns are ignored.
     """
-    found = Repeats(df, length, **options)
+    kind = df.schema["doc_id"].dataType.simpleString()
+    rows = _with_spans(df.select("doc_id", "text"), length, **options)
+    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.coalesce("_spans", F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)")).alias("spans"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            removed, digests, texts, sizes = [], [], [], []
             for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                at, h = 0, hashlib.sha256()
+                at, kept = 0, []
                 for s in spans:
-                    h.update(text[at : s["lo"]])
+                    kept.append(text[at : s["lo"]])
                     at = s["hi"]
-                h.update(text[at:])
-                out.append(h.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["text_key", "kept"])
+                left = b"".join([*kept, text[at:]])
+                sizes.append(len(text))
+                removed.append(len(text) - len(left))
+                digests.append(hashlib.sha256(left).hexdigest())
+                texts.append(left.decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests), b.column(2), pa.array(texts)], ["doc_id", "n_bytes", "n_removed", "kept_sha256", "spans", "text"])
 
-    kept = found.texts.join(found.spans, "text_key").select("text_key", "text", "spans").mapInArrow(keep, "text_key binary, kept string").distinct()
-    spans = found.spans.join(kept, "text_key", "left")
-    out = found.of.join(spans, "text_key", "left")
-    removed = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"]), F.lit(0)).cast("long")
-    kept_sha = F.when(F.col("spans").isNull(), F.col("sha256")).when(removed == F.col("n_bytes"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept"))
-    return out.select("doc_id", "n_bytes", "spans", removed.alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), kept_sha.alias("kept_sha256"))
+    out = rows.mapInArrow(keep, f"doc_id {kind}, n_bytes long, n_removed long, kept_sha256 string, spans array<struct<lo:bigint,hi:bigint>>, text string")
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "spans", "text")
 
 
 def without_repeats(df: DataFrame, length: int = 400, **options) -> DataFrame:
     """df, all columns, with repeated bytes cut from ``text`` (never within a character); null text stays null."""
-    found, names = Repeats(df, length, **options), df.columns
+    names = df.columns
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i = names.index("text")
@@ -390,6 +401,4 @@ def without_repeats(df: DataFrame, length: int = 400, **options) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == i else b.column(k) for k in range(len(names))], names)
 
-    key = F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 32))
-    rows = df.withColumn("_key", key).join(found.spans.select(F.col("text_key").alias("_key"), F.col("spans").alias("_spans")), "_key", "left").select(*names, "_spans")
-    return rows.mapInArrow(trim, df.schema)
+    return _with_spans(df, length, **options).select(*names, "_spans").mapInArrow(trim, df.schema)
