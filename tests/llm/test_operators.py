@@ -440,6 +440,38 @@ def test_mix(spark, real):
         assert 0 <= r.taken <= 3 * r.size and (r.position is None) == (r.taken == 0) and (r.position is None or 0 <= r.position < 1)
         taken[r.source] += r.taken
         target[r.source] = r.target
+        assert r.positions == sorted(r.positions) and r.positions[:1] == ([r.position] if r.taken else [])
     assert all(abs(taken[s] - target[s]) <= 0.5 for s in target)
     places = [r.position for r in rows if r.position is not None]
     assert places == sorted(places) and mixing.mix(frame(spark, [])).collect() == []
+
+
+def test_positions_follow_from_the_schedules(spark, real):
+    """Every start by adding up the schedule in small steps of time, pass after pass."""
+    docs = [(i, t) for i, t in real if t][:60]
+    before = None
+    for tilts in ((0.5, 0.0, -0.5), (0.9, -0.9, 0.3)):
+        mixed = mixing.mix(frame(spark, docs), tilts=tilts)
+        rows = {r.doc_id: r for r in mixed.collect()}
+        for source in {r.source for r in rows.values()}:
+            own = sorted((r for r in rows.values() if r.source == source), key=lambda r: hashlib.md5(str(r.doc_id).encode()).hexdigest())
+            order = sorted({r.source for r in rows.values() if r.source is not None})
+            tilt = tilts[(order.index(source) if source is not None else len(order)) % 3]
+            target, steps = own[0].target, 20_000
+            rate = target * (1 + tilt * (1 - 2 * (np.arange(steps) + 0.5) / steps)) / steps
+            reached = np.concatenate(([0.0], np.cumsum(rate)))
+            assert math.isclose(reached[-1], target)
+            want, c = defaultdict(list), 0
+            while c < round(target) and sum(r.size for r in own):
+                for r in own:
+                    if c < round(target) and r.size:
+                        want[r.doc_id].append((float(np.interp(c, reached, np.arange(steps + 1) / steps)), min(r.size, round(target) - c)))
+                    c += r.size
+            for r in own:
+                assert np.allclose(r.positions, [t for t, _ in want[r.doc_id]], atol=1e-4) and r.taken == sum(n for _, n in want[r.doc_id])
+        stream = mixing.training_stream(mixed).collect()
+        assert [r.position for r in stream] == sorted(p for r in rows.values() for p in r.positions)
+        assert all(sum(s.words for s in stream if s.doc_id == i) == rows[i].taken for i in rows)
+        now = {i: r.positions for i, r in rows.items()}
+        assert now != before and any(len(p) > 1 for p in now.values())
+        before = now

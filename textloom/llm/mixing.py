@@ -7,6 +7,8 @@ the integrated schedule into a training position, and the stream is range-sorted
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -36,17 +38,32 @@ def source_targets(sizes: DataFrame, weights=(1, 2, 3), cap: float = 3.0) -> Dat
     return t.withColumn("target", F.when(F.col("_capped"), F.col("_cap")).otherwise(level * F.col("weight"))).select("source", "source_size", "weight", "target")
 
 
+def demand(t, tilt, target):
+    """Words that a source gives by time t: the integral of target * (1 + tilt * (1 - 2t))."""
+    return target * ((1 + tilt) * t - tilt * t * t)
+
+
+def _time_of(words, tilt, target):
+    """The time by which the demand reaches ``words``: its inverse, in the form without cancellation."""
+    x = words / target
+    return (2 * x) / ((1 + tilt) + F.sqrt(F.greatest((1 + tilt) * (1 + tilt) - 4 * tilt * x, F.lit(0.0))))
+
+
 def mix(df: DataFrame, weights=(1, 2, 3), cap: float = 3.0, tilts=(0.5, 0.0, -0.5), bucket_digits: int = 3) -> DataFrame:
-    """Assign every document its share of the mix and its training position.
+    """Assign every document its training positions and the words that the mix takes there.
+
+    Returns doc_id, source, size, source_size, target, taken, positions (0 to 1, ascending: one for each
+    time the document starts; empty if nothing is taken) and position (the first; else null),
+    range-sorted by position. ``training_stream`` gives a row for each start.
 
-    Returns doc_id, source, size, source_size, target, taken, passes (times the document starts) and
-    position (0 to 1, of its first start; null if nothing is taken), range-sorted by position.
+    ``tilts``: a source of the i-th weight is drawn at the rate target * (1 + tilt * (1 - 2t)), tilt from
+    -1 to 1. Its documents follow md5(doc_id), pass after pass; a start whose predecessors hold c words
+    takes place when the integrated rate reaches c, and takes what the demand still leaves at the end
+    of training, its whole size at most. So each source takes exactly its rounded target, the last
+    start cut within its document.
 
-    ``tilts``: a source of the i-th weight is drawn at the rate target * (1 + tilt * (1 - 2t)).
-    Within a source, documents follow md5(doc_id); cumulative sizes are built in two levels (hash
-    prefixes of ``bucket_digits`` hex digits, then rows within a prefix), so that no task holds a
-    whole source. Every source takes exactly its rounded target: whole passes, then a last partial
-    pass in hash order, cut within one document.
+    Cumulative sizes are built in two levels (hash prefixes of ``bucket_digits`` hex digits, then rows
+    within a prefix), so that no task holds a whole source.
 
     Null or empty text: size 0, nothing taken. Null source: a source of its own, last in order. Null
     doc_id: ordered as empty text. Repeated rows are mixed as rows of their own; rows that tie in
@@ -71,16 +88,20 @@ def mix(df: DataFrame, weights=(1, 2, 3), cap: float = 3.0, tilts=(0.5, 0.0, -0.
     r = named(rows.withColumn("_end", inner))
     m = named(sums).drop("source")
     x = r.join(m, ["_source", "_null", "_bucket"])
-    demand = F.round("target").cast("long")
-    whole = F.when(F.col("source_size") > 0, F.floor(demand / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    x = x.withColumn("_start", F.col("_before") + F.col("_end") - F.col("size")).withColumn("_whole", whole)
-    part = F.least(F.greatest(demand - F.col("_whole") * F.col("source_size") - F.col("_start"), F.lit(0)), F.col("size"))
-    x = x.withColumn("taken", F.col("_whole") * F.col("size") + part).withColumn("passes", F.col("_whole") + (part > 0).cast("int"))
     tilt = F.element_at(F.array(*[F.lit(float(t)) for t in tilts]), F.array_position(F.array(*[F.lit(int(w)) for w in weights]), F.col("weight")).cast("int"))
-    at = F.col("_start") / F.col("target")
-    root = ((1 + tilt) - F.sqrt(F.greatest((1 + tilt) * (1 + tilt) - 4 * tilt * at, F.lit(0.0)))) / (2 * tilt)
-    position = F.when(F.col("taken") > 0, F.when(tilt == 0, at).otherwise(root))
-    return x.select("doc_id", "source", "size", "source_size", "target", "taken", "passes", position.alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    x = x.withColumn("_start", F.col("_before") + F.col("_end") - F.col("size")).withColumn("_tilt", tilt).withColumn("_all", F.round("target").cast("long"))
+    passes = F.transform(F.sequence(F.lit(0), F.lit(max(math.ceil(cap) - 1, 0))), lambda p: p * F.col("source_size") + F.col("_start"))
+    starts = F.filter(F.transform(passes, lambda c: F.struct(_time_of(c, F.col("_tilt"), F.col("target")).alias("t"), F.least(F.col("size"), F.col("_all") - c).alias("n"))), lambda x: x["n"] > 0)
+    x = x.withColumn("_starts", starts).withColumn("positions", F.col("_starts.t")).withColumn("position", F.get("positions", F.lit(0)))
+    x = x.withColumn("taken", F.aggregate("_starts", F.lit(0).cast("long"), lambda n, x: n + x["n"]))
+    return x.select("doc_id", "source", "size", "source_size", "target", "taken", "positions", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def training_stream(mixed: DataFrame) -> DataFrame:
+    """(doc_id, source, pass, position, words): a row for each start in ``mix``'s result, range-sorted by position."""
+    rows = mixed.select("doc_id", "source", "size", "taken", F.posexplode("positions").alias("pass", "position"))
+    words = F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))
+    return rows.select("doc_id", "source", "pass", "position", words.alias("words")).orderBy("position", "doc_id")
 
 
 #: DuckDB SQL for the rows of ``op10_mixing``.
@@ -104,10 +125,15 @@ t AS (
               ELSE max(CASE WHEN cap / weight > level THEN level END) OVER () * weight END AS target
   FROM l),
 x AS (
-  SELECT d.*, t.source_size, t.weight, t.target, CAST(round(t.target) AS BIGINT) AS demand,
+  SELECT d.*, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS demand, CAST(CASE t.weight WHEN 1 THEN 0.5 WHEN 2 THEN 0 ELSE -0.5 END AS DOUBLE) AS tilt,
          CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY k, doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-y AS (SELECT *, CASE WHEN source_size > 0 THEN demand // source_size ELSE 0 END AS whole FROM x),
-z AS (SELECT *, least(greatest(demand - whole * source_size - start, 0), size) AS part FROM y)
-SELECT doc_id, size, source_size, target, CAST(whole * size + part AS BIGINT) AS taken FROM z
+y AS (
+  SELECT *, unnest([0, 1, 2]) AS p FROM x),
+z AS (
+  SELECT *, greatest(least(size, demand - p * source_size - start), 0) AS n, CAST(p * source_size + start AS DOUBLE) / target AS part FROM y),
+q AS (
+  SELECT *, CASE WHEN n > 0 THEN (2 * part) / ((1 + tilt) + sqrt(greatest((1 + tilt) * (1 + tilt) - 4 * tilt * part, CAST(0 AS DOUBLE)))) END AS moment FROM z)
+SELECT doc_id, size, source_size, target, CAST(sum(n) AS BIGINT) AS taken, coalesce(list(moment ORDER BY p) FILTER (n > 0), CAST([] AS DOUBLE[])) AS positions, min(moment) AS position
+FROM q GROUP BY k, doc_id, source, size, source_size, target, start
 """

@@ -66,7 +66,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "positions", "position")
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_lm_scores, op4_license_scan, op5_url_filter, op6_suffix_dedup, op7_decontamination, op8_nearest, op9_simhash, op10_mixing)}
