@@ -221,7 +221,7 @@ def removed(texts, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("length, hot", [(400, 1024), (64, 1024), (65, 2), (64, 5)])
+@pytest.mark.parametrize("length, hot", [(400, 2048), (64, 2048), (65, 2), (64, 5)])
 def test_repeats(spark, real, length, hot):
     passage = " ".join(f"p{i}" for i in range(60))
     texts = [x for x in ODD if x[0] != 4 or length < 400] + real[:60] + [(300 + i, f"own {i} " * (i + 1) + passage + f" tail {i * 7}") for i in range(12)] + [(400, "ab" * 700), (401, "z" * 401), (402, "Q" * 399)]
@@ -230,7 +230,7 @@ def test_repeats(spark, real, length, hot):
     assert all(r.n_removed == sum(s.hi - s.lo for s in r.spans) and r.n_spans == len(r.spans) for r in got)
 
 
-@pytest.mark.parametrize("hot", [1024, 8])
+@pytest.mark.parametrize("hot", [2048, 8])
 def test_repeats_of_a_family_make_rows_in_proportion(spark, hot):
     """Spans before the merge grow with the number of near copies, whether their buckets are split or not."""
     rng = np.random.default_rng(8)

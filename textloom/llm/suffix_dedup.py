@@ -217,28 +217,30 @@ def _refined(stage: Stage, buckets: DataFrame, length: int, hot: int) -> tuple[l
     The contexts of a bucket share the bytes [s, e). Every window holds the half of its free bytes next to
     these on the left, or else more than half on the right: so a context goes to one bucket by its bytes
     on the left, for the windows that hold them, and to one by those on the right, for the others. A
-    context alone in a bucket repeats nothing there. Returns buckets to sort, and runs of windows that are
-    shared whole.
+    context alone in a bucket repeats nothing there. Of contexts that agree in all their windows there,
+    which repeat whole, one goes on. Returns buckets to sort, and runs of windows that repeat whole.
     """
     small, whole = [], []
     live = buckets
     while not live.isEmpty():
-        free = F.lit(length) - (F.col("e") - F.col("s"))
+        half = F.ceil((F.lit(length) - (F.col("e") - F.col("s"))) / 2).cast("int")
         part = lambda lo, hi: F.substring("bytes", lo - F.col("origin") + 1, hi - lo)
-        same = live.where(free == 0).withColumn("string", F.md5(part(F.col("s"), F.col("e"))))
-        many = same.groupBy("bucket", "string").agg(F.count("*").alias("k")).where("k > 1").select("bucket", "string")
-        whole.append(stage.put(same.join(many, ["bucket", "string"]).select("h", "context", F.array("s").alias("lo"), F.array(F.col("s") + 1).alias("hi"))))
-        half = F.ceil(free / 2).cast("int")
         to_left = F.struct(F.lit(0).alias("way"), (F.col("s") - half).alias("s"), F.col("e").alias("e"), F.col("first").alias("first"), F.least(F.col("last"), F.col("s") - half).alias("last"), part(F.col("s") - half, F.col("s")).alias("string"))
         end = F.col("s") - half + 1 + length
         to_right = F.struct(F.lit(1).alias("way"), F.col("s").alias("s"), end.alias("e"), F.greatest(F.col("first"), F.col("s") - half + 1).alias("first"), F.col("last").alias("last"), part(F.col("e"), end).alias("string"))
-        split = live.where(free > 0).select("bucket", "h", "context", "left", "origin", "times", "bytes", F.explode(F.array(to_left, to_right)).alias("x")).where("x.first <= x.last")
-        split = stage.put(split.select(F.xxhash64("bucket", "x.way", "x.string").alias("bucket"), "h", "context", "left", "origin", "times", "bytes", "x.s", "x.e", "x.first", "x.last"))
-        sizes = stage.put(split.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"))
-        sized = stage.put(split.join(sizes, "bucket"))
-        stage.drop(split)
-        small.append(sized.where(F.col("k") <= hot).drop("k"))
-        live = sized.where(F.col("k") > hot).drop("k")
+        split = live.select("bucket", "h", "context", "left", "origin", "times", "bytes", F.explode(F.array(to_left, to_right)).alias("x")).where("x.first <= x.last")
+        split = split.select(F.xxhash64("bucket", "x.way", "x.string").alias("bucket"), "h", "context", "left", "origin", "times", "bytes", "x.s", "x.e", "x.first", "x.last")
+        split = stage.put(split.withColumn("all", F.unhex(F.md5(part(F.col("first"), F.col("last") + length)))))
+        same = ["bucket", "first", "last", "all"]
+        twins = stage.put(split.groupBy(*same).agg(F.count("*").alias("k"), F.min("context").alias("one")).where("k > 1"))
+        joined = stage.put(split.join(twins, same, "left").drop("all"))
+        stage.drop(split, twins)
+        whole.append(joined.where("k > 1").select("h", "context", F.array("first").alias("lo"), F.array(F.col("last") + 1).alias("hi")))
+        left = joined.where("k is null or context = one").withColumn("times", F.col("times") + F.coalesce(F.col("k") - 1, F.lit(0))).drop("k", "one")
+        sizes = stage.put(left.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"))
+        left = stage.put(left.join(sizes, "bucket"))
+        small.append(left.where(F.col("k") <= hot).drop("k"))
+        live = left.where((F.col("k") > hot) & (F.col("e") - F.col("s") < length)).drop("k")
     return small, whole
 
 
@@ -248,7 +250,7 @@ class Repeats:
     spans: text_key, spans (array of (lo, hi) in bytes, maximal and in order) of texts that repeat anything.
     """
 
-    def __init__(self, df: DataFrame, length: int = 400, gram: int | None = None, hot: int = 1024):
+    def __init__(self, df: DataFrame, length: int = 400, gram: int | None = None, hot: int = 2048):
         gram = gram or length // 2
         stage = Stage(df.sparkSession, "repeats")
         text = F.coalesce("text", F.lit("")).cast("binary")
