@@ -3,68 +3,73 @@ import re
 import zlib
 from collections import Counter
 
+import pytest
+
 from textloom.llm.ngram_automaton import score_texts
 
 SCHEMA = "doc_id long, text string, score double"
 
 
-def brute(rows, share, discount=0.75, folds=7, held=2):
-    """The same model by direct recursion over counts, for orders up to three."""
+def brute(rows, discount=1.0, folds=7, held=2):
+    """The same model by direct recursion over counts of words and pairs."""
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
-    toks = {i: [w for w in re.split(r"[\x20\x09-\x0D]+", low(t)) if w] + [""] for i, t in rows}
+    toks = [(i, [w for w in re.split(r"[\x20\x09-\x0D]+", low(t)) if w] + [""]) for i, t in rows]
     out_of = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % folds == held
-    c = Counter(w for i, t in toks.items() if not out_of(i) for w in t)
+    c = Counter(w for i, t in toks if not out_of(i) for w in t)
     total, distinct = sum(c.values()), len(c)
-    frequent = {w for w in c if c[w] >= share * total} | {""}
-    two, three = Counter(), Counter()
-    for i, t in toks.items():
-        if not out_of(i):
-            s = [None, *t]
-            two.update(zip(s, s[1:]))
-            three.update(zip(s, s[1:], s[2:]))
-    name = lambda w: "" if w is None else w
-    two = {(name(a), b): n for (a, b), n in two.items() if name(a) in frequent and b in frequent and n >= share * total}
-    three = {(name(a), b, d): n for (a, b, d), n in three.items() if (name(a), b) in two and (b, d) in two and n >= share * total}
+    two = Counter(p for i, t in toks if not out_of(i) for p in zip(["", *t], t))
+    context = Counter()
+    for (a, _), n in two.items():
+        context[a] += n
+    types = Counter(a for a, _ in two)
 
     def p(h, w):
-        if not h:
-            return (c[w] + 1) / (total + distinct + 1)
-        grams, context = (two, c[h[0]]) if len(h) == 1 else (three, two.get(h, 0))
-        kept = {g[-1]: n for g, n in grams.items() if g[:-1] == h}
-        if not kept:
-            return p(h[1:], w)
-        mass = sum(max(n - discount, 0) for n in kept.values()) / context
-        return max(kept.get(w, 0) - discount, 0) / context + max(1 - mass, 1e-12) * p(h[1:], w)
-
-    got = {}
-    for i, t in toks.items():
-        s, lp = [""], 0.0
-        for w in t:
-            lp += math.log10(p(tuple(s[-2:]), w))
-            s.append(w)
-        base = sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in t)
-        got[i] = (out_of(i), len(t), sum(1 for w in t if c[w]), total, base, lp)
+        word = (c[w] + 1) / (total + distinct + 1)
+        if not context[h]:
+            return word
+        return max(two[h, w] - discount, 0) / context[h] + discount * types[h] / context[h] * word
+
+    assert not context or all(math.isclose(sum(p(h, w) for w in c) + discount * types[h] / context[h] / (total + distinct + 1), 1) for h in list(context)[:5])
+    got = []
+    for i, t in toks:
+        lp = sum(math.log10(p(a, b)) for a, b in zip(["", *t], t))
+        got.append((i, out_of(i), len(t), sum(1 for w in t if c[w]), total, sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in t), lp))
     return got
 
 
-def check(spark, rows, share):
-    want = brute(rows, share)
-    for r in score_texts(spark.createDataFrame([(i, t, 0.0) for i, t in rows], SCHEMA), share=share).collect():
-        w = want[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
-        assert math.isclose(r.base_score, w[4], rel_tol=1e-9) and math.isclose(r.score, w[5], rel_tol=1e-9), (r, w)
+def check(spark, rows, **options):
+    want = brute(rows, options.get("discount", 1.0))
+    got = [tuple(r) for r in score_texts(spark.createDataFrame([(i, t, 0.0) for i, t in rows], SCHEMA), **options).collect()]
+    order = lambda rs: sorted(rs, key=lambda r: (*map(repr, r[:5]), round(r[5], 6), round(r[6], 6)))
+    assert len(got) == len(want)
+    for a, b in zip(order(got), order(want)):
+        assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-9), (a, b)
 
 
-def test_matches_direct_recursion(spark):
+def texts_of(n=40):
     texts = ["The cat sat on the mat", "the cat sat", "the  cat\tran on the mat", "", None, "É the É", "on the mat the cat sat on the mat"]
-    rows = [(i, texts[i % len(texts)]) for i in range(40)] + [(None, "the cat"), (50, "unseen words only")]
-    check(spark, rows, 1e-9)
-    check(spark, rows, 0.03)
+    return [(i, texts[i % len(texts)]) for i in range(n)] + [(None, "the cat"), (None, "the cat"), (50, "unseen words only"), (51, "x " * 500)]
+
+
+@pytest.mark.parametrize("options", [{}, {"discount": 0.75}, {"block_tokens": 30}, {"block_tokens": 30, "heavy_share": 0.04}, {"block_tokens": 1, "heavy_share": 2.0}])
+def test_matches_direct_recursion(spark, options):
+    check(spark, texts_of(), **options)
 
 
 def test_matches_on_documents(spark):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
-    check(spark, rows, 1e-4)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    check(spark, rows, block_tokens=9_000)
+
+
+def test_rare_pairs_count_in_a_large_table(spark):
+    """Over half a million training tokens, a pair of two occurrences still makes an arc."""
+    d = "/root/testdata/sf0.1/documents.parquet"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(d).where("doc_id % 4 = 0").select("doc_id", "text").collect()]
+    rows += [(10**6 + k, " ".join(f"rare{j}" for j in range(60))) for k in range(2)] + [(10**6 + 10, " ".join(f"lone{j}" for j in range(60)))]
+    assert not any(zlib.crc32(str(10**6 + k).encode()) % 7 == 2 for k in (0, 1, 10))
+    check(spark, rows, block_tokens=200_000)
+    got = {r.doc_id: r.score / r.n_tokens for r in score_texts(spark.createDataFrame([(i, t, 0.0) for i, t in rows], SCHEMA)).where("doc_id >= 1000000").collect()}
+    assert got[10**6] == got[10**6 + 1] > got[10**6 + 10] + 3
 
 
 def test_empty_and_untrained(spark):

@@ -1,20 +1,19 @@
 """Language-model scores from a weighted backoff automaton.
 
-N-grams become states with failure arcs. One left-to-right traversal of a text carries the state:
-a token with an arc out of the state adds the arc's log-probability; without one, the state's
-backoff weight is added and the failure arc followed, down to the root, which has an arc for every
-token. The model is P(w | h) = max(c(hw) - D, 0) / c(h) + backoff(h) * P(w | shorter h), a proper
-distribution at each state, over the smoothed unigrams (c + 1) / (N + V + 1).
-
-Counts cover all training texts. What every worker must hold is bounded by relative frequency: at
-most 1/``share`` n-grams of an order can each make up ``share`` of all tokens, whatever the corpus's
-size. Rarer tokens, which only the root's arcs can emit, get their counts by a join.
+States are the root and one for each word that training has seen; the state after a word knows its
+continuations. One left-to-right traversal of a text carries the state: a word with an arc out of
+the state adds the arc's log-probability; without one, the state's backoff weight is added and the
+failure arc followed to the root, which has an arc for every word. The model is
+P(w | h) = max(c(hw) - D, 0) / c(h) + D * types(h) / c(h) * P(w), a proper distribution at each state,
+over the smoothed words P(w) = (c(w) + 1) / (N + V + 1). With D = 1, what was seen once makes no arc.
+
+No n-gram is dropped and no table of the corpus is held by a worker: texts are packed into blocks,
+each block asks for the counts of its own distinct words and pairs (partial sums of all its texts,
+dealt over buckets by hash), and traverses its texts with the arcs that come back.
 """
 
 from __future__ import annotations
 
-import math
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,225 +24,269 @@ from .common import Stage, crc_bucket
 from .token_counts import worker_cache
 
 END = b""  # no word is empty, so the end token can't clash with one
-
-
-def _tokens(text: bytes | None) -> list[bytes]:
-    out = text.lower().split() if text else []
-    out.append(END)
-    return out
-
-
-class Ids(dict):
-    """Frequent token -> id from 1; others 0."""
-
-    def __missing__(self, key: bytes) -> int:
-        return 0
-
-
-def _vocabulary(key: str, frequent) -> Ids:
-    cache = worker_cache("vocabulary")
-    if key not in cache:
-        cache.clear()
-        cache[key] = Ids((t, i + 1) for i, t in enumerate(frequent.value[0]))
-    return cache[key]
-
-
-def _ngram_counts(train: DataFrame, key: str, frequent, kept: list, width: int) -> DataFrame:
-    """(gram, n): counts of the n-grams one longer than ``kept``'s last, of which both shorter parts are kept."""
-    kept = train.sparkSession.sparkContext.broadcast(list(kept))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        ids = _vocabulary(key, frequent)
-        get, end = ids.__getitem__, ids[END]
-        for b in batches:
-            flat: list[int] = []
-            for text in b.column(0).to_pylist():
-                flat.append(end)  # as the context of the first token
-                flat.extend(map(get, _tokens(text)))
-                flat.append(0)
-            g = np.array(flat, np.int64)
-            at = g
-            for order in [*kept.value, None]:
-                grams = np.where((at[:-1] > 0) & (at[1:] > 0), at[:-1] * width + g[1:], -1)
-                if order is None:
-                    break
-                found = np.searchsorted(order, grams)
-                hit = (found < len(order)) & (order[np.minimum(found, len(order) - 1)] == grams) if len(order) else np.zeros(len(grams), bool)
-                at = np.concatenate(([0], np.where(hit, found + 1, 0)))
-            values, counts = np.unique(grams[grams >= 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], ["gram", "n"])
-
-    return train.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-class Automaton:
-    """States, arcs and failure arcs from the counts of kept n-grams; see the module."""
-
-    def __init__(self, counts: list[int], total: int, distinct: int, orders: list[tuple[list[int], list[int]]], width: int, discount: float):
-        self.width, rest = width, math.log10(total + distinct + 1)
-        self.root = [0.0, *(math.log10(c + 1) - rest for c in counts)]
-        base = [0.0, *((c + 1) / (total + distinct + 1) for c in counts)]
-        self.backoff, self.fail = [0.0], [0]
-        self.arcs: dict[int, int] = {}
-        self.weight: list[float] = []
-        self.to: list[int] = []
-        # ``context``: of each kept gram of the order before, its count, probabilities of its extensions below
-        context = [0, *counts]
-        lower = base  # probability of a gram's last token after the gram without its first
-        suffix_of = None
-        self.next = [0] * len(context)
-        tails = [0] * len(context)  # where a gram's own failure arc leads
-        pending = []
-        for grams, n in orders:
-            lefts = [g // width for g in grams]
-            states = [0] * len(context)
-            mass: dict[int, float] = {}
-            for left, c in zip(lefts, n):
-                mass[left] = mass.get(left, 0.0) + max(c - discount, 0.0) / context[left]
-            for left in mass:
-                states[left] = len(self.backoff)
-                self.backoff.append(math.log10(max(1.0 - mass[left], 1e-12)))
-                self.fail.append(tails[left])
-            # the gram's own suffix of the order before, and the probability it gives to the last token
-            if suffix_of is None:
-                suffixes = [g % width for g in grams]
-            else:
-                index, last = suffix_of
-                suffixes = [index[last[g // width] * width + g % width] for g in grams]
-            for state_after in pending:  # arcs of the order before lead to these new states where they exist
-                for arc, gram in state_after:
-                    if states[gram]:
-                        self.to[arc] = states[gram]
-            after = [states[i] or tails[i] for i in range(len(context))]
-            if suffix_of is None:
-                self.next = after
-            p, arcs = [0.0], []
-            for i, (g, left, c, s) in enumerate(zip(grams, lefts, n, suffixes), 1):
-                keep = 10 ** self.backoff[states[left]]
-                prob = max(c - discount, 0.0) / context[left] + keep * lower[s]
-                p.append(prob)
-                self.arcs[states[left] * width + g % width] = len(self.weight)
-                arcs.append((len(self.weight), i))
-                self.weight.append(math.log10(prob))
-                self.to.append(after[s])
-            pending = [arcs]
-            # for the next order: a gram's suffix's index, and the state that its failure arc leads to
-            index = {g: i for i, g in enumerate(grams, 1)}
-            suffix_of = (index, [0, *suffixes])
-            tails = [0, *(after[s] for s in suffixes)]
-            context, lower = [0, *n], p
-
-    def score(self, ids: list[int], start: int) -> float:
-        """Log10 probability of the ids, without what the root gives to ids of 0."""
-        arcs, weight, to, backoff, fail, root, after, width = self.arcs.get, self.weight, self.to, self.backoff, self.fail, self.root, self.next, self.width
-        total, s = 0.0, after[start]
-        for w in ids:
-            if w:
-                while s:
-                    a = arcs(s * width + w)
-                    if a is not None:
-                        total += weight[a]
-                        s = to[a]
-                        break
-                    total += backoff[s]
-                    s = fail[s]
-                else:
-                    total += root[w]
-                    s = after[w]
-            else:
-                while s:
-                    total += backoff[s]
-                    s = fail[s]
-        return total
-
-
-def score_texts(df: DataFrame, order: int = 3, share: float = 2e-6, discount: float = 0.75, folds: int = 7, held: int = 2) -> DataFrame:
+MULTIPLIER = 0x9E3779B97F4A7C15
+#: Tokens and texts of a block, unless one text alone has more.
+BLOCK_TOKENS, BLOCK_TEXTS = 2_000_000, 50_000
+LOW = (1 << 48) - 1
+
+
+class Hashes(dict):
+    """Token -> 64-bit hash, kept by the worker within a bound."""
+
+    def __missing__(self, token: bytes) -> int:
+        import xxhash
+
+        if len(self) >= 500_000:
+            self.clear()
+        self[token] = h = xxhash.xxh64_intdigest(token)
+        return h
+
+
+def _mix(np, a, b):
+    h = (a ^ (b * np.uint64(MULTIPLIER))) * np.uint64(0xD1342543DE82EF95)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(MULTIPLIER)
+    return h ^ (h >> np.uint64(29))
+
+
+def _planes(x) -> bytes:
+    """Unsigned numbers as planes of bytes, which compress well."""
+    return x.view("u1").reshape(-1, x.itemsize).T.tobytes()
+
+
+def _from_planes(np, raw, dtype: str):
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
+
+
+def _six(np, x) -> bytes:
+    """The low 48 bits of each number; the rest is said by its bucket."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _from_six(np, raw):
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(np.uint64)
+
+
+def _bucket(np, h, buckets: int):
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+class Block:
+    """The words and pairs of a block: ids in order of frequency, pairs in order of (first, second), and where each is counted."""
+
+    def __init__(self, np, sizes, train, hashes, ids, heavy, buckets: int):
+        self.hashes, self.ids = hashes, ids
+        n = len(hashes)
+        self.starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+        self.taught = np.repeat(train, sizes)
+        before = np.empty(len(ids), np.int64)
+        before[1:] = ids[:-1]
+        before[self.starts] = np.flatnonzero(hashes == np.uint64(_end()))[0]  # the end token stands before the first word
+        self.pairs, self.pair_of = np.unique(before * n + ids, return_inverse=True)
+        self.first, self.second = self.pairs // n, self.pairs % n
+        at = np.searchsorted(heavy, hashes)
+        self.heavy = np.where((at < len(heavy)) & (heavy[np.minimum(at, max(len(heavy) - 1, 0))] == hashes), at, -1) if len(heavy) else np.full(n, -1)
+        own = _bucket(np, hashes, buckets)
+        spread = self.heavy[self.first] >= 0
+        self.pair_bucket = np.where(spread, _bucket(np, _mix(np, hashes[self.first], hashes[self.second]), buckets), own[self.first])
+        # words of a bucket, then pairs whose first word lies there, then spread pairs, each in order
+        self.words_in, self.word_at = self._dealt(np, own, buckets)
+        self.pairs_in, self.pair_at = self._dealt(np, np.where(spread, buckets, self.pair_bucket), buckets)
+        self.spread_in, self.spread_at = self._dealt(np, np.where(spread, self.pair_bucket, buckets), buckets)
+
+    @staticmethod
+    def _dealt(np, bucket, buckets: int):
+        order = np.argsort(bucket, kind="stable")
+        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+    def of(self, b: int):
+        """Words, pairs and spread pairs of bucket b."""
+        return tuple(x[at[b] : at[b + 1]] for x, at in ((self.words_in, self.word_at), (self.pairs_in, self.pair_at), (self.spread_in, self.spread_at)))
+
+    def asked(self, np) -> Iterator[tuple[int, int, int, int, bytes]]:
+        """(bucket, words, pairs, spread pairs, data) for each bucket that counts something of the block."""
+        n_word = np.bincount(self.ids[self.taught], minlength=len(self.hashes)).astype(np.uint32)
+        n_pair = np.bincount(self.pair_of[self.taught], minlength=len(self.pairs)).astype(np.uint32)
+        follow = np.bincount(self.first, minlength=len(self.hashes)).astype(np.uint32)
+        follow[self.heavy >= 0] = 0
+        for b in range(len(self.word_at) - 1):
+            w, p, q = self.of(b)
+            if len(w) or len(p) or len(q):
+                data = [_six(np, self.hashes[w]), _planes(n_word[w]), _planes(follow[w]), _six(np, self.hashes[self.second[p]]), _planes(n_pair[p])]
+                data += [_planes(self.heavy[self.first[q]].astype(np.uint32)), _six(np, self.hashes[self.second[q]]), _planes(n_pair[q])]
+                yield b, len(w), len(p), len(q), b"".join(data)
+
+    def scores(self, np, answers, types_of_heavy, total: int, distinct: int, discount: float):
+        """(known words, base score, score) of each text, from (bucket, data) rows."""
+        c, types, arcs = np.zeros(len(self.hashes), np.uint64), np.zeros(len(self.hashes), np.uint64), np.zeros(len(self.pairs), np.uint64)
+        for b, data in answers:
+            w, p, q = self.of(b)
+            got = _from_planes(np, data, "<u8")
+            c[w], types[w] = got[: len(w)], got[len(w) : 2 * len(w)]
+            arcs[p], arcs[q] = got[2 * len(w) : 2 * len(w) + len(p)], got[2 * len(w) + len(p) :]
+        spread = self.heavy >= 0
+        types[spread] = types_of_heavy[self.heavy[spread]]
+        c, types, arcs = c.astype(float), types.astype(float), arcs.astype(float)
+        word = (c + 1) / (total + distinct + 1)
+        before, after = c[self.first], word[self.second]
+        state = np.maximum(before, 1)  # unseen words lead to the root
+        p = np.where(before > 0, np.maximum(arcs - discount, 0) / state + discount * types[self.first] / state * after, after)
+        at = self.starts
+        return np.add.reduceat((c > 0)[self.ids].astype(np.int64), at), np.add.reduceat(np.log10(word)[self.ids], at), np.add.reduceat(np.log10(p)[self.pair_of], at)
+
+
+def _end() -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(END)
+
+
+def _count(np, rows, n_heavy: int):
+    """Answers to the (words, pairs, spread pairs, data) rows of a bucket; its (words in all, distinct words, types of heavy words)."""
+    words, n_word, follow, second, n_pair, heavy, other, n_spread = ([] for _ in range(8))
+    for u, p, q, data in rows:
+        at = 0
+        for out, k, size in ((words, u, 6), (n_word, u, 4), (follow, u, 4), (second, p, 6), (n_pair, p, 4), (heavy, q, 4), (other, q, 6), (n_spread, q, 4)):
+            part = data[at : at + k * size]
+            out.append(_from_six(np, part) if size == 6 else _from_planes(np, part, "<u4"))
+            at += k * size
+    words, n_word, follow, second, n_pair, heavy, other, n_spread = map(np.concatenate, (words, n_word, follow, second, n_pair, heavy, other, n_spread))
+
+    def totals(key, n):
+        _, first, of = np.unique(key, return_index=True, return_inverse=True)
+        return first, of, np.bincount(of, n, len(first)).astype(np.uint64)
+
+    _, of_word, c = totals(words, n_word)
+    before = np.repeat(of_word, follow)
+    first, of_pair, arcs = totals(_mix(np, before.astype(np.uint64), second), n_pair)
+    types = np.bincount(before[first[arcs > 0]], minlength=len(c)).astype(np.uint64)
+    first, of_spread, spread = totals(_mix(np, heavy.astype(np.uint64), other), n_spread)
+    types_of_heavy = np.bincount(heavy[first[spread > 0]], minlength=n_heavy)
+    out, a, b, d = [], 0, 0, 0
+    for u, p, q, _ in rows:
+        own = of_word[a : a + u]
+        out.append(_planes(np.concatenate((c[own], types[own], arcs[of_pair[b : b + p]], spread[of_spread[d : d + q]]))))
+        a, b, d = a + u, b + p, d + q
+    return out, (int(c.sum()), int((c > 0).sum()), types_of_heavy)
+
+
+def _unpacked(np, row):
+    """(sizes, train, hashes, ids) of a block's row."""
+    data = pa.Codec("zstd").decompress(row["data"], row["bytes"], asbytes=True)
+    hashes = np.frombuffer(data, np.uint64, row["words"])
+    ids = _from_planes(np, data[8 * row["words"] :], "<u4").astype(np.int64)
+    return np.array(row["sizes"], np.int64), ~np.array(row["held_out"], bool), hashes, ids
+
+
+def score_texts(df: DataFrame, discount: float = 1.0, folds: int = 7, held: int = 2, heavy_share: float = 1e-4, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of (doc_id, text).
 
-    Texts whose crc32(doc_id as text) mod ``folds`` is ``held`` are held out of training. An n-gram
-    of 1 to ``order`` tokens is held by every worker if its count is at least ``share`` of the
-    training tokens. base_score: add-one unigrams; score: the automaton's log10 probability.
+    Texts whose crc32(doc_id as text) mod ``folds`` is ``held`` are held out of training. base_score:
+    add-one words; score: the automaton's log10 probability, over all words and pairs of the training
+    texts. Words are told apart by 64-bit hashes. ``heavy_share``: pairs after a word that may make up
+    as much of the tokens are dealt over all buckets; it decides about tasks, not about results.
 
     Null text counts as empty (the end token alone). Null doc_id: crc32 of the empty text. Repeated
     rows count and are scored each. No training rows: N = V = 0, and every token is unknown. Empty
     input: no rows. Other columns are ignored.
     """
     spark = df.sparkSession
-    stage, key = Stage(spark, "ngram"), uuid.uuid4().hex
-    docs = df.select("doc_id", F.col("text").cast("binary").alias("text"), (crc_bucket(F.col("doc_id"), folds) == held).alias("held_out"))
-    train = docs.where(~F.col("held_out")).select("text")
-
-    def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        def out(seen: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["token", "c"])
+    stage = Stage(spark, "ngram")
+    kind = df.schema["doc_id"].dataType.simpleString()
+    docs = df.select("doc_id", (crc_bucket(F.col("doc_id"), folds) == held).alias("held_out"), F.col("text").cast("binary").alias("text"))
 
-        seen: Counter = Counter()
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        get, end = worker_cache("hashes").setdefault("of", Hashes()).__getitem__, _end()
+        docs, flags, sizes, flat = [], [], [], []
+        tokens = 0
+
+        def block(id_type) -> pa.RecordBatch:
+            nonlocal docs, flags, sizes, flat, tokens, number
+            all_hashes = np.concatenate(flat)
+            taught = np.repeat(~np.array(flags), sizes)
+            hashes, ids, counts = np.unique(all_hashes, return_inverse=True, return_counts=True)
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            times = np.bincount(ids[taught], minlength=len(hashes))
+            often = np.flatnonzero(times >= max(1, heavy_share * taught.sum()))
+            data = hashes[order].tobytes() + _planes(rank[ids])
+            longs = pa.list_(pa.int64())
+            row = [pa.array([number], pa.int64()), pa.array([docs], pa.list_(id_type)), pa.array([flags], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())), pa.array([len(hashes)], pa.int32()), pa.array([len(data)], pa.int64())]
+            row += [pa.array([pa.Codec("zstd").compress(data, asbytes=True)], pa.binary()), pa.array([int(taught.sum())], pa.int64()), pa.array([hashes[often].view(np.int64)], longs), pa.array([times[often]], longs)]
+            number += 1
+            docs, flags, sizes, flat, tokens = [], [], [], [], 0
+            return pa.RecordBatch.from_arrays(row, ["block", "docs", "held_out", "sizes", "words", "bytes", "data", "taught", "heavy", "times"])
+
+        id_type = None
         for b in batches:
-            for text in b.column(0).to_pylist():
-                seen.update(_tokens(text))
-                if len(seen) > 500_000:
-                    yield out(seen)
-                    seen = Counter()
-        yield out(seen)
-
-    counts = stage.put(train.mapInArrow(unigrams, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")))
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where((F.col("c") >= F.lit(share * total)) | (F.col("token") == F.lit(END))).orderBy(F.desc("c"), "token").toArrow()
-    words, number = top.column("token").to_pylist(), top.column("c").to_pylist()
-    frequent, width = spark.sparkContext.broadcast((words, number)), len(words) + 1
-    kept, orders = [], []
-    for _ in range(1, order):
-        found = _ngram_counts(train, key, frequent, kept, width).where(F.col("n") >= F.lit(share * total)).orderBy("gram").toArrow()
-        grams = found.column("gram").to_numpy()
-        kept.append(grams)
-        orders.append((grams, found.column("n").to_numpy()))
-        if not len(grams):
-            break
-    model = spark.sparkContext.broadcast(orders)
-
-    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        ids = _vocabulary(key, frequent)
-        cache = worker_cache("automata")
-        if key not in cache:
-            cache.clear()
-            cache[key] = Automaton(frequent.value[1], total, distinct, [(g.tolist(), n.tolist()) for g, n in model.value], width, discount)
-        automaton, get, start = cache[key], ids.__getitem__, ids[END]
-        root, number = automaton.root, [0, *frequent.value[1]]
+            id_type = b.schema.field(0).type
+            for i, out, text in zip(*(c.to_pylist() for c in b.columns)):
+                words = text.lower().split() if text else []  # of bytes: A-Z alone, and white space 0x09-0x0D and 0x20
+                flat.append(np.fromiter(map(get, words), np.uint64, len(words)))
+                flat.append(np.array([end], np.uint64))
+                docs.append(i)
+                flags.append(out)
+                sizes.append(len(words) + 1)
+                tokens += len(words) + 1
+                if tokens >= block_tokens or len(docs) >= BLOCK_TEXTS:
+                    yield block(id_type)
+        if docs:
+            yield block(id_type)
+
+    packed = docs.mapInArrow(pack, f"block long, docs array<{kind}>, held_out array<boolean>, sizes array<int>, words int, bytes long, data binary, taught long, heavy array<long>, times array<long>")
+    blocks = stage.put(packed)
+    total, number = blocks.agg(F.coalesce(F.sum("taught"), F.lit(0)), F.count("*")).first()
+    # at most 1/heavy_share words of a block can be that frequent in it, and of the corpus as many again
+    often = blocks.select(F.inline(F.arrays_zip("heavy", "times"))).groupBy("heavy").agg(F.sum("times").alias("n")).where(F.col("n") >= F.lit(heavy_share * total / 2))
+    heavy = spark.sparkContext.broadcast(sorted(r.heavy & (2**64 - 1) for r in often.select("heavy").collect()))
+    buckets, n_heavy = max(1, number), len(heavy.value)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         for b in batches:
-            n_tokens, known, base, score, rare, times = [], [], [], [], [], []
-            for text in b.column(3).to_pylist():
-                tokens = _tokens(text)
-                own = list(map(get, tokens))
-                n_tokens.append(len(own))
-                known.append(sum(1 for i in own if i and number[i]))
-                base.append(sum(map(root.__getitem__, own)))
-                score.append(automaton.score(own, start))
-                seldom = Counter(t for t, i in zip(tokens, own) if not i)
-                rare.append(list(seldom))
-                times.append(list(seldom.values()))
-            arrays = [pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *arrays], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "traversed", "rare", "times"])
+            for row in b.to_pylist():
+                own = Block(np, *_unpacked(np, row), np.array(heavy.value, np.uint64), buckets)
+                rows = list(zip(*own.asked(np)))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array([row["block"]] * len(rows[0]), pa.int64()), *(pa.array(x, pa.int32()) for x in rows[1:4]), pa.array(rows[4], pa.binary())], ["bucket", "block", "u", "p", "q", "data"])
 
-    kind = df.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    rows = stage.put(rows.mapInArrow(traverse, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, traversed double, rare array<binary>, times array<long>"))
-
-    seldom = rows.select("row", F.inline(F.arrays_zip("rare", "times")).alias("token", "n"))
-    seldom = seldom.join(counts.where(F.col("c") < F.lit(share * total)).hint("shuffle_hash"), "token", "left")
-    c = F.coalesce("c", F.lit(0))
-    sums = seldom.groupBy("row").agg(
-        F.sum(F.col("n") * (F.log10(c + 1) - F.lit(math.log10(total + distinct + 1)))).alias("_rare"),
-        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("_known"),
-    )
-    out = rows.drop("rare", "times").join(sums, "row", "left")
-    rest = F.coalesce("_rare", F.lit(0.0))
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + rest).alias("base_score"), (F.col("traversed") + rest).alias("score"),
-    )
+    def count(table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        rows = table.to_pydict()
+        answers, (n, v, types) = _count(np, list(zip(rows["u"], rows["p"], rows["q"], rows["data"])), n_heavy)
+        k, longs = len(answers), pa.list_(pa.int64())
+        once = lambda x: pa.array([x] + [None] * (k - 1), longs if isinstance(x, list) else pa.int64())
+        return pa.Table.from_arrays([pa.array(rows["block"], pa.int64()), pa.array(rows["bucket"], pa.int32()), pa.array(answers, pa.binary()), once(v), once(types.tolist())], ["block", "bucket", "data", "v", "types"])
+
+    asked = blocks.select("block", "docs", "held_out", "sizes", "words", "bytes", "data").mapInArrow(ask, "bucket int, block long, u int, p int, q int, data binary")
+    answers = stage.put(asked.groupBy("bucket").applyInArrow(count, "block long, bucket int, data binary, v long, types array<long>"))
+    distinct = answers.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
+    found = answers.where("types is not null").select(F.posexplode("types").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()
+    types = [0] * n_heavy
+    for r in found:
+        types[r.i] = r.n
+    types_of_heavy = spark.sparkContext.broadcast(types)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+    def traverse(left: pa.Table, right: pa.Table) -> pa.Table:
+        import numpy as np
+
+        row, got = left.to_pylist()[0], right.to_pydict()
+        sizes, train, hashes, ids = _unpacked(np, row)
+        own = Block(np, sizes, train, hashes, ids, np.array(heavy.value, np.uint64), buckets)
+        known, base, score = own.scores(np, zip(got["bucket"], got["data"]), np.array(types_of_heavy.value, np.uint64), total, distinct, discount)
+        docs = left.column("docs").combine_chunks().flatten()
+        return pa.Table.from_arrays([docs, pa.array(row["held_out"], pa.bool_()), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score)], names)
+
+    rows = blocks.select("block", "docs", "held_out", "sizes", "words", "bytes", "data").groupBy("block").cogroup(answers.select("block", "bucket", "data").groupBy("block"))
+    out = rows.applyInArrow(traverse, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
