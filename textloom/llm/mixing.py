@@ -45,7 +45,7 @@ def demand(t, tilt, target):
 
 def _time_of(words, tilt, target):
     """The time by which the demand reaches ``words``: its inverse, in the form without cancellation."""
-    x = words / target
+    x = words / F.nullif(target, F.lit(0.0))  # no target, nothing taken
     return (2 * x) / ((1 + tilt) + F.sqrt(F.greatest((1 + tilt) * (1 + tilt) - 4 * tilt * x, F.lit(0.0))))
 
 
