@@ -26,7 +26,7 @@ from .token_counts import worker_cache
 END = b""  # no word is empty, so the end token can't clash with one
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: Tokens and texts of a block, unless one text alone has more.
-BLOCK_TOKENS, BLOCK_TEXTS = 2_000_000, 50_000
+BLOCK_TOKENS, BLOCK_TEXTS = 1_000_000, 50_000
 LOW = (1 << 48) - 1
 
 
@@ -36,7 +36,7 @@ class Hashes(dict):
     def __missing__(self, token: bytes) -> int:
         import xxhash
 
-        if len(self) >= 500_000:
+        if len(self) >= 300_000:
             self.clear()
         self[token] = h = xxhash.xxh64_intdigest(token)
         return h
