@@ -392,7 +392,7 @@ def test_long_postings_link_as_brute_force(spark):
 
 def test_deduplicated_keeps_one_row(spark):
     df = frame(spark, ODD + [(30, " ".join(f"u{k}" for k in range(200))), (31, " ".join(f"u{k}" for k in range(200)))])
-    got = Counter(r.doc_id for r in simhash_dedup.deduplicated(df, shingle=1, distinct=True, lanes=4).collect())
+    got = Counter(r.doc_id for r in simhash_dedup.deduplicated(df, lanes=4).collect())
     assert got[30] == 1 and got[31] == 0 and got[7] == 1 and got[4] == 1 and got[1] == 1 and got[2] == 0
 
 

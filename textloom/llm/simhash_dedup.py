@@ -21,32 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stage, connected_components, spread_join
+from .jaccard import shingles, signature, similar
 
 SEED = 42
 #: Odd multipliers that turn one hash into those of further lanes: the k-th odd number times this one.
 LANE = 0x9E3779B97F4A7C15
 
 
-def text_fingerprint(text: bytes, shingle: int, distinct: bool, lanes: int) -> list[int]:
-    """The lanes of a text's fingerprint as signed 64-bit numbers."""
-    import numpy as np
-    import xxhash
-
-    words = text.lower().split()  # of bytes: A-Z alone, and white space 0x09-0x0D and 0x20
-    if not words:
-        return [0] * lanes
-    hash_of = xxhash.xxh64_intdigest
-    if distinct and shingle == 1:
-        parts = list(set(words))
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        k = min(shingle, len(words))
-        parts = [joined[a:b] for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())]
-        if distinct:
-            parts = list(set(parts))
-    hashes = np.fromiter((hash_of(p, SEED) for p in parts), np.uint64, len(parts))
+def _lanes(np, hashes, weights, lanes: int) -> list[int]:
+    """In each lane, the bits that more than half of the weight sets, as signed 64-bit numbers."""
     out = []
     for lane in range(lanes):
         h = hashes
@@ -56,17 +39,48 @@ def text_fingerprint(text: bytes, shingle: int, distinct: bool, lanes: int) -> l
             h ^= h >> np.uint64(32)
         ones = np.zeros(64, np.int64)
         for at in range(0, len(h), 8192):
-            ones += np.unpackbits(h[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0]))
+            bits = np.unpackbits(h[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.int64) if weights is None else weights[at : at + 8192] @ bits
+        out.append(int(np.packbits(2 * ones > (len(h) if weights is None else weights.sum()), bitorder="little").view(np.int64)[0]))
     return out
 
 
-def fingerprints(df: DataFrame, shingle: int = 3, distinct: bool = False, lanes: int = 1) -> DataFrame:
+def text_fingerprint(text: bytes, shingle: int, lanes: int) -> list[int]:
+    """The lanes of a fingerprint of a text's word shingles, repeats included."""
+    import numpy as np
+    import xxhash
+
+    words = text.lower().split()  # of bytes: A-Z alone, and white space 0x09-0x0D and 0x20
+    if not words:
+        return [0] * lanes
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    k = min(shingle, len(words))
+    parts = [joined[a:b] for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())]
+    return _lanes(np, np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(parts)), None, lanes)
+
+
+def word_fingerprint(text: bytes, lanes: int) -> list[int]:
+    """The lanes of a fingerprint of a text's words, each weighing 1 + ln(its count), in sixteenths."""
+    from collections import Counter
+
+    import numpy as np
+    import xxhash
+
+    counts = Counter(text.lower().split())
+    if not counts:
+        return [0] * lanes
+    weights = np.rint(16 * (1 + np.log(np.fromiter(counts.values(), float, len(counts))))).astype(np.int64)
+    return _lanes(np, np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counts), np.uint64, len(counts)), weights, lanes)
+
+
+def fingerprints(df: DataFrame, shingle: int = 3, lanes: int = 1) -> DataFrame:
     """(doc_id, lanes array<long>) for every row of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [text_fingerprint(t or b"", shingle, distinct, lanes) for t in b.column(1).to_pylist()]
+            got = [text_fingerprint(t or b"", shingle, lanes) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "lanes"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
@@ -107,12 +121,12 @@ def similar_pairs(stage: Stage, prints: DataFrame, radius: int, posting: int) ->
     return pairs.unionByName(stars)
 
 
-def near_duplicates(df: DataFrame, shingle: int = 3, distinct: bool = False, lanes: int = 1, radius: int = 2, posting: int = 16) -> DataFrame:
+def near_duplicates(df: DataFrame, shingle: int = 3, lanes: int = 1, radius: int = 2, posting: int = 16) -> DataFrame:
     """doc_id, lanes (array<long>), component_id for every row of (doc_id, text).
 
     Texts link if any of their lanes differ in ``radius`` bits or fewer; component_id is the smallest
-    doc_id that links reach. ``distinct`` counts a shingle once a text; further ``lanes`` hash the
-    same shingles anew, so that fewer near copies are missed.
+    doc_id that links reach. Further ``lanes`` hash the same shingles anew, so that fewer near copies
+    are missed.
 
     Null, empty or blank text: fingerprint zero, linked like any other. Fewer words than a shingle:
     the whole sequence. Null doc_id: takes part, but never names a component unless it holds no
@@ -120,7 +134,7 @@ def near_duplicates(df: DataFrame, shingle: int = 3, distinct: bool = False, lan
     """
     stage = Stage(df.sparkSession, "simhash")
     unit = F.element_at("lanes", 1) if lanes == 1 else F.xxhash64("lanes")
-    docs = stage.put(fingerprints(df, shingle, distinct, lanes).withColumn("unit", unit))
+    docs = stage.put(fingerprints(df, shingle, lanes).withColumn("unit", unit))
     units = docs.groupBy("unit").agg(F.min("doc_id").alias("low"), F.first("lanes").alias("lanes"))
     flat = units.select("unit", F.posexplode("lanes").alias("lane", "fp"))
     if lanes == 1:
@@ -138,16 +152,91 @@ def near_duplicates(df: DataFrame, shingle: int = 3, distinct: bool = False, lan
     units = stage.put(units.withColumn("component", F.coalesce("component", "unit")))
     lows = units.groupBy("component").agg(F.min("low").alias("component_id"))
     units = spread_join(units, lows, ["component"], F.col("unit")).select("unit", "component_id")
-    return docs.join(units, "unit").select("doc_id", "lanes", "component_id")
+    # a text that a third of all rows hold: its rows are dealt over several tasks
+    return spread_join(docs, units, ["unit"], F.col("doc_id"), how="inner").select("doc_id", "lanes", "component_id")
+
+
+#: Triples of the eight byte positions of which any four positions hold one: all of a group, and two of one with one of the next.
+GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
+TRIPLES = [t for t in combinations(range(8), 3) if any(sum(i in GROUPS[g] for i in t) == 3 or (sum(i in GROUPS[g] for i in t) == 2 and sum(i in GROUPS[(g + 1) % 3] for i in t) == 1) for g in range(3))]
+#: Members that each posting compares all others with in the first round.
+PIVOTS = 3
+
+
+def near_copies(df: DataFrame, shingle: int = 5, lanes: int = 6) -> DataFrame:
+    """doc_id, component_id for every row of (doc_id, text): texts link at Jaccard similarity 4/5 of their five-word shingles.
+
+    Candidates come from fingerprints of a text's words, in ``lanes`` independent hashings: texts of that
+    similarity differ there in some 5 of 64 bits (fingerprints of the shingles themselves would in 9, which
+    few bytes survive). Postings are keyed by three byte positions and their values; a pair that
+    meets there is kept if the positional bytes that it shares reach four, the guaranteed minimum at four
+    differing bits, and is verified on the sets of shingles. A family of near copies isn't paired up: a
+    first round compares a posting's members with ``PIVOTS`` of them, a second one only members that
+    aren't connected yet.
+
+    component_id is the smallest doc_id that links reach. Null, empty or blank texts are one group; fewer
+    words than a shingle are one shingle. Null doc_ids, repeated rows and other columns as in
+    ``near_duplicates``. Texts are told apart by 64-bit hashes. Empty input: no rows.
+    """
+    stage = Stage(df.sparkSession, "copies")
+    text = F.coalesce("text", F.lit(""))
+    text = F.when(text.rlike(r"^[\x09-\x0D\x20]*\z"), "").otherwise(text)
+    docs = df.select("doc_id", F.xxhash64(text).alias("tid"), text.cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            texts, sets = b.column(1).to_pylist(), []
+            for t in texts:
+                s = shingles(t, shingle)
+                sets.append((len(s), signature(np, s)))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([word_fingerprint(t, lanes) for t in texts], longs), pa.array([n for n, _ in sets], pa.int32()), pa.array([x for _, x in sets], longs)], ["tid", "lanes", "n", "signature"])
+
+    units = docs.select("tid", "text").mapInArrow(run, "tid long, lanes array<long>, n int, signature array<long>")
+    units = stage.put(units.dropDuplicates(["tid"]))
+
+    # one number a key: lane, triple, the three bytes
+    key = lambda t, lane, k: F.lit(k << 24).cast("long") + (lane.cast("long") * (len(TRIPLES) << 24)) + sum((F.shiftleft(_byte(F.col("fp"), i), 8 * j) for j, i in enumerate(t)), F.lit(0).cast("long"))
+    flat = units.select("tid", F.posexplode("lanes").alias("lane", "fp"))
+    posted = flat.select("tid", "fp", F.explode(F.array(*[key(t, F.col("lane"), k) for k, t in enumerate(TRIPLES)])).alias("key"))
+    sizes = stage.put(posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
+    index = stage.put(posted.join(sizes, "key").withColumn("c", F.col("tid")))
+
+    shared = sum(((_byte(F.col("a.fp"), i) == _byte(F.col("b.fp"), i)).cast("int") for i in range(8)), F.lit(0))
+    pair = [F.least("a.tid", "b.tid").alias("a"), F.greatest("a.tid", "b.tid").alias("b")]
+    member = F.struct("tid", "fp")
+    pivots = index.groupBy("key").agg(*[F.min_by(member, F.xxhash64("tid", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
+    pivots = stage.put(pivots.select("key", F.inline(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)])))))
+    met = index.alias("a").join(pivots.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.tid") != F.col("b.tid")) & (shared >= 4)).select(*pair)
+    edges = similar(stage, met, units, docs.select("tid", "text"), shingle)
+    while True:
+        found = stage.put(connected_components(stage, edges))
+        # second round: of each posting, members of different components; then what they connect is settled
+        if index is None:
+            break
+        left = stage.put(index.drop("c").join(found.select(F.col("node").alias("tid"), "component"), "tid", "left").withColumn("c", F.coalesce("component", "tid")).drop("component"))
+        mixed = stage.put(left.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key"))
+        left = stage.put(left.join(mixed, "key"))
+        a, b = left.alias("a"), left.alias("b")
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.tid") < F.col("b.tid")) & (F.col("a.c") != F.col("b.c")) & (shared >= 4)).select(*pair)
+        edges, index = stage.put(edges.unionByName(similar(stage, met, units, docs.select("tid", "text"), shingle))), None
+
+    lows = docs.groupBy("tid").agg(F.min("doc_id").alias("low")).join(found.withColumnRenamed("node", "tid"), "tid", "left")
+    lows = stage.put(lows.withColumn("component", F.coalesce("component", "tid")))
+    first = lows.groupBy("component").agg(F.min("low").alias("component_id"))
+    lows = spread_join(lows, first, ["component"], F.col("tid")).select("tid", "component_id")
+    return spread_join(docs.select("doc_id", "tid"), lows, ["tid"], F.col("doc_id"), how="inner").select("doc_id", "component_id")
 
 
 def deduplicated(df: DataFrame, groups=near_duplicates, **options) -> DataFrame:
     """The rows of df, all columns, with one row left of each of ``groups``.
 
-    The row with the smallest (doc_id, hash of text) stays, a null doc_id only where no other is;
-    of fully repeated rows one stays.
+    The row with the smallest (doc_id, hash of text, hash of the row) stays, a null doc_id only where no
+    other is; of fully repeated rows one stays. doc_id may be of any ordered type.
     """
-    own = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.xxhash64("text").alias("t"))
+    own = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.xxhash64(*df.columns).alias("r"))
     found = groups(df.select(own.alias("doc_id"), "text"), **options)
     stay = found.select(F.col("component_id").alias("_own")).distinct()
     return df.withColumn("_own", own).join(stay, "_own", "left_semi").dropDuplicates(["_own"]).select(*df.columns)
