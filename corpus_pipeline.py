@@ -14,8 +14,8 @@ from textloom.llm.common import Stage, small_batches
 from textloom.llm.decontamination import decontaminated
 from textloom.llm.mixing import mix
 from textloom.llm.quality_fm import fit, score
-from textloom.llm.shingle_dedup import near_copies as shingle_copies
 from textloom.llm.simhash_dedup import deduplicated
+from textloom.llm.simhash_dedup import near_copies as verified_copies
 from textloom.llm.suffix_dedup import without_repeats
 
 #: Bytes of a repeated passage: 50 words take about 320, and hardly ever fewer than this.
@@ -31,9 +31,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles at Jaccard similarity 0.8."""
+    """One document of each group of near copies stays: SimHash candidates, verified at Jaccard similarity 0.8 of five-word shingles."""
     small_batches(spark)
-    return deduplicated(docs, shingle_copies, shingle=5)
+    return deduplicated(docs, verified_copies)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
