@@ -8,15 +8,22 @@ passages in the text.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+from .common import Stage
+from .token_counts import worker_cache
+
+#: A character of a script that is written without spaces (kana, Han, Thai, Lao, the higher planes) is a word by itself.
+ALONE = rb"[\xe3-\xe9][\x80-\xbf][\x80-\xbf]|\xe0[\xb8-\xbb][\x80-\xbf]|\xf0[\x80-\xbf]{3}"
+WORD = re.compile(ALONE + rb"|(?:[0-9a-z]|(?!" + ALONE + rb")[\x80-\xff])+")
 MOD, BASE = (1 << 61) - 1, 1_000_003
 
 
@@ -40,14 +47,16 @@ def _rolling(ids, marked, length: int):
 
 
 def tile(item: list[int], text: list[int], closed: list[bool], least: int) -> list[tuple[int, int, int]]:
-    """Tiles (start in item, start in text, length), longest first; ``closed`` text positions take no part."""
+    """Tiles (start in item, start in text, length): always the longest run of unmarked places that both share, ties to the
+    first in the item, then in the text, down to ``least``. ``closed`` text positions take no part."""
     in_item, in_text, tiles = [False] * len(item), list(closed), []
     length = max(least, min(len(item), 20))
     while True:
         windows: dict[int, list[int]] = {}
         for at, h in _rolling(text, in_text, length):
             windows.setdefault(h, []).append(at)
-        found, longest = [], 0
+        # all maximal runs of this length or more; what is marked meanwhile cuts them into shorter ones
+        runs = []
         for a, h in _rolling(item, in_item, length):
             for b in windows.get(h, ()):
                 if a and b and not in_item[a - 1] and not in_text[b - 1] and item[a - 1] == text[b - 1]:
@@ -56,50 +65,55 @@ def tile(item: list[int], text: list[int], closed: list[bool], least: int) -> li
                 while a + n < len(item) and b + n < len(text) and item[a + n] == text[b + n] and not in_item[a + n] and not in_text[b + n]:
                     n += 1
                 if n >= length:
-                    found.append((-n, a, b))
-                    longest = max(longest, n)
-        if longest > 2 * length:
-            length = longest
-            continue
-        marked = False
-        for n, a, b in sorted(found):
-            # what earlier tiles have taken from the run's ends is gone; a run cut in its middle waits for the next scan
-            size = 0
-            while size < -n and not in_item[a + size] and not in_text[b + size]:
-                size += 1
-            if size >= length:
-                in_item[a : a + size] = in_text[b : b + size] = [True] * size
-                tiles.append((a, b, size))
-                marked = True
-        if marked:
-            continue
+                    runs.append((-n, a, b))
+        heapq.heapify(runs)
+        while runs:
+            n, a, b = heapq.heappop(runs)
+            free = [not in_item[a + k] and not in_text[b + k] for k in range(-n)]
+            if all(free):
+                in_item[a : a - n] = in_text[b : b - n] = [True] * -n
+                tiles.append((a, b, -n))
+                continue
+            start = None
+            for k, open_here in enumerate([*free, False]):
+                if open_here and start is None:
+                    start = k
+                elif not open_here and start is not None:
+                    if k - start >= length:
+                        heapq.heappush(runs, (start - k, a + start, b + start))
+                    start = None
         if length == least:
             return tiles
         length = max(least, length // 2)
 
 
 class Items:
-    """A block of the benchmark: vocabulary, items as ids, and the items of each seed."""
+    """A block of the benchmark: vocabulary, items as ids, and the items of each seed.
+
+    A seed is a run of ``least`` words, or a whole item of fewer.
+    """
 
     def __init__(self, rows: list[tuple[object, list[bytes]]], least: int):
         import numpy as np
 
-        self.least, self.names = least, [i for i, _ in rows]
+        self.names = [i for i, _ in rows]
         self.ids: dict[bytes, int] = {}
         self.items = [[self.ids.setdefault(w, len(self.ids) + 1) for w in own] for _, own in rows]
-        self.of: dict[int, list[int]] = {}
+        self.least = [min(least, len(own)) for own in self.items]
+        self.of: dict[int, dict[int, list[int]]] = {}  # by a seed's words, then by its hash
         for k, own in enumerate(self.items):
-            for h in set(self.seeds(np, np.array(own, np.uint64)).tolist()):
-                self.of.setdefault(h, []).append(k)
-        self.keys = np.array(sorted(self.of), np.uint64)
-
-    def seeds(self, np, ids):
-        """Hashes of all windows of ``least`` ids; 0 where one holds an unknown word."""
-        n = len(ids) - self.least + 1
+            for h in set(self.seeds(np, np.array(own, np.uint64), self.least[k]).tolist()):
+                self.of.setdefault(self.least[k], {}).setdefault(h, []).append(k)
+        self.keys = {n: np.array(sorted(of), np.uint64) for n, of in self.of.items()}
+
+    @staticmethod
+    def seeds(np, ids, size: int):
+        """Hashes of all windows of ``size`` ids; 0 where one holds an unknown word."""
+        n = len(ids) - size + 1
         if n <= 0:
             return np.empty(0, np.uint64)
         h, known = np.zeros(n, np.uint64), np.ones(n, bool)
-        for j in range(self.least):
+        for j in range(size):
             part = ids[j : j + n]
             h = (h ^ part) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
@@ -110,16 +124,17 @@ class Items:
         """(item, matched words, coverage, tiles) of the items covered to the threshold."""
         get = self.ids.get
         ids = np.array([get(w, 0) for w in tokens], np.uint64)
-        seeds = self.seeds(np, ids)
-        at = np.searchsorted(self.keys, seeds)
-        hits = np.nonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == seeds)[0] if len(self.keys) and len(seeds) else ()
         open_at: dict[int, list[int]] = {}
-        for p in map(int, hits):
-            for k in self.of[int(seeds[p])]:
-                open_at.setdefault(k, []).append(p)
+        for size, keys in self.keys.items():
+            seeds = self.seeds(np, ids, size)
+            at = np.searchsorted(keys, seeds)
+            hits = np.nonzero(keys[np.minimum(at, len(keys) - 1)] == seeds)[0] if len(seeds) else ()
+            for p in map(int, hits):
+                for k in self.of[size][int(seeds[p])]:
+                    open_at.setdefault(k, []).append(p)
         out = []
         for k, places in sorted(open_at.items()):
-            near = sorted({q for p in places for q in range(p, p + self.least)})
+            near = sorted({q for p in places for q in range(p, p + self.least[k])})
             # shared runs lie within seeds; a gap between them is closed by one dead position
             own, closed, before = [], [], None
             for q in near:
@@ -129,26 +144,25 @@ class Items:
                 own.append(int(ids[q]))
                 closed.append(False)
                 before = q
-            tiles = tile(self.items[k], own, closed, self.least)
+            tiles = tile(self.items[k], own, closed, self.least[k])
             matched = sum(n for _, _, n in tiles)
             if matched >= threshold * len(self.items[k]):
                 out.append((self.names[k], matched, matched / len(self.items[k]), len(tiles)))
         return out
 
 
-def benchmark_blocks(benchmark: DataFrame, least: int, block: int) -> list[Items]:
+def benchmark_blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[object, bytes]]]:
     """The benchmark's items in blocks of about ``block`` rows each, so that no broadcast grows with it."""
     rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", F.col("text").cast("binary").alias("text"))
     n = max(1, math.ceil(rows.count() / block))
     for i in range(n):
         got = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).orderBy("item_id", "text").toArrow().to_pydict()
-        own = [(k, words(t)) for k, t in zip(got["item_id"], got["text"])]
-        yield Items([x for x in own if len(x[1]) >= least], least)
+        yield list(zip(got["item_id"], got["text"]))
 
 
-def _matched(df: DataFrame, items: Items, item_type: str, threshold: float) -> DataFrame:
-    """df with ``_leaks``: array of (item_id, matched, coverage, tiles)."""
-    shared, names = df.sparkSession.sparkContext.broadcast(items), df.columns
+def _matched(df: DataFrame, shared, item_type: str, least: int, threshold: float) -> DataFrame:
+    """df with ``_leaks``: array of (item_id, matched, coverage, tiles). shared: a broadcast of plain (item_id, text) rows."""
+    names, key = df.columns, uuid.uuid4().hex
     leak = f"array<struct<item_id:{item_type},matched:int,coverage:double,tiles:int>>"
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     keys = ("item_id", "matched", "coverage", "tiles")
@@ -159,7 +173,12 @@ def _matched(df: DataFrame, items: Items, item_type: str, threshold: float) -> D
         from pyspark.sql.pandas.types import to_arrow_type
         from pyspark.sql.types import _parse_datatype_json_string
 
-        own, kind = shared.value, to_arrow_type(_parse_datatype_json_string(leak_json))
+        cache = worker_cache("benchmark")
+        if key not in cache:
+            cache.clear()
+            own = [(k, words(t)) for k, t in shared.value]
+            cache[key] = Items([x for x in own if x[1]], least)
+        own, kind = cache[key], to_arrow_type(_parse_datatype_json_string(leak_json))
         for b in batches:
             got = [[dict(zip(keys, m)) for m in own.matches(np, words(t), threshold)] for t in b.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(got, kind)], [*names, "_leaks"])
@@ -173,23 +192,34 @@ def _matched(df: DataFrame, items: Items, item_type: str, threshold: float) -> D
 def leaks(df: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5, block: int = 20_000) -> DataFrame:
     """doc_id, item_id, matched, coverage, tiles: a row for each text and item covered to ``threshold``.
 
-    Words are runs of letters a-z (A-Z lower-cased), digits and non-ASCII characters. ``least``: words
-    of a seed and of the shortest tile; items of fewer words take no part, as do null items. Every
-    text faces every item that it shares a seed with, in blocks of about ``block`` items.
+    Words are runs of letters (A-Z lower-cased) and digits, and single characters of scripts written
+    without spaces. ``least``: words of a seed and of the shortest tile; an item of fewer words is one
+    tile or none. Every text faces every item that it shares a seed with, one block of about ``block``
+    items after the other: only one block is held at a time.
 
-    Null or empty texts hold nothing. Null or repeated doc_ids keep their rows; repeated item_ids are
-    tiled each. Empty tables: no rows. Other columns are ignored.
+    Null or empty texts and items hold nothing; null item_ids take no part. Null or repeated doc_ids keep
+    their rows; repeated item_ids are tiled each. Empty tables: no rows. Other columns are ignored.
     """
-    item, out = benchmark.schema["item_id"].dataType.simpleString(), None
-    for items in benchmark_blocks(benchmark, least, block):
-        got = _matched(df.select("doc_id", "text"), items, item, threshold).select("doc_id", F.inline("_leaks"))
-        out = got if out is None else out.unionByName(got)
-    return out
+    spark, item, out = df.sparkSession, benchmark.schema["item_id"].dataType.simpleString(), None
+    stage, shared = Stage(spark, "leaks"), None
+    for rows in benchmark_blocks(benchmark, block):
+        if shared is not None:
+            got = stage.put(got)
+            shared.unpersist()
+            out = got if out is None else out.unionByName(got)
+        shared = spark.sparkContext.broadcast(rows)
+        got = _matched(df.select("doc_id", "text"), shared, item, least, threshold).select("doc_id", F.inline("_leaks"))
+    return got if out is None else out.unionByName(got)
 
 
 def decontaminated(df: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5, block: int = 20_000) -> DataFrame:
     """The rows of df, all columns, of which no benchmark item is covered to ``threshold``; see ``leaks``."""
-    names, item = df.columns, benchmark.schema["item_id"].dataType.simpleString()
-    for items in benchmark_blocks(benchmark, least, block):
-        df = _matched(df, items, item, threshold).where(F.size("_leaks") == 0).select(*names)
+    spark, names, item = df.sparkSession, df.columns, benchmark.schema["item_id"].dataType.simpleString()
+    stage, shared = Stage(spark, "leaks"), None
+    for rows in benchmark_blocks(benchmark, block):
+        if shared is not None:
+            df = stage.put(df)
+            shared.unpersist()
+        shared = spark.sparkContext.broadcast(rows)
+        df = _matched(df, shared, item, least, threshold).where(F.size("_leaks") == 0).select(*names)
     return df
