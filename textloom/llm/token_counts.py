@@ -2,8 +2,8 @@
 
 Tier one is a compact table (pre-token -> number of tokens) of the corpus's frequent pre-tokens,
 broadcast to the workers. Tier two encodes what misses it with the tokenizer itself and keeps the
-answer in the worker's cache. No pre-token is ever shuffled; the frequent ones are found by bounded
-per-partition summaries.
+answer in the worker's cache. No pre-token is ever shuffled: the frequent ones come from summaries of a
+bounded sample, one row a partition, and the texts are read by Python once.
 """
 
 from __future__ import annotations
@@ -75,13 +75,12 @@ class Lengths(dict):
         return n
 
 
-def frequent_pretokens(df: DataFrame, path: str, size: int = 50_000, summary: int = 20_000) -> dict[str, int]:
-    """The corpus's ``size`` most frequent pre-tokens (ties by code point) with their token counts.
+def frequent_pretokens(df: DataFrame, path: str, size: int = 50_000, sample: int = 20_000, summary: int = 5_000, parts: int = 256) -> dict[str, int]:
+    """The ``size`` most frequent pre-tokens (ties by code point) of a sample of the texts, with their token counts.
 
-    Each partition keeps a summary of at most 2 * ``summary`` counters (the rarer half goes whenever
-    it is full) and sends its ``summary`` most frequent; sums of these are bounded by the number of
-    partitions, not by the vocabulary. A summary's error only moves a pre-token between the tiers:
-    counts of tokens are exact whatever the table holds.
+    About ``sample`` texts, by a hash of the text, are counted where they are; the ``summary`` most
+    frequent of each partition, of at most ``parts`` partitions, reach the driver. The sample decides
+    about speed alone: counts of tokens are exact whatever the table holds.
     """
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,13 +92,20 @@ def frequent_pretokens(df: DataFrame, path: str, size: int = 50_000, summary: in
             for text in b.column(0).to_pylist() if split else ():
                 if text and plain(text) and not any(s in text for s in special):
                     seen.update(split(text.lower()))
-                    if len(seen) > 20 * summary:
-                        seen = Counter(dict(seen.most_common(summary)))
-        top = seen.most_common(summary)
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["token", "n"])
-
-    top = df.select("text").mapInArrow(summaries, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(size)
-    tokens = [r[0] for r in top.select("token").collect()]
+                    if len(seen) > 40 * summary:
+                        seen = Counter(dict(seen.most_common(20 * summary)))
+        if seen:
+            top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:summary]
+            yield pa.RecordBatch.from_arrays([pa.array([[k for k, _ in top]]), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], ["tokens", "n"])
+
+    every = max(1, df.count() // sample)
+    some = df.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text")
+    rows = some.mapInArrow(summaries, "tokens array<string>, n array<long>").orderBy(F.xxhash64("tokens", "n")).limit(parts).collect()
+    total: dict[str, int] = {}
+    for r in rows:
+        for t, n in zip(r.tokens, r.n):
+            total[t] = total.get(t, 0) + n
+    tokens = sorted(total, key=lambda t: (-total[t], t))[:size]
     encode = _tokenizer(path)[0].encode_batch(tokens, add_special_tokens=False) if tokens else []
     return {t: len(e.ids) for t, e in zip(tokens, encode)}
 
