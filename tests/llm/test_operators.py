@@ -201,7 +201,34 @@ def test_url_graph_matches_power_iteration(spark):
 
     margin = rank(m.T, ["bad.net", "worse.net"]) - rank(m, ["good.org"])
     want = {h: "block" if h.endswith("net") or margin[i] > 0.5 and not h.endswith("org") else "allow" for i, h in enumerate(hosts)}
-    assert got == want and want["fan.com"] + want["friend.com"] == ("block" if margin[2] > 0.5 else "allow") + "allow"
+    assert got == want and want["farm.com"] == "block" and want["friend.com"] == "allow"
+
+
+def test_spread_goes_on_until_it_rests(spark):
+    """A chain of 60 hosts that ends at a seed, and random links: the fixed point of a dense solve."""
+    from textloom.llm.common import Stage
+
+    rng = np.random.default_rng(2)
+    n = 80
+    links = {(i, i + 1): 1.0 for i in range(59)} | {(int(a), int(b)): float(rng.integers(1, 4)) for a, b in rng.integers(60, n, (60, 2)) if a != b} | {(70, 3): 2.0}
+    t0, d0 = np.zeros(n), np.zeros(n)
+    t0[[0, 65]], d0[[59, 75]] = 0.5, 0.5
+    nodes = spark.createDataFrame([(f"h{i}", float(t0[i]), float(d0[i])) for i in range(n)], "host string, t0 double, d0 double")
+    edges = spark.createDataFrame([(f"h{a}", f"h{b}", w) for (a, b), w in links.items()], "src string, dst string, w double")
+    got = {r.host: (r.trust, r.distrust) for r in url_graph.spread(Stage(spark, "test"), nodes, edges, 0.85, 1e-8).collect()}
+    m = np.zeros((n, n))
+    for (a, b), w in links.items():
+        m[a, b] = w
+
+    def rest(m, seeds):
+        p = np.divide(m, m.sum(1, keepdims=True), out=np.zeros_like(m), where=m.sum(1, keepdims=True) > 0)
+        p = 0.85 * p + np.outer(1 - 0.85 * p.sum(1), seeds)
+        value = np.linalg.solve(np.vstack([(p.T - np.eye(n))[1:], np.ones(n)]), np.eye(n)[n - 1])
+        return value
+
+    for k, want in ((0, rest(m, t0)), (1, rest(m.T, d0))):
+        assert np.allclose([got[f"h{i}"][k] for i in range(n)], want, atol=1e-7)
+    assert got["h40"][0] > 0 and got["h20"][1] > 0
 
 
 # ---- repeated bytes

@@ -35,30 +35,34 @@ def host_rules(hosts: DataFrame, rules) -> DataFrame:
     return hosts.select("host", F.explode(suffixes).alias("suffix")).join(table, "suffix").groupBy("host").agg(F.sort_array(F.collect_set(one), asc=False).alias("rules"))
 
 
-def spread(stage: Stage, nodes: DataFrame, edges: DataFrame, damping: float, rounds: int, close: float) -> DataFrame:
-    """(host, trust, distrust) by power iteration from the seeds (t0, d0) of nodes, along and against edges (src, dst, w)."""
+def spread(stage: Stage, nodes: DataFrame, edges: DataFrame, damping: float, close: float) -> DataFrame:
+    """(host, trust, distrust) by power iteration from the seeds (t0, d0) of nodes, along and against edges (src, dst, w).
+
+    Goes on until a round moves less than ``close`` in all; each moves at most ``damping`` of what the one
+    before it moved, so that takes log(close) / log(damping) rounds and a few. Each round is written.
+    """
     out = edges.groupBy("src").agg(F.sum("w").alias("out_w"))
     back = edges.groupBy("dst").agg(F.sum("w").alias("in_w"))
     e = stage.put(edges.join(out, "src").join(back, "dst").select("src", "dst", (F.col("w") / F.col("out_w")).alias("p"), (F.col("w") / F.col("in_w")).alias("q")))
-    now = stage.put(nodes.select("host", "t0", "d0", F.col("t0").alias("trust"), F.col("d0").alias("distrust")))
-    for _ in range(rounds):
+    gives = nodes.join(out.select(F.col("src").alias("host"), F.lit(True).alias("along")), "host", "left").join(back.select(F.col("dst").alias("host"), F.lit(True).alias("against")), "host", "left")
+    now = stage.put(gives.select("host", "t0", "d0", F.coalesce("along", F.lit(False)).alias("along"), F.coalesce("against", F.lit(False)).alias("against"), F.col("t0").alias("trust"), F.col("d0").alias("distrust"), F.lit(0.0).alias("moved")))
+    passed = lambda: now.agg(F.sum(F.when(F.col("along"), F.col("trust"))), F.sum(F.when(F.col("against"), F.col("distrust"))), F.sum("moved")).first()
+    t, d, _ = passed()
+    while True:
         along = e.join(now.select(F.col("host").alias("src"), "trust"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("p") * F.col("trust")).alias("t"))
         against = e.join(now.select(F.col("host").alias("dst"), "distrust"), "dst").groupBy(F.col("src").alias("host")).agg(F.sum(F.col("q") * F.col("distrust")).alias("d"))
         got = now.join(along, "host", "left").join(against, "host", "left").na.fill(0.0, ["t", "d"])
-        got = stage.put(got)
         # what hosts without links would pass on returns to the seeds
-        t, d, t0, d0 = got.agg(F.sum("t"), F.sum("d"), F.sum("t0"), F.sum("d0")).first()
-        lost_t, lost_d = 1 - damping * (t or 0.0), 1 - damping * (d or 0.0)
-        new = stage.put(got.select("host", "t0", "d0", (damping * F.col("t") + lost_t * F.col("t0")).alias("trust"), (damping * F.col("d") + lost_d * F.col("d0")).alias("distrust")))
-        moved = new.alias("a").join(now.alias("b"), "host").agg(F.sum(F.abs(F.col("a.trust") - F.col("b.trust")) + F.abs(F.col("a.distrust") - F.col("b.distrust")))).first()[0]
-        stage.drop(got, now)
-        now = new
+        trust, distrust = damping * F.col("t") + (1 - damping * (t or 0.0)) * F.col("t0"), damping * F.col("d") + (1 - damping * (d or 0.0)) * F.col("d0")
+        moved = F.abs(trust - F.col("trust")) + F.abs(distrust - F.col("distrust"))
+        old, now = now, stage.put(got.select("host", "t0", "d0", "along", "against", trust.alias("trust"), distrust.alias("distrust"), moved.alias("moved")))
+        stage.drop(old)
+        t, d, moved = passed()
         if (moved or 0.0) < close:
-            break
-    return now.select("host", "trust", "distrust")
+            return now.select("host", "trust", "distrust")
 
 
-def judge(df: DataFrame, rules=RULES, damping: float = 0.85, rounds: int = 20, close: float = 1e-6, threshold: float = 0.5) -> DataFrame:
+def judge(df: DataFrame, rules=RULES, damping: float = 0.85, close: float = 1e-6, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of (page_id, url, html).
 
     The longest rule that fits decides (of equally long ones, the last in code-point order). Other
@@ -85,7 +89,7 @@ def judge(df: DataFrame, rules=RULES, damping: float = 0.85, rounds: int = 20, c
     nodes = stage.put(seeds.join(linked, "host", "full").na.fill(0, ["pages", "good", "bad"]))
     good, bad = nodes.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     start = nodes.select("host", (F.col("good") / F.lit(float(max(good, 1)))).alias("t0"), (F.col("bad") / F.lit(float(max(bad, 1)))).alias("d0"))
-    scores = spread(stage, start, edges, damping, rounds, close)
+    scores = spread(stage, start, edges, damping, close)
     per_page = F.col("distrust") * F.lit(float(bad)) - F.col("trust") * F.lit(float(good))
     hosts = scores.join(nodes.where("pages > 0").select("host", "pages"), "host").select("host", F.when(per_page / F.col("pages") > threshold, "block").otherwise("allow").alias("host_verdict"))
     out = spread_join(ruled, hosts, ["host"], F.struct("page_id", "path"))
