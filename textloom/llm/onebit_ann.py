@@ -83,8 +83,8 @@ def _best(np, query, vec, dist, k):
     return query[keep], vec[keep], dist[keep]
 
 
-def _search_block(index: DataFrame, block, centre, rotation, k: int, sigma: float) -> DataFrame:
-    shared, dim = index.sparkSession.sparkContext.broadcast((block, centre, rotation)), len(centre)
+def _search_block(index: DataFrame, shared, dim: int, k: int, sigma: float) -> DataFrame:
+    """(query_id, vec_id, score): at least the k nearest of each task. shared: a broadcast of (block, centre, rotation)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -133,7 +133,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, sample: int = 4096,
 
     Both hold (vec_id, embedding). Score: the Euclidean distance of the original vectors in double
     precision; ties go to the smaller vec_id. Every row of df is indexed and faces every query, one
-    block of about ``block`` queries at a time; ``sample`` bounds the vectors that fit the frame and
+    block of about ``block`` queries after the other (of which one is collected and broadcast at a time);
+    ``sample`` bounds the vectors that fit the frame and
     ``sigma`` is the error bound's width in standard deviations.
 
     Null vec_ids and vectors that are null, empty, zero, hold null or non-finite components or
@@ -152,12 +153,18 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, sample: int = 4096,
         asked = usable(queries).where(F.size("exact") == len(frame[0])).groupBy("vec_id").agg(F.min("exact").alias("exact"))
         asked = stage.put(asked)
         blocks = max(1, math.ceil(asked.count() / block))
+        shared = None
         for i in range(blocks):
             own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).orderBy("vec_id").toArrow()
             ids = own.column("vec_id").to_numpy()
             if len(ids):
-                exact = np.array(own.column("exact").to_pylist())
-                out = out.unionByName(_search_block(index, (ids, exact), *frame, k, sigma))
+                if shared is not None:  # one block is held at a time
+                    out = out.unionByName(stage.put(found))
+                    shared.unpersist()
+                shared = spark.sparkContext.broadcast(((ids, np.array(own.column("exact").to_pylist())), *frame))
+                found = _search_block(index, shared, len(frame[0]), k, sigma)
+        if shared is not None:
+            out = out.unionByName(found)
     near = out.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
