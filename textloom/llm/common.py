@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,11 @@ _FALLBACK = f"/tmp/checkpoints/textloom-{uuid.uuid4().hex[:12]}"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a folder of our own only where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{_FALLBACK}").rstrip("/")
+    """The folder that the driver and all executors share; a folder of our own only in local mode, where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or f"file://{_FALLBACK}").rstrip("/")
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -34,8 +38,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Stage:
     """Tables written to the shared folder: they cut lineage and outlive lost executors.
 
-    ``put`` writes a frame and reads it back; ``drop`` deletes one that is no longer read. What a
-    returned frame still reads is deleted when the session's process ends.
+    ``put`` writes a frame and reads it back; ``drop`` deletes one that is no longer read, ``keep_only``
+    all but those given. What a returned frame still reads is deleted when the session's process ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -57,6 +61,13 @@ class Stage:
             if path := self.paths.pop(id(f), None):
                 _delete(self.spark, path)
 
+    def keep_only(self, *frames: DataFrame) -> None:
+        kept = {self.paths[id(f)] for f in frames}
+        for i in range(self.n):
+            if (path := f"{self.root}/{i}") not in kept:
+                _delete(self.spark, path)
+        self.paths = {id(f): self.paths[id(f)] for f in frames}
+
     def _close(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:

@@ -150,6 +150,7 @@ def near_duplicates(df: DataFrame, shingle: int = 3, lanes: int = 1, radius: int
     found = connected_components(stage, edges)
     units = units.select("unit", "low").join(found.withColumnRenamed("node", "unit"), "unit", "left")
     units = stage.put(units.withColumn("component", F.coalesce("component", "unit")))
+    stage.keep_only(docs, units)
     lows = units.groupBy("component").agg(F.min("low").alias("component_id"))
     units = spread_join(units, lows, ["component"], F.col("unit")).select("unit", "component_id")
     # a text that a third of all rows hold: its rows are dealt over several tasks
@@ -225,6 +226,7 @@ def near_copies(df: DataFrame, shingle: int = 5, lanes: int = 6) -> DataFrame:
 
     lows = docs.groupBy("tid").agg(F.min("doc_id").alias("low")).join(found.withColumnRenamed("node", "tid"), "tid", "left")
     lows = stage.put(lows.withColumn("component", F.coalesce("component", "tid")))
+    stage.keep_only(lows)
     first = lows.groupBy("component").agg(F.min("low").alias("component_id"))
     lows = spread_join(lows, first, ["component"], F.col("tid")).select("tid", "component_id")
     return spread_join(docs.select("doc_id", "tid"), lows, ["tid"], F.col("doc_id"), how="inner").select("doc_id", "component_id")

@@ -335,6 +335,7 @@ class Repeats:
         both = distinct.select("text_key", "copies", "n_bytes").join(spans, "text_key", "left")
         both = both.select("text_key", F.when(copied, all_of).otherwise(F.col("spans")).alias("spans"))
         self.spans = stage.put(both.where(F.col("spans").isNotNull()))
+        stage.keep_only(self.spans)
 
 
 def text_key(text: Column) -> Column:
