@@ -1,6 +1,6 @@
 """The exact check behind near copies: Jaccard similarity of sets of word shingles, 4/5 or more.
 
-Pairs meet a bound first: each bit of one set's signature that the other's lacks is a shingle that the
+Candidates meet a bound first: each bit of one set's signature that the other's lacks is a shingle that the
 other lacks. No pair of similarity 4/5 fails it; only the sets of the texts that are left are fetched.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stage
@@ -54,16 +54,19 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "tid long, shingles array<long>")
 
 
-def similar(stage: Stage, pairs: DataFrame, units: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) whose sets have similarity 4/5 or more; units: (tid, n, signature); texts: (tid, text), repeats allowed."""
-    of = lambda df, *cs: [df.select(F.col("tid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in cs]) for x in "ab"]
-    close = lambda both: 9 * both >= 4 * (F.col("a_n") + F.col("b_n"))
-    lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}_signature")[i].bitwiseAND(F.bitwise_not(F.col(f"{y}_signature")[i]))) for i in range(LONGS)), F.lit(0))
-    a, b = of(units, "n", "signature")
-    pairs = pairs.distinct().join(a, "a").join(b, "b").where(close(F.least(F.col("a_n") - lacks("a", "b"), F.col("b_n") - lacks("b", "a"))))
-    pairs = stage.put(pairs.select("a", "b", "a_n", "b_n"))
+def may_be_similar(a: str, b: str) -> Column:
+    """Whether the signatures and sizes (columns n, signature) of two frames by these names allow similarity 4/5."""
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}.signature")[i].bitwiseAND(F.bitwise_not(F.col(f"{y}.signature")[i]))) for i in range(LONGS)), F.lit(0))
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - lacks(a, b), m - lacks(b, a)) >= 4 * (n + m))
+
+
+def similar(stage: Stage, pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) of tids whose sets have similarity 4/5 or more; texts: (tid, text), repeats allowed."""
+    pairs = stage.put(pairs.distinct())
     wanted = stage.put(pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct())
     wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
     own = stage.put(_sets(texts.join(wanted, "tid", "left_semi").dropDuplicates(["tid"]), k))
-    a, b = of(own, "shingles")
-    return stage.put(pairs.join(a, "a").join(b, "b").where(close(F.size(F.array_intersect("a_shingles", "b_shingles")))).select("a", "b"))
+    a, b = (own.select(F.col("tid").alias(x), F.col("shingles").alias(f"{x}_shingles")) for x in "ab")
+    both = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    return stage.put(pairs.join(a, "a").join(b, "b").where(9 * both >= 4 * (F.size("a_shingles") + F.size("b_shingles"))).select("a", "b"))

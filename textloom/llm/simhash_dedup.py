@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stage, connected_components, spread_join
-from .jaccard import shingles, signature, similar
+from .jaccard import may_be_similar, shingles, signature, similar
 
 SEED = 42
 #: Odd multipliers that turn one hash into those of further lanes: the k-th odd number times this one.
@@ -157,23 +157,22 @@ def near_duplicates(df: DataFrame, shingle: int = 3, lanes: int = 1, radius: int
     return spread_join(docs, units, ["unit"], F.col("doc_id"), how="inner").select("doc_id", "lanes", "component_id")
 
 
-#: Triples of the eight byte positions of which any four positions hold one: all of a group, and two of one with one of the next.
-GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
-TRIPLES = [t for t in combinations(range(8), 3) if any(sum(i in GROUPS[g] for i in t) == 3 or (sum(i in GROUPS[g] for i in t) == 2 and sum(i in GROUPS[(g + 1) % 3] for i in t) == 1) for g in range(3))]
+#: Sets of four byte positions of which any five positions hold one: those whose numbers' exclusive or is zero.
+FOURS = [t for t in combinations(range(8), 4) if t[0] ^ t[1] ^ t[2] ^ t[3] == 0]
 #: Members that each posting compares all others with in the first round.
 PIVOTS = 3
 
 
-def near_copies(df: DataFrame, shingle: int = 5, lanes: int = 6) -> DataFrame:
+def near_copies(df: DataFrame, shingle: int = 5, lanes: int = 10) -> DataFrame:
     """doc_id, component_id for every row of (doc_id, text): texts link at Jaccard similarity 4/5 of their five-word shingles.
 
     Candidates come from fingerprints of a text's words, in ``lanes`` independent hashings: texts of that
     similarity differ there in some 5 of 64 bits (fingerprints of the shingles themselves would in 9, which
-    few bytes survive). Postings are keyed by three byte positions and their values; a pair that
-    meets there is kept if the positional bytes that it shares reach four, the guaranteed minimum at four
-    differing bits, and is verified on the sets of shingles. A family of near copies isn't paired up: a
-    first round compares a posting's members with ``PIVOTS`` of them, a second one only members that
-    aren't connected yet.
+    few bytes survive). Postings are keyed by four byte positions and their values; a pair that meets there
+    is kept if the positional bytes that it shares reach five, the guaranteed minimum at three differing
+    bits, and if the signatures of the sets of shingles allow the similarity; it is verified on the sets.
+    A family of near copies isn't paired up: a first round compares a posting's members with ``PIVOTS`` of
+    them, a second one only members that aren't connected yet.
 
     component_id is the smallest doc_id that links reach. Null, empty or blank texts are one group; fewer
     words than a shingle are one shingle. Null doc_ids, repeated rows and other columns as in
@@ -198,31 +197,31 @@ def near_copies(df: DataFrame, shingle: int = 5, lanes: int = 6) -> DataFrame:
     units = docs.select("tid", "text").mapInArrow(run, "tid long, lanes array<long>, n int, signature array<long>")
     units = stage.put(units.dropDuplicates(["tid"]))
 
-    # one number a key: lane, triple, the three bytes
-    key = lambda t, lane, k: F.lit(k << 24).cast("long") + (lane.cast("long") * (len(TRIPLES) << 24)) + sum((F.shiftleft(_byte(F.col("fp"), i), 8 * j) for j, i in enumerate(t)), F.lit(0).cast("long"))
-    flat = units.select("tid", F.posexplode("lanes").alias("lane", "fp"))
-    posted = flat.select("tid", "fp", F.explode(F.array(*[key(t, F.col("lane"), k) for k, t in enumerate(TRIPLES)])).alias("key"))
+    # one number a key: lane, positions, their four bytes
+    key = lambda t, lane, k: (lane.cast("long") * len(FOURS) + k) * F.lit(1 << 32) + sum((F.shiftleft(_byte(F.col("fp"), i), 8 * j) for j, i in enumerate(t)), F.lit(0).cast("long"))
+    flat = units.where("n > 0").select("tid", F.posexplode("lanes").alias("lane", "fp"))
+    posted = flat.select("tid", F.explode(F.array(*[key(t, F.col("lane"), k) for k, t in enumerate(FOURS)])).alias("key"))
     sizes = stage.put(posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
-    index = stage.put(posted.join(sizes, "key").withColumn("c", F.col("tid")))
+    index = stage.put(posted.join(sizes, "key"))
+    lane = F.element_at("lanes", F.floor(F.col("key") / F.lit(len(FOURS) << 32)).cast("int") + 1)
+    index = stage.put(index.join(units, "tid").select("key", "tid", lane.alias("fp"), "n", "signature").withColumn("c", F.col("tid")))
 
+    # both sides' bytes and signatures take part in the joins, which so yield hardly more pairs than links
     shared = sum(((_byte(F.col("a.fp"), i) == _byte(F.col("b.fp"), i)).cast("int") for i in range(8)), F.lit(0))
+    meets = (F.col("a.key") == F.col("b.key")) & (shared >= 5) & may_be_similar("a", "b")
     pair = [F.least("a.tid", "b.tid").alias("a"), F.greatest("a.tid", "b.tid").alias("b")]
-    member = F.struct("tid", "fp")
+    member = F.struct("tid", "fp", "n", "signature")
     pivots = index.groupBy("key").agg(*[F.min_by(member, F.xxhash64("tid", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
     pivots = stage.put(pivots.select("key", F.inline(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)])))))
-    met = index.alias("a").join(pivots.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.tid") != F.col("b.tid")) & (shared >= 4)).select(*pair)
-    edges = similar(stage, met, units, docs.select("tid", "text"), shingle)
-    while True:
-        found = stage.put(connected_components(stage, edges))
-        # second round: of each posting, members of different components; then what they connect is settled
-        if index is None:
-            break
-        left = stage.put(index.drop("c").join(found.select(F.col("node").alias("tid"), "component"), "tid", "left").withColumn("c", F.coalesce("component", "tid")).drop("component"))
-        mixed = stage.put(left.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key"))
-        left = stage.put(left.join(mixed, "key"))
-        a, b = left.alias("a"), left.alias("b")
-        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.tid") < F.col("b.tid")) & (F.col("a.c") != F.col("b.c")) & (shared >= 4)).select(*pair)
-        edges, index = stage.put(edges.unionByName(similar(stage, met, units, docs.select("tid", "text"), shingle))), None
+    met = index.alias("a").join(pivots.alias("b"), meets & (F.col("a.tid") != F.col("b.tid"))).select(*pair)
+    edges = similar(stage, met, docs.select("tid", "text"), shingle)
+    found = stage.put(connected_components(stage, edges))
+    # second round: of each posting, members of different components
+    left = stage.put(index.drop("c").join(found.select(F.col("node").alias("tid"), "component"), "tid", "left").withColumn("c", F.coalesce("component", "tid")).drop("component"))
+    mixed = stage.put(left.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key"))
+    left = stage.put(left.join(mixed, "key"))
+    met = left.alias("a").join(left.alias("b"), meets & (F.col("a.tid") < F.col("b.tid")) & (F.col("a.c") != F.col("b.c"))).select(*pair)
+    found = stage.put(connected_components(stage, edges.unionByName(similar(stage, met, docs.select("tid", "text"), shingle))))
 
     lows = docs.groupBy("tid").agg(F.min("doc_id").alias("low")).join(found.withColumnRenamed("node", "tid"), "tid", "left")
     lows = stage.put(lows.withColumn("component", F.coalesce("component", "tid")))
