@@ -68,8 +68,18 @@ def test_dense_matches_brute_force_and_lsh_recall(spark):
         got.setdefault(r.qid, []).append(r.chunk_id)
     want = {f"{i:03}": [f"{j:03}" for j in np.argsort(-(m @ m[i]), kind="stable")[:5]] for i in range(5)}
     assert got == want
-    near = {(r.qid, r.chunk_id) for r in dense.lsh_search(v.where("embedding is not null"), q, 5, radius=1.4).collect()}
-    assert len(near & {(k, x) for k, xs in want.items() for x in xs}) >= 20
+    assert dense.search(v, q.where("false"), 5).collect() == []
+    near = {(r.qid, r.chunk_id) for r in dense.lsh_search(v.where("embedding is not null"), q, 5).collect()}
+    assert len(near & {(k, x) for k, xs in want.items() for x in xs}) >= 0.9 * 25
+
+
+def test_dense_ties_go_to_the_smaller_id(spark):
+    v = spark.createDataFrame([(f"{i:02}", [1.0, float(i % 3)]) for i in range(40)], "chunk_id string, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([("q", [0.0, 1.0]), ("none", [0.0, 0.0])], "qid string, embedding array<float>")
+    got = {}
+    for r in dense.search(v, q, 4).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.chunk_id)
+    assert got == {"q": ["02", "05", "08", "11"], "none": ["00", "01", "02", "03"]}
 
 
 def test_fusion(spark):
@@ -106,7 +116,8 @@ def test_metrics_by_hand(spark):
 def test_metrics_without_judgments(spark):
     none = spark.createDataFrame([], "qid string, doc_id string, rel int")
     run = spark.createDataFrame([("1", "x", 1)], "qid string, doc_id string, rank int")
-    assert metrics.evaluate(none, run, (1,)).count() == 0
+    got = {(r.metric, r.k): r.value for r in metrics.evaluate(none, run, (1, 3)).collect()}
+    assert got == {("NDCG", 1): None, ("NDCG", 3): None, ("MRR", 10): None} | {(m, k): 0.0 for m in ("Recall", "MAP", "Precision") for k in (1, 3)}
 
 
 def test_lambda_loss(spark):

@@ -37,7 +37,11 @@ def test_retrieve_end_to_end(spark, corpus):
 def test_scorer_sits_above_the_cut(spark, corpus):
     q = spark.createDataFrame([("a", "topic1")], "qid string, query string")
     plan = retrieval.retrieve(corpus, q, encode)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("ce_score") >= 0 and "Cartesian" not in plan
+    # the scorer's word overlap stands above the window that cuts the candidates, and each search is planned once
+    lines = plan.splitlines()
+    scorer, cut = (next(i for i, x in enumerate(lines) if w in x) for w in ("array_intersect", "windowspecdefinition(qid"))
+    assert cut < scorer < max(i for i, x in enumerate(lines) if "windowspecdefinition(qid" in x) and "Cartesian" not in plan
+    assert plan.count("MapInArrow") == 1
 
 
 def test_ablation_and_gap(spark, corpus):

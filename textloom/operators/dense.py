@@ -33,21 +33,24 @@ def _search_block(vectors: DataFrame, ids: list, matrix, k: int) -> DataFrame:
         import numpy as np
 
         names, queries = shared.value
-        best: list[list[tuple]] = [[] for _ in names]
+        query, item, score = np.empty(0, np.int64), np.empty(0, object), np.empty(0)
+        limit = np.full(len(names), -np.inf)  # the k-th best score of each query so far
         for b in batches:
-            ids = b.column(0).to_pylist()
+            ids = np.array(b.column(0).to_pylist(), object)
             data = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(len(ids), -1)
             scores = np.round(queries @ data.T, 6)
-            n = min(k, len(ids))
-            for q, row in enumerate(scores):
-                limit = np.partition(row, len(ids) - n)[len(ids) - n]
-                if len(best[q]) >= k:
-                    limit = max(limit, -best[q][-1][0])
-                near = [(-row[i], ids[i]) for i in np.nonzero(row >= limit)[0]]
-                if near:
-                    best[q] = sorted(best[q] + near)[:k]
-        flat = [(names[q], i, -s) for q, own in enumerate(best) for s, i in own]
-        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], pa.string()), pa.array([f[1] for f in flat], b_type), pa.array([f[2] for f in flat], pa.float64())], ["qid", "chunk_id", "score"])
+            if len(ids) > k:
+                limit = np.maximum(limit, np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k])
+            q, i = np.nonzero(scores >= limit[:, None])
+            query, item, score = np.concatenate((query, q)), np.concatenate((item, ids[i])), np.concatenate((score, scores[q, i]))
+            order = np.lexsort((np.unique(item, return_inverse=True)[1], -score, query))  # ties to the smaller id
+            query, item, score = query[order], item[order], score[order]
+            place = np.arange(len(query)) - np.searchsorted(query, query)
+            keep = place < k
+            query, item, score, place = query[keep], item[keep], score[keep], place[keep]
+            full = place == k - 1
+            limit[query[full]] = score[full]
+        yield pa.RecordBatch.from_arrays([pa.array([names[q] for q in query], pa.string()), pa.array(item.tolist(), b_type), pa.array(score)], ["qid", "chunk_id", "score"])
 
     b_type = pa.string() if item == "string" else pa.int64()
     return vectors.select("chunk_id", "embedding").mapInArrow(run, f"qid {qid}, chunk_id {item}, score double")
@@ -58,7 +61,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
 
     vectors: (chunk_id, embedding); queries: (qid string, embedding), in blocks of ``BLOCK``. Each task
     sends k rows a query at most, so the shuffle doesn't grow with the vectors of a task. Null vectors
-    take no part.
+    take no part; without queries there are no rows.
     """
     import numpy as np
 
@@ -66,9 +69,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
     blocks, out = max(1, math.ceil(queries.count() / BLOCK)), None
     for i in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).orderBy("qid").select("qid", "embedding").collect()
-        if own or out is None and i == blocks - 1:
+        if own:
             got = _search_block(vectors, [r[0] for r in own], np.array([r[1] for r in own], float).reshape(len(own), -1), k)
             out = got if out is None else out.unionByName(got)
+    if out is None:
+        out = vectors.where("false").select(F.lit("").alias("qid"), "chunk_id", F.lit(0.0).alias("score"))
     return top_k(out, ["qid"], k)
 
 

@@ -18,15 +18,15 @@ def with_id(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.coalesce(F.col(column), F.lit("")) != "")
 
 
-def first_of(df: DataFrame, key: Column | str, order: list) -> DataFrame:
-    """The first row of each key in the order given."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+def dedup_content(docs: DataFrame, order: list[str]) -> DataFrame:
+    """The first document of each cleaned text, in ascending order of these columns, then of doc_id.
 
-
-def dedup_content(docs: DataFrame, order: list) -> DataFrame:
-    """The first document of each cleaned text. Only hashes and ids are shuffled; texts meet the survivors in a join."""
-    keys = docs.select("doc_id", *[c for c in order if isinstance(c, str) and c != "doc_id"], T.content_hash(F.col("text")).alias("_hash"))
-    return docs.join(first_of(keys, "_hash", order).select("doc_id"), "doc_id", "left_semi")
+    Minima by hash are summed up before the shuffle, so that a text which a third of all documents hold is
+    one row a task. Only hashes and ids are shuffled; texts meet the survivors in a join.
+    """
+    columns = [*order, *(["doc_id"] if "doc_id" not in order else [])]
+    first = docs.select(T.content_hash(F.col("text")).alias("_hash"), F.struct(*columns).alias("_o")).groupBy("_hash").agg(F.min("_o").alias("_o"))
+    return docs.join(first.select(F.col("_o.doc_id").alias("doc_id")), "doc_id", "left_semi")
 
 
 def ingest(docs: DataFrame, low: int = 10, high: int = 10_000) -> DataFrame:
@@ -85,11 +85,24 @@ def hash_order(key: Column, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
+def hash_ranked(df: DataFrame, key: str, strata: list[str], seed: int = 42) -> DataFrame:
+    """df with ``_n``, each row's place from 1 in hash order within its stratum, and ``_all``, the stratum's rows.
+
+    From counts by hash prefix and windows within prefixes: no task sorts a whole stratum. Strata are few,
+    at most 4096 counts each, and not null.
+    """
+    d = df.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_p", F.substring("_h", 1, 3))
+    sizes = d.groupBy(*strata, "_p").agg(F.count("*").alias("_c"))
+    up_to = F.sum("_c").over(W.partitionBy(*strata).orderBy("_p").rowsBetween(W.unboundedPreceding, 0))
+    sizes = sizes.select(*strata, "_p", (up_to - F.col("_c")).alias("_before"), F.sum("_c").over(W.partitionBy(*strata)).alias("_all"))
+    d = d.join(sizes, [*strata, "_p"])
+    rank = F.col("_before") + F.row_number().over(W.partitionBy(*strata, "_p").orderBy("_h", key))
+    return d.withColumn("_n", rank).drop("_h", "_p", "_before")
+
+
 def sample_strata(df: DataFrame, key: str, strata: list[str], ratio: float = 0.5, seed: int = 42) -> DataFrame:
     """ceil(n * ratio) rows of each stratum, in hash order."""
-    order = W.partitionBy(*strata).orderBy(hash_order(F.col(key), seed), key)
-    n = F.count("*").over(W.partitionBy(*strata))
-    return df.withColumn("_n", F.row_number().over(order)).withColumn("_all", n).where(F.col("_n") <= F.ceil(F.col("_all") * ratio)).drop("_n", "_all")
+    return hash_ranked(df, key, strata, seed).where(F.col("_n") <= F.ceil(F.col("_all") * ratio)).select(*df.columns)
 
 
 def stratified_sample(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, ratio: float = 0.5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -109,23 +122,16 @@ def stratified_sample(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, r
     sizes = docs.groupBy("_bin").agg(F.ceil(F.count("*") * ratio).alias("_want"))
     have = docs.join(related, "doc_id", "left_semi").groupBy("_bin").agg(F.count("*").alias("_have"))
     rest = docs.join(related, "doc_id", "left_anti")
-    rest = rest.withColumn("_n", F.row_number().over(W.partitionBy("_bin").orderBy(hash_order(F.col("doc_id"), seed), "doc_id")))
+    rest = hash_ranked(rest, "doc_id", ["_bin"], seed)
     rest = rest.join(F.broadcast(sizes.join(have, "_bin", "left")), "_bin").where(F.col("_n") <= F.col("_want") - F.coalesce("_have", F.lit(0)))
     return picked, related.unionByName(rest.select("doc_id"))
 
 
 def split(queries: DataFrame, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
-    """queries with ``split``: floor(n * train) train, floor(n * val) val, the rest test, in hash order.
-
-    Ranks come from counts by hash prefix and windows within prefixes, so that no task sorts all rows.
-    """
-    q = queries.withColumn("_h", hash_order(F.col("qid"), seed)).withColumn("_p", F.substring("_h", 1, 3))
-    sizes = q.groupBy("_p").agg(F.count("*").alias("_c"))
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_c").over(W.partitionBy()))
-    q = q.join(F.broadcast(sizes.drop("_c")), "_p")  # at most 4096 prefixes
-    rank = F.col("_before") + F.row_number().over(W.partitionBy("_p").orderBy("_h", "qid"))
+    """queries with ``split``: floor(n * train) train, floor(n * val) val, the rest test, in hash order."""
+    q, rank = hash_ranked(queries, "qid", [], seed), F.col("_n")
     a, b = F.floor(F.col("_all") * train), F.floor(F.col("_all") * val)
-    return q.withColumn("split", F.when(rank <= a, "train").when(rank <= a + b, "val").otherwise("test")).drop("_h", "_p", "_before", "_all")
+    return q.withColumn("split", F.when(rank <= a, "train").when(rank <= a + b, "val").otherwise("test")).select(*queries.columns, "split")
 
 
 def restrict(qrels: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:

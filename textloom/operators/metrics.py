@@ -34,21 +34,29 @@ def evaluate(qrels: DataFrame, run: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 1
     (always over k) average over queries with a positive, 0.0 if there is none. Without judged
     queries NDCG and MRR are null.
     """
-    q = _by_query(qrels, run, tuple(dict.fromkeys((*ks, mrr_k))))
+    every = tuple(dict.fromkeys((*ks, mrr_k)))
+    q = _by_query(qrels, run, every)
     some = F.col("positives") > 0
     zero = F.lit(0.0)
     each = q.groupBy("k").agg(
         F.avg(F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(zero)).alias("NDCG"),
-        F.coalesce(F.avg(F.when(some, F.col("hits") / F.col("positives"))), zero).alias("Recall"),
-        F.coalesce(F.avg(F.when(some, F.col("ap") / F.least(F.col("positives"), F.col("k")))), zero).alias("MAP"),
-        F.coalesce(F.avg(F.when(some, F.col("hits") / F.col("k"))), zero).alias("Precision"),
+        F.avg(F.when(some, F.col("hits") / F.col("positives"))).alias("Recall"),
+        F.avg(F.when(some, F.col("ap") / F.least(F.col("positives"), F.col("k")))).alias("MAP"),
+        F.avg(F.when(some, F.col("hits") / F.col("k"))).alias("Precision"),
         F.avg(F.coalesce(1.0 / F.col("first"), zero)).alias("MRR"),
     )
+    cuts = qrels.sparkSession.createDataFrame([(k,) for k in every], "k int")
+    each = cuts.join(each, "k", "left").na.fill(0.0, ["Recall", "MAP", "Precision"])
     names = ("NDCG", "Recall", "MAP", "Precision", "MRR")
     rows = each.select("k", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("m")).select("m.metric", "k", F.round("m.value", 6).alias("value"))
     return rows.where((F.col("metric") == "MRR") & (F.col("k") == mrr_k) | (F.col("metric") != "MRR") & F.col("k").isin(*ks))
 
 
+def compare_runs(runs: DataFrame, model: str, total: str, retrieval: str) -> DataFrame:
+    """(model, runs, avg_total_s, avg_retrieval_s) of timed runs; a run without a time counts in runs alone."""
+    return runs.groupBy(F.col(model).alias("model")).agg(F.count("*").alias("runs"), F.round(F.avg(total), 6).alias("avg_total_s"), F.round(F.avg(retrieval), 6).alias("avg_retrieval_s"))
+
+
 def lambda_loss(groups: DataFrame) -> DataFrame:
     """(group, loss) over (group, pos from 1, score, label).
 

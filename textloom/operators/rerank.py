@@ -33,21 +33,21 @@ def overlap_scorer(query: Column, text: Column) -> Column:
     return sigmoid(overlap_logit(query, text))
 
 
-def bi_encoder(candidates: DataFrame, query_vectors: DataFrame, vectors: DataFrame, k: int = 80, top_in: int | None = None, min_score: float | None = None) -> DataFrame:
-    """(qid, chunk_id, score, rank, bi_encoder_score) by cosine of unit vectors; the guard comes before the cut."""
+def bi_encoder(candidates: DataFrame, query_vectors: DataFrame, vectors: DataFrame, k: int = 80, top_in: int | None = None, min_score: float | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(qid, chunk_id, score, rank, bi_encoder_score, carry) by cosine of unit vectors; the guard comes before the cut."""
     c = candidates.where(F.col("rank") <= top_in) if top_in else candidates
-    c = c.select("qid", "chunk_id").join(query_vectors.select("qid", F.col("embedding").alias("_q")), "qid").join(vectors.select("chunk_id", F.col("embedding").alias("_v")), "chunk_id")
-    c = c.select("qid", "chunk_id", F.round(dot(F.col("_q"), F.col("_v")), 6).alias("score"))
+    c = c.select("qid", "chunk_id", *carry).join(query_vectors.select("qid", F.col("embedding").alias("_q")), "qid").join(vectors.select("chunk_id", F.col("embedding").alias("_v")), "chunk_id")
+    c = c.select("qid", "chunk_id", *carry, F.round(dot(F.col("_q"), F.col("_v")), 6).alias("score"))
     if min_score is not None:
         c = c.where(F.col("score") >= min_score)
     return top_k(c, ["qid"], k).withColumn("bi_encoder_score", F.col("score"))
 
 
-def cross_encoder(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, scorer: Scorer = overlap_scorer, k: int = 50, top_in: int | None = None, threshold: float | None = 0.0) -> DataFrame:
-    """(qid, chunk_id, score, rank, ce_score): unknown chunks drop out, scores are not fused with earlier ones."""
+def cross_encoder(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, scorer: Scorer = overlap_scorer, k: int = 50, top_in: int | None = None, threshold: float | None = 0.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(qid, chunk_id, score, rank, ce_score, carry): unknown chunks drop out, scores are not fused with earlier ones."""
     c = candidates.where(F.col("rank") <= top_in) if top_in else candidates
-    c = c.select("qid", "chunk_id").join(queries.select("qid", "query"), "qid").join(chunks.select("chunk_id", "chunk_text"), "chunk_id")
-    c = c.select("qid", "chunk_id", F.round(scorer(F.col("query"), F.col("chunk_text")), 6).alias("score"))
+    c = c.select("qid", "chunk_id", *carry).join(queries.select("qid", "query"), "qid").join(chunks.select("chunk_id", "chunk_text"), "chunk_id")
+    c = c.select("qid", "chunk_id", *carry, F.round(scorer(F.col("query"), F.col("chunk_text")), 6).alias("score"))
     if threshold is not None:
         c = c.where(F.col("score") >= threshold)
     return top_k(c, ["qid"], k).withColumn("ce_score", F.col("score"))

@@ -2,7 +2,7 @@
 
 The tables have no titles, queries or judgments of their own: documents are the corpus, benchmark
 items the queries, and a document is relevant to an item if they share a run of eight words.
-Vectors: chunks of ``embeddings`` by vec_id, the first twenty as queries.
+Vectors: chunks of ``embeddings`` by vec_id; queries are those whose id is divisible by 100.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").cast("string").alias("qid"), "embedding")
+    return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").cast("string").alias("qid"), "embedding")
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -335,7 +335,8 @@ def term_frequencies(spark, d):
 
 @query(f"WITH {SQL_POSTINGS} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def inverse_document_frequencies(spark, d):
-    return bm25.Bm25Index.fit(chunks(spark, d)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    c = chunks(spark, d)
+    return bm25.idf(bm25.document_frequencies(c), c.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {SQL_POSTINGS} SELECT n, round(avgdl, 6) AS avgdl FROM st")
@@ -357,7 +358,7 @@ DOT = "list_reduce(list_transform(list_zip({0}, {1}), lambda z: CAST(z[1] AS DOU
 def sql_dense(k: int, name: str = "dn") -> str:
     return f"""
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (
-  SELECT CAST(q.vec_id AS VARCHAR) AS qid, CAST(v.vec_id AS VARCHAR) AS chunk_id, round({DOT.format('q.embedding', 'v.embedding')}, 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20)) WHERE rank <= {k})"""
+  SELECT CAST(q.vec_id AS VARCHAR) AS qid, CAST(v.vec_id AS VARCHAR) AS chunk_id, round({DOT.format('q.embedding', 'v.embedding')}, 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)) WHERE rank <= {k})"""
 
 
 @query(f"WITH {sql_dense(10)} SELECT qid, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM dn")
@@ -520,31 +521,31 @@ def evaluate_bm25(spark, d):
     return metrics.evaluate(judged(spark, d), max_pool_documents(spark, d))
 
 
-@query(f"""WITH q AS (SELECT CAST(vec_id % 20 AS VARCHAR) AS qid, CAST(vec_id AS VARCHAR) AS doc_id, CAST(label % 3 AS INTEGER) AS rel FROM embeddings WHERE vec_id % 7 = 0), qrels AS (SELECT * FROM q), {sql_dense(100)},
+@query(f"""WITH q AS (SELECT CAST(vec_id - vec_id % 100 AS VARCHAR) AS qid, CAST(vec_id AS VARCHAR) AS doc_id, CAST(label % 3 AS INTEGER) AS rel FROM embeddings), qrels AS (SELECT * FROM q), {sql_dense(100)},
 run AS (SELECT qid, chunk_id AS doc_id, rank FROM dn), {sql_metrics('run')} SELECT metric, k, value FROM met""")
 def evaluate_graded(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 7 = 0").select((F.col("vec_id") % 20).cast("string").alias("qid"), F.col("vec_id").cast("string").alias("doc_id"), (F.col("label") % 3).alias("rel"))
+    q = e.select((F.col("vec_id") - F.col("vec_id") % 100).cast("string").alias("qid"), F.col("vec_id").cast("string").alias("doc_id"), (F.col("label") % 3).alias("rel"))
     return metrics.evaluate(q, dense.search(vectors(spark, d), vector_queries(spark, d), 100).select("qid", F.col("chunk_id").alias("doc_id"), "rank"))
 
 
-@query("""WITH g AS (SELECT label AS "group", row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos, CAST(embedding[1] AS DOUBLE) AS score, abs(CAST(embedding[2] AS DOUBLE)) AS lab FROM embeddings WHERE vec_id < 200),
+@query("""WITH g AS (SELECT vec_id // 50 AS "group", row_number() OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS pos, CAST(embedding[1] AS DOUBLE) AS score, abs(CAST(embedding[2] AS DOUBLE)) AS lab FROM embeddings),
 x AS (SELECT *, 1 / (ln(pos + 1) / ln(2)) AS disc, row_number() OVER (PARTITION BY "group" ORDER BY lab DESC) AS r FROM g),
 i AS (SELECT "group", greatest(sum(lab / (ln(r + 1) / ln(2))), 1e-10) AS idcg FROM x GROUP BY "group"),
 p AS (SELECT a."group", avg(ln(1 + exp(b.score - a.score)) * abs(a.disc - b.disc) * (a.lab - b.lab)) AS m FROM x a JOIN x b ON a."group" = b."group" AND a.lab > b.lab GROUP BY 1)
 SELECT i."group", round(coalesce(m / idcg, 0), 6) AS loss FROM i LEFT JOIN p USING ("group")""")
 def lambda_loss(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 200")
-    pos = F.row_number().over(Win.partitionBy("label").orderBy("vec_id"))
-    return metrics.lambda_loss(e.select(F.col("label").alias("group"), pos.alias("pos"), F.col("embedding")[0].cast("double").alias("score"), F.abs(F.col("embedding")[1].cast("double")).alias("label")))
+    e = table(spark, d, "embeddings").withColumn("group", F.expr("vec_id div 50"))  # lists of fifty, over all rows
+    pos = F.row_number().over(Win.partitionBy("group").orderBy("vec_id"))
+    return metrics.lambda_loss(e.select("group", pos.alias("pos"), F.col("embedding")[0].cast("double").alias("score"), F.abs(F.col("embedding")[1].cast("double")).alias("label")))
 
 
 # ---- training data ----------------------------------------------------------------------------------------------
 
 
 SQL_NEG = f"""{SQL_JUDGED},
-pl AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) - 1 AS at FROM jd ORDER BY md5('42|' || doc_id), doc_id LIMIT 2000), m AS (SELECT count(*) AS m FROM pl),
-dr AS (SELECT qid, CAST(('0x' || md5('42|' || qid)[1:8]) AS BIGINT) % m AS s, unnest(range(0, least(m, 8 * 5))) AS d, m FROM jq, m),
+pl AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) - 1 AS at FROM jd), m AS (SELECT count(*) AS m FROM pl),
+dr AS (SELECT qid, CAST(('0x' || md5('42|' || qid)[1:8]) AS BIGINT) % m AS s, unnest(range(0, m)) AS d, m FROM jq, m),
 ng AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY d) AS n FROM (SELECT * FROM dr JOIN pl ON pl.at = (s + d) % m) ANTI JOIN qrels USING (qid, doc_id))"""
 
 
@@ -562,7 +563,7 @@ def training_records(spark, d):
     return r.select("qid", F.md5(F.array_join("positives", "|")).alias("positives"), F.md5(F.array_join("negatives", "|")).alias("negatives"))
 
 
-@query(f"""WITH {SQL_NEG.replace('8 * 5', '8 * 3')}, t AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents),
+@query(f"""WITH {SQL_NEG}, t AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents),
 p AS (SELECT qid, doc_id FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY md5('42|' || qid || '|' || doc_id), doc_id) AS r FROM qrels) WHERE r = 1)
 SELECT p.qid, md5(a.text) AS positive, md5(b.text) AS negative FROM p JOIN t a USING (doc_id) JOIN ng ON ng.qid = p.qid AND n <= 3 JOIN t b ON b.doc_id = ng.doc_id""")
 def triplets(spark, d):
@@ -686,8 +687,8 @@ def classify_errors(spark, d):
 
 @query("SELECT event_type AS model, count(*) AS runs, round(avg(value), 6) AS avg_total_s, round(avg(value) FILTER (user_id % 2 = 0), 6) AS avg_retrieval_s FROM events GROUP BY 1")
 def model_comparison(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy(F.col("event_type").alias("model")).agg(F.count("*").alias("runs"), F.round(F.avg("value"), 6).alias("avg_total_s"), F.round(F.avg(F.when(F.col("user_id") % 2 == 0, F.col("value"))), 6).alias("avg_retrieval_s"))
+    e = table(spark, d, "events").withColumn("retrieval", F.when(F.col("user_id") % 2 == 0, F.col("value")))
+    return metrics.compare_runs(e, "event_type", "value", "retrieval")
 
 
 # ---- compositions: every stage has its own SQL above; these check the wiring by rows ------------------------------

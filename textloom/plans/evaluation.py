@@ -13,18 +13,22 @@ from ..operators.metrics import evaluate
 from . import retrieval as R
 
 
-def stages(corpus: R.Corpus, queries: DataFrame, encode, settings: Retrieval = Retrieval(), scorer: rerank.Scorer = rerank.overlap_scorer, bi_stage: bool = True) -> dict[str, DataFrame]:
-    """Ranked chunks of each stage. Without ``bi_stage`` the pair scorer works on the hybrid pool directly."""
+def stages(corpus: R.Corpus, queries: DataFrame, encode, settings: Retrieval = Retrieval(), scorer: rerank.Scorer = rerank.overlap_scorer, bi_stage: bool = True, keep=DataFrame.persist) -> dict[str, DataFrame]:
+    """Ranked chunks of each stage. Without ``bi_stage`` the pair scorer works on the hybrid pool directly.
+
+    ``keep`` holds the lists that several stages read, top_k rows a query each, so that they are made once;
+    the caller unpersists the frames returned when done.
+    """
     one = queries.withColumn("variants", F.array("query"))
     flat = R.variants(one)
     vectors = encode(flat)
-    sparse, close = R.bm25_lists(corpus, flat, settings.top_k), R.dense_lists(corpus, vectors, settings.top_k)
+    sparse, close = keep(R.bm25_lists(corpus, flat, settings.top_k)), keep(R.dense_lists(corpus, vectors, settings.top_k))
     several = R.understand(queries, settings.n_variants, by_intent=False)
-    multi = R.hybrid_multi(corpus, several, encode(R.variants(several)), settings)
+    multi = keep(R.hybrid_multi(corpus, several, encode(R.variants(several)), settings))
     out = {"BM25": sparse, "Dense": close, "Hybrid": fusion.hybrid(sparse, close, ["qid"], settings.rrf_k, settings.top_k), "HybridMultiQuery": multi}
     pool = multi
     if bi_stage:
-        pool = out["MultiHybrid+BiEncoder"] = rerank.bi_encoder(multi, vectors.select("qid", "embedding"), corpus.vectors, settings.bi_encoder_top_k, settings.top_k, settings.bi_encoder_min_score)
+        pool = out["MultiHybrid+BiEncoder"] = keep(rerank.bi_encoder(multi, vectors.select("qid", "embedding"), corpus.vectors, settings.bi_encoder_top_k, settings.top_k, settings.bi_encoder_min_score))
     out["FullPipeline"] = rerank.cross_encoder(pool, queries, corpus.chunks, scorer, settings.cross_encoder_top_k, threshold=None)
     return out
 

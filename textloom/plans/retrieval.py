@@ -70,7 +70,8 @@ def retrieve(corpus: Corpus, queries: DataFrame, encode, settings: Retrieval = R
     flat = variants(understood)
     fused = hybrid_multi(corpus, understood, encode(flat), settings)
     original = encode(queries.select("qid", F.lit(0).alias("variant"), "query")).select("qid", "embedding")
-    bi = rerank.bi_encoder(fused, original, corpus.vectors, settings.bi_encoder_top_k)
-    ce = rerank.cross_encoder(bi, queries, corpus.chunks, scorer, settings.cross_encoder_top_k, threshold=settings.ce_score_threshold)
-    out = ce.select("qid", "chunk_id", "ce_score", "rank").join(bi.select("qid", "chunk_id", "bi_encoder_score"), ["qid", "chunk_id"]).join(fused.select("qid", "chunk_id", F.col("score").alias("rrf_score")), ["qid", "chunk_id"])
-    return enrich(out, corpus.chunks).join(understood.select("qid", "intent"), "qid")
+    # earlier scores travel along, so that each stage is computed once
+    fused = fused.withColumn("rrf_score", F.col("score"))
+    bi = rerank.bi_encoder(fused, original, corpus.vectors, settings.bi_encoder_top_k, carry=("rrf_score",))
+    ce = rerank.cross_encoder(bi, queries, corpus.chunks, scorer, settings.cross_encoder_top_k, threshold=settings.ce_score_threshold, carry=("rrf_score", "bi_encoder_score"))
+    return enrich(ce.drop("score"), corpus.chunks).join(understood.select("qid", "intent"), "qid")
