@@ -69,6 +69,29 @@ def test_offline_build_is_idempotent(spark, tmp_path):
     assert sorted(map(tuple, b["docs"].select("doc_id").collect())) == before and b["chunks"].count() == len(before)
 
 
+def chunk_vectors(frame):
+    return frame.select("chunk_id", F.array(*[(F.length("chunk_text") % (k + 2)).cast("float") for k in range(4)]).alias("embedding"))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from textloom.__main__ import main
+
+    at = f"file://{tmp_path}"
+    spark.createDataFrame([(f"d{i}", " ".join(f"a{i}b{j}" for j in range(12 + i))) for i in range(30)], "_id string, text string").write.parquet(f"{at}/c")
+    spark.createDataFrame([(f"q{i}", f"a{i}b0") for i in range(10)] + [("blank", "  "), ("long", "x" * 1001)], "_id string, text string").write.parquet(f"{at}/q")
+    spark.createDataFrame([(f"q{i}", f"d{i}", 1) for i in range(10)], "`query-id` string, `corpus-id` string, score int").write.parquet(f"{at}/r")
+    (tmp_path / "s.yaml").write_text("ingest: {sample_ratio: 1.0}\nretrieval: {top_k: 5}\n")
+    own = ["--config", str(tmp_path / "s.yaml")]
+    main([*own, "build", "--corpus", f"{at}/c", "--queries", f"{at}/q", "--qrels", f"{at}/r", "--index", f"{at}/i", "--encoder", "tests.test_plans:chunk_vectors"])
+    assert "docs: 30 rows" in capsys.readouterr().out and offline.load(spark, f"{at}/i").vectors.count() == 30
+    main([*own, "retrieve", "--index", f"{at}/i", "--queries", f"{at}/q", "--out", f"{at}/run"])
+    said = capsys.readouterr().out
+    assert "1 queries refused: empty" in said and "1 queries refused: too_long" in said
+    assert {r.qid: r.doc_id for r in spark.read.parquet(f"{at}/run").collect()} == {f"q{i}": f"d{i}" for i in range(10)}
+    main([*own, "evaluate", "--run", f"{at}/run", "--qrels", f"{at}/r"])
+    assert "|NDCG|1|1.0|" in capsys.readouterr().out.replace(" ", "")
+
+
 def test_readers(spark, tmp_path):
     raw = spark.createDataFrame([("1", None, "t", "x"), (None, "2", None, None), (None, None, "t", "z")], "_id string, id string, title string, text string")
     assert sorted(map(tuple, readers.corpus(raw).collect())) == [("1", "t", "x"), ("2", "", "")]

@@ -77,6 +77,16 @@ def from_dict(values: dict) -> Config:
     return out
 
 
+def from_yaml(path: str) -> Config:
+    """A Config from a YAML file of sections; needs PyYAML."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise ImportError("reading YAML settings needs PyYAML; from_dict takes a dict from any other reader") from e
+    with open(path) as f:
+        return from_dict(yaml.safe_load(f) or {})
+
+
 def pick_model(fine_tuned: str, base: str, use_fine_tuned: bool, exists) -> str:
     """The fine-tuned model if the flag is set and its path exists, else the base model."""
     return fine_tuned if use_fine_tuned and exists(fine_tuned) else base

@@ -102,3 +102,9 @@ def truncate_words(c: Column, n: int, mark: str = " …") -> Column:
     """The first ``n`` words, single-spaced, with a mark if any are cut."""
     words = F.filter(F.split(F.trim(F.regexp_replace(text_or_empty(c), r"\s+", " ")), " "), lambda w: w != "")
     return F.concat(F.array_join(F.slice(words, 1, n), " "), F.when(F.size(words) > n, F.lit(mark)).otherwise(F.lit("")))
+
+
+def query_problem(c: Column, most: int = 1000) -> Column:
+    """Why a query is refused: empty (nothing but white space) or too_long (over ``most`` characters); else null."""
+    bare = F.regexp_replace(text_or_empty(c), r"^\s+|\s+$", "")
+    return F.when(bare == "", "empty").when(F.length(bare) > most, "too_long")

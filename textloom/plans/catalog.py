@@ -7,8 +7,6 @@ Vectors: chunks of ``embeddings`` by vec_id; queries are those whose id is divis
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as Win
@@ -60,12 +58,29 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk(docs(spark, d))
 
 
-@lru_cache(maxsize=2)
+_INDEXES: dict = {}
+
+
 def indexed(spark: SparkSession, d: str) -> tuple[DataFrame, bm25.Bm25Index]:
-    """Chunks and their BM25 index, built once a session and folder, as an index is."""
-    c = chunks(spark, d).persist()
-    postings = bm25.term_frequencies(c).persist()
-    return c, bm25.Bm25Index.of(c, postings)
+    """Chunks and their BM25 index, built once a session and folder, as an index is, and held until ``release``."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        release()  # one at a time
+        c = chunks(spark, d).persist()
+        postings = bm25.term_frequencies(c).persist()
+        _INDEXES[key] = c, bm25.Bm25Index.of(c, postings)
+    return _INDEXES[key]
+
+
+def release() -> None:
+    """Give back what ``indexed`` holds."""
+    for c, index in _INDEXES.values():
+        try:
+            c.unpersist()
+            index.postings.unpersist()
+        except Exception:  # noqa: BLE001 - of a session that has ended
+            pass
+    _INDEXES.clear()
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -184,6 +199,11 @@ def snippets(spark, d):
     return table(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("text_head"), T.truncate_words(F.col("text"), 20).alias("cut"))
 
 
+@query(r"""SELECT doc_id, CASE WHEN b = '' THEN 'empty' WHEN length(b) > 1000 THEN 'too_long' END AS problem FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS b FROM documents)""")
+def validate_queries(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.query_problem(F.col("text")).alias("problem"))
+
+
 # ---- scans ----------------------------------------------------------------------------------------------
 
 
@@ -446,10 +466,13 @@ def _sql_template(t: str) -> str:
     return f"trim('{t}')"
 
 
-@query(f"""WITH {SQL_PARTS}, b AS (SELECT *, trim(regexp_replace(query, '\\s+', ' ', 'g')) AS b FROM qp),
-v AS (SELECT qid, [b] || CASE intent {' '.join(f"WHEN '{k}' THEN [{', '.join(map(_sql_template, ts))}]" for k, ts in I.INTENT_TEMPLATES.items())} END || [{', '.join(map(_sql_template, I.DEFAULT_TEMPLATES[1:]))}] AS l FROM b),
-u AS (SELECT qid, x, min(i) AS i FROM (SELECT qid, unnest(l) AS x, unnest(range(len(l))) AS i FROM v) WHERE x IS NOT NULL GROUP BY ALL),
-r AS (SELECT qid, x, row_number() OVER (PARTITION BY qid ORDER BY i) AS n FROM u) SELECT qid, CAST(n - 1 AS INTEGER) AS variant, x AS query FROM r WHERE n <= 3""")
+SQL_EXPANDED = f"""xb AS (SELECT *, trim(regexp_replace(query, '\\s+', ' ', 'g')) AS b FROM qp),
+xv AS (SELECT qid, [b] || CASE intent {' '.join(f"WHEN '{k}' THEN [{', '.join(map(_sql_template, ts))}]" for k, ts in I.INTENT_TEMPLATES.items())} END || [{', '.join(map(_sql_template, I.DEFAULT_TEMPLATES[1:]))}] AS l FROM xb),
+xu AS (SELECT qid, x, min(i) AS i FROM (SELECT qid, unnest(l) AS x, unnest(range(len(l))) AS i FROM xv) WHERE x IS NOT NULL GROUP BY ALL),
+xr AS (SELECT qid, x, row_number() OVER (PARTITION BY qid ORDER BY i) AS n FROM xu)"""
+
+
+@query(f"WITH {SQL_PARTS}, {SQL_EXPANDED} SELECT qid, CAST(n - 1 AS INTEGER) AS variant, x AS query FROM xr WHERE n <= 3")
 def expand_with_intent(spark, d):
     return R.variants(R.understand(questions(spark, d), 3))
 
@@ -691,7 +714,7 @@ def model_comparison(spark, d):
     return metrics.compare_runs(e, "event_type", "value", "retrieval")
 
 
-# ---- compositions: every stage has its own SQL above; these check the wiring by rows ------------------------------
+# ---- compositions: the stages above, put together ------------------------------------------------------------------
 
 
 def _stand_in_encoder(spark, d):
@@ -707,13 +730,45 @@ def _chunk_vectors(spark, d, c):
     return c.select("chunk_id", (F.conv(F.substring(F.md5("chunk_id"), 1, 8), 16, 10).cast("long") % n).alias("_v")).join(v, "_v").select("chunk_id", "embedding")
 
 
-@lru_cache(maxsize=4)
 def _corpus(spark, d) -> R.Corpus:
     c, index = indexed(spark, d)
     return R.Corpus(c, index, _chunk_vectors(spark, d, c))
 
 
-@query()
+def sql_at(c: str) -> str:
+    """The vector that the stand-in encoder gives a text."""
+    return f"CAST(('0x' || md5({c})[1:8]) AS BIGINT) % en.n"
+
+
+#: en: vectors' number; cvec: vectors of chunks; ov: of queries (qs) as they stand; qv: of variants (vs); ed: inner products.
+SQL_ENCODED = f"""en AS (SELECT count(*) AS n FROM embeddings), cvec AS (SELECT chunk_id, {sql_at('chunk_id')} AS v FROM chunks, en),
+ov AS (SELECT qid, {sql_at('query')} AS v FROM qs, en), qv AS (SELECT qid, variant, {sql_at('q')} AS v FROM vs, en),
+ed AS (SELECT a.vec_id AS x, b.vec_id AS y, round({DOT.format('a.embedding', 'b.embedding')}, 6) AS s FROM (SELECT * FROM embeddings WHERE vec_id IN (SELECT v FROM ov UNION SELECT v FROM qv)) a, embeddings b)"""
+SQL_ITEMS = "qs AS (SELECT CAST(item_id AS VARCHAR) AS qid, text AS query FROM benchmark)"
+
+
+def sql_dense_lists(source: str, key: str, k: int, name: str) -> str:
+    return f"{name} AS (SELECT * FROM (SELECT {key}, chunk_id, s AS score, row_number() OVER (PARTITION BY {key} ORDER BY s DESC, chunk_id) AS rank FROM {source} q JOIN ed ON x = q.v JOIN cvec ON y = cvec.v) WHERE rank <= {k})"
+
+
+#: The two-level fusion of variants (vs, vq), as ``fused``.
+SQL_FUSED = f"""{sql_bm25('vq', 'qid, variant', 50)}, {sql_dense_lists('qv', 'qid, variant', 50, 'dn')},
+un AS (SELECT qid, variant, chunk_id, rank FROM bm UNION ALL SELECT qid, variant, chunk_id, rank FROM dn), {sql_rrf('un', 'qid, variant', 50, 'one')}, {sql_rrf('one', 'qid', 50, 'fused')}"""
+
+
+def sql_bi(min_score: float | None) -> str:
+    return f"""bi AS (SELECT * FROM (SELECT f.qid, f.chunk_id, f.score AS rrf_score, s AS score, row_number() OVER (PARTITION BY f.qid ORDER BY s DESC, f.chunk_id) AS rank
+  FROM fused f JOIN ov USING (qid) JOIN cvec USING (chunk_id) JOIN ed ON x = ov.v AND y = cvec.v {'' if min_score is None else f'WHERE s >= {min_score}'}) WHERE rank <= 30)"""
+
+
+def sql_ce(pool: str, more: str = "") -> str:
+    return f"""ce AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (
+  SELECT p.qid, p.chunk_id, {more} {sql_overlap('qs.query', "array_to_string(c.toks, ' ')")} AS score FROM {pool} p JOIN qs USING (qid) JOIN chunks c USING (chunk_id))) WHERE rank <= 10)"""
+
+
+@query(f"""WITH {SQL_POSTINGS}, {SQL_ITEMS}{SQL_PARTS[len(SQL_QUESTIONS):]}, {SQL_EXPANDED}, vs AS (SELECT qid, n - 1 AS variant, x AS q FROM xr WHERE n <= 3),
+vq AS (SELECT qid, variant, list_filter({tok('q')}, lambda w: NOT list_contains({STOPS}, w)) AS qt FROM vs), {SQL_ENCODED}, {SQL_FUSED}, {sql_bi(None)}, {sql_ce('bi', 'p.rrf_score, p.score AS bi_encoder_score,')}
+SELECT qid, intent, doc_id, chunk_id, rrf_score, bi_encoder_score, score AS ce_score, CAST(rank AS INTEGER) AS rank FROM ce JOIN chunks USING (chunk_id) JOIN qi USING (qid) WHERE score >= 0""")
 def retrieval_pipeline(spark, d):
     got = R.retrieve(_corpus(spark, d), items(spark, d), _stand_in_encoder(spark, d), Retrieval(top_k=50, bi_encoder_top_k=30, cross_encoder_top_k=10))
     return got.select("qid", "intent", "doc_id", "chunk_id", "rrf_score", "bi_encoder_score", "ce_score", "rank")
@@ -724,15 +779,31 @@ def _ablation(spark, d, bi: bool):
     return E.ablation(runs, chunks(spark, d).select("chunk_id", "doc_id"), judged(spark, d))
 
 
-@query()
+def sql_ablation(bi: bool) -> str:
+    """CTEs up to ``met`` (stage, metric, k, value)."""
+    stages = {"BM25": "s1", "Dense": "s2", "Hybrid": "s3", "HybridMultiQuery": "fused"} | ({"MultiHybrid+BiEncoder": "bi"} if bi else {}) | {"FullPipeline": "ce"}
+    return f"""{SQL_POSTINGS}, {SQL_ITEMS}, {SQL_VARIANTS}, {SQL_ENCODED}, {SQL_ITEM_TOKENS}, {sql_bm25('bq', 'qid', 50, 's1')}, {sql_dense_lists('ov', 'qid', 50, 's2')},
+u3 AS (SELECT qid, chunk_id, rank FROM s1 UNION ALL SELECT qid, chunk_id, rank FROM s2), {sql_rrf('u3', 'qid', 50, 's3')}, {SQL_FUSED}, {sql_bi(0)}, {sql_ce('bi' if bi else 'fused')}, {SQL_JUDGED},
+runs AS ({' UNION ALL '.join(f"SELECT '{k}' AS stage, qid, chunk_id, score FROM {v}" for k, v in stages.items())}), sg AS (SELECT DISTINCT stage FROM runs),
+run AS (SELECT stage, qid, doc_id, row_number() OVER (PARTITION BY stage, qid ORDER BY score DESC, doc_id) AS rank FROM (SELECT stage, qid, split_part(chunk_id, '__', 1) AS doc_id, max(score) AS score FROM runs GROUP BY ALL)),
+ks AS (SELECT unnest([1, 3, 5, 10, 100]) AS k),
+idl AS (SELECT qid, k, sum(CASE WHEN r <= k THEN rel / (ln(r + 1) / ln(2)) END) AS idcg, count(*) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, doc_id) AS r FROM qrels), ks GROUP BY ALL),
+hit AS (SELECT h.*, k FROM (SELECT r.stage, r.qid, r.rank, row_number() OVER (PARTITION BY r.stage, r.qid ORDER BY r.rank) AS seen FROM run r JOIN qrels q USING (qid, doc_id)) h, ks WHERE rank <= k),
+hq AS (SELECT stage, qid, k, sum(1 / (ln(rank + 1) / ln(2))) AS dcg, count(*) AS hits, sum(CAST(seen AS DOUBLE) / rank) AS ap, min(rank) AS first FROM hit GROUP BY ALL),
+mq AS (SELECT stage, qid, k, pos, idcg, coalesce(dcg, 0) AS dcg, coalesce(hits, 0) AS hits, coalesce(ap, 0) AS ap, first FROM (SELECT * FROM idl, sg) LEFT JOIN hq USING (stage, qid, k)),
+mk AS (SELECT stage, k, avg(dcg / idcg) AS ndcg, avg(CAST(hits AS DOUBLE) / pos) AS recall, avg(ap / least(pos, k)) AS map, avg(CAST(hits AS DOUBLE) / k) AS prec, avg(coalesce(1::DOUBLE / first, 0)) AS mrr FROM mq GROUP BY stage, k),
+met AS (SELECT stage, 'NDCG' AS metric, k, round(ndcg, 6) AS value FROM mk UNION ALL SELECT stage, 'Recall', k, round(recall, 6) FROM mk UNION ALL SELECT stage, 'MAP', k, round(map, 6) FROM mk
+  UNION ALL SELECT stage, 'Precision', k, round(prec, 6) FROM mk UNION ALL SELECT stage, 'MRR', k, round(mrr, 6) FROM mk WHERE k = 10)"""
+
+
+@query(f"WITH {sql_ablation(True)} SELECT stage, metric, k, value FROM met")
 def ablation_six_stages(spark, d):
     return _ablation(spark, d, True)
 
 
-@query()
+@query(f"""WITH {sql_ablation(False)} SELECT stage, {', '.join(f"max(value) FILTER (metric = '{m}' AND k = {k}) AS \"{m}@{k}\"" for m, k in (('NDCG', 10), ('MAP', 10), ('Recall', 10), ('Recall', 100), ('MRR', 10), ('Precision', 5)))} FROM met GROUP BY stage""")
 def ablation_five_stages(spark, d):
-    m = _ablation(spark, d, False)
-    return writers.metric_table(m)
+    return writers.metric_table(_ablation(spark, d, False))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

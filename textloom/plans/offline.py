@@ -1,18 +1,25 @@
-"""The offline build: raw tables to cleaned sample, splits, chunks and index, each stage a table."""
+"""The offline build: raw tables to cleaned sample, splits, chunks and indexes, each stage a table."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Config
 from ..operators import ingest
 from ..operators.bm25 import Bm25Index
 from ..operators.chunking import chunk
-from ..sources.writers import write_once
+from ..sources.writers import exists, write_once, write_vectors
+from .retrieval import Corpus
+
 
+def build(spark: SparkSession, corpus: DataFrame, queries: DataFrame, qrels: DataFrame, out: str, config: Config = Config(), encode: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Write and return docs, queries (with split), qrels, chunks. Complete stages are kept.
 
-def build(spark: SparkSession, corpus: DataFrame, queries: DataFrame, qrels: DataFrame, out: str, config: Config = Config()) -> dict[str, DataFrame]:
-    """Write and return docs, queries (with split), qrels, chunks; the BM25 index goes to ``out``/bm25. Complete stages are kept."""
+    The BM25 index goes to ``out``/bm25 and, with an encoder (a function from (chunk_id, chunk_text) to
+    (chunk_id, embedding)), the vectors to ``out``/vectors.
+    """
     s = config.ingest
     clean = write_once(spark, lambda: ingest.ingest(corpus, s.min_words, s.max_words), f"{out}/clean")
     picked, kept = ingest.stratified_sample(clean, queries, qrels, s.sample_ratio, s.seed)
@@ -20,5 +27,16 @@ def build(spark: SparkSession, corpus: DataFrame, queries: DataFrame, qrels: Dat
     own = write_once(spark, lambda: ingest.split(queries.join(picked, "qid", "left_semi"), s.train_ratio, s.val_ratio, s.seed), f"{out}/queries")
     judged = write_once(spark, lambda: ingest.restrict(qrels, own, docs), f"{out}/qrels")
     chunks = write_once(spark, lambda: chunk(docs, config.chunking.max_tokens, config.chunking.overlap), f"{out}/chunks")
-    Bm25Index.fit(chunks, config.bm25).save(f"{out}/bm25")
+    if not exists(spark, f"{out}/bm25/stats/_SUCCESS"):  # the last part that is written
+        Bm25Index.fit(chunks, config.bm25).save(f"{out}/bm25")
+    if encode is not None and not exists(spark, f"{out}/vectors/_SUCCESS"):
+        write_vectors(encode(chunks.select("chunk_id", "chunk_text")), f"{out}/vectors")
     return {"docs": docs, "queries": own, "qrels": judged, "chunks": chunks}
+
+
+def load(spark: SparkSession, out: str) -> Corpus:
+    """What ``build`` wrote, ready for retrieval; without vectors an empty table of them."""
+    chunks = spark.read.parquet(f"{out}/chunks")
+    some = exists(spark, f"{out}/vectors/_SUCCESS")
+    vectors = spark.read.parquet(f"{out}/vectors") if some else spark.createDataFrame([], "chunk_id string, embedding array<float>")
+    return Corpus(chunks, Bm25Index.load(spark, f"{out}/bm25"), vectors)

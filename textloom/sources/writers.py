@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
@@ -33,7 +33,7 @@ def write_qrels_map(qrels: DataFrame, path: str, parts: int = 1) -> None:
 
 def write_once(spark: SparkSession, make: Callable[[], DataFrame], path: str) -> DataFrame:
     """Make and write a stage unless its folder is complete; a folder without _SUCCESS is written anew."""
-    if not _exists(spark, f"{path}/_SUCCESS"):
+    if not exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -41,7 +41,7 @@ def write_once(spark: SparkSession, make: Callable[[], DataFrame], path: str) ->
 def write_version(df: DataFrame, root: str) -> str:
     """Write the next numbered version under a folder; earlier ones stay as backups. Returns its path."""
     spark, n = df.sparkSession, 0
-    while _exists(spark, f"{root}/v{n}/_SUCCESS"):
+    while exists(spark, f"{root}/v{n}/_SUCCESS"):
         n += 1
     df.write.mode("overwrite").parquet(f"{root}/v{n}")
     return f"{root}/v{n}"
@@ -49,11 +49,16 @@ def write_version(df: DataFrame, root: str) -> str:
 
 def latest_version(spark: SparkSession, root: str) -> DataFrame:
     n = 0
-    while _exists(spark, f"{root}/v{n + 1}/_SUCCESS"):
+    while exists(spark, f"{root}/v{n + 1}/_SUCCESS"):
         n += 1
     return spark.read.parquet(f"{root}/v{n}")
 
 
+def write_vectors(vectors: DataFrame, path: str, parts: int = 64) -> None:
+    """(chunk_id, embedding), sorted by chunk_id within range partitions: look-ups by id prune files and row groups."""
+    vectors.select("chunk_id", "embedding").repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id").write.mode("overwrite").parquet(path)
+
+
 def scalars(df: DataFrame) -> DataFrame:
     """Only the columns that JSON holds as plain values."""
     return df.select(*[c for c, kind in df.dtypes if not kind.startswith(("array", "map", "struct", "binary"))])
