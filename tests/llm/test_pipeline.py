@@ -17,6 +17,17 @@ def test_stages_on_odd_rows(spark, tmp_path):
                 docs = out
 
 
+def test_rows_that_stages_keep(spark):
+    """Of blank texts one stays, with the smallest id; a text that repeats itself is cut whole; nothing else is lost."""
+    rows = [(None, None, None, None, None, "x", "x", "x"), (1, "", "en", "a", 0, "x", "x", "x"), (1, "", "en", "a", 0, "x", "x", "x"), (2, "word " * 5000, "en", None, 25000, "x", "x", "x"), (3, "short text", "en", "a", 10, "x", "x", "x")]
+    docs, d = spark.createDataFrame(rows, EXTRA), "/root/testdata/sf0.001"
+    stages = dict(corpus_pipeline.STAGES)
+    assert sorted(r.doc_id for r in stages["simhash"](spark, docs, d).collect()) == [1, 2, 3]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in stages["suffix"](spark, docs, d).collect()))) == sorted(map(repr, [(None, None), (1, ""), (1, ""), (2, ""), (3, "short text")]))
+    assert stages["benchmark"](spark, docs, d).count() == 5
+    assert {(r.doc_id, r.size, r.taken > 0) for r in stages["mixing"](spark, docs, d).collect()} == {(None, 0, False), (1, 0, False), (2, 5000, True), (3, 2, True)}
+
+
 def test_run_takes_planted_cases(spark, tmp_path):
     src = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{src}/documents.parquet")

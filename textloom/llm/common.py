@@ -23,11 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or f"file://{_FALLBACK}").rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of ``rows`` whole texts in place of Spark's default, which long texts outgrow; a setting of one's own stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Arrow batches of at most ``rows`` texts and about ``size`` bytes (or one text) in place of Spark's defaults.
+
+    A setting of the session, as Spark reads it when a plan runs; one that differs from the default stays.
+    """
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", size)):
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, value)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
