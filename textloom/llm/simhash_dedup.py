@@ -221,7 +221,9 @@ def near_copies(df: DataFrame, shingle: int = 5, lanes: int = 10) -> DataFrame:
     mixed = stage.put(left.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key"))
     left = stage.put(left.join(mixed, "key"))
     met = left.alias("a").join(left.alias("b"), meets & (F.col("a.tid") < F.col("b.tid")) & (F.col("a.c") != F.col("b.c"))).select(*pair)
-    found = stage.put(connected_components(stage, edges.unionByName(similar(stage, met, docs.select("tid", "text"), shingle))))
+    # of what the first round has connected, one edge a text goes on
+    edges = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(similar(stage, met, docs.select("tid", "text"), shingle))
+    found = stage.put(connected_components(stage, edges))
 
     lows = docs.groupBy("tid").agg(F.min("doc_id").alias("low")).join(found.withColumnRenamed("node", "tid"), "tid", "left")
     lows = stage.put(lows.withColumn("component", F.coalesce("component", "tid")))
