@@ -198,3 +198,14 @@ def test_answers(spark):
     assert got["q"].confidence == pytest.approx(0.5 * squashed + 0.5 * 1 / 4, abs=1e-6)
     assert (got["none"].answer, got["none"].confidence, got["none"].fallback) == (context.NO_ANSWER, 0.0, True)
     assert "IMPORTANT: The question asks about a SPECIFIC EVENT" in context.prompts(q, ctx).first().messages[0].content
+
+
+def test_waits_and_models(spark):
+    rows = [("429 retry after 3 s", 0, 1.0), ("boom, try again in 9s", 1, -1.0), ("429", 2, 0.0), (None, 0, 0.5)]
+    df = spark.createDataFrame(rows, "m string, n int, j double")
+    got = [tuple(r) for r in df.select(context.error_kind(F.col("m")), context.retry_wait(F.col("n"), F.col("m"), F.col("j"))).collect()]
+    assert got == [("rate_limit", 4.0), ("other", pytest.approx(3.2)), ("rate_limit", 8.0), ("other", pytest.approx(2.2))]
+    low, high = spark.range(200).select(context.retry_wait(F.lit(1), F.lit(""), F.rand(3) * 2 - 1).alias("w")).agg(F.min("w"), F.max("w")).first()
+    assert 3.2 <= low < high <= 4.8
+    kinds = spark.range(1).select(context.error_kind(F.lit("429"), F.lit(403)), context.error_kind(F.lit("429"), F.lit(500), F.lit("APITimeoutError")), context.error_kind(F.lit("x"), None, F.lit("APIConnectionError"))).first()
+    assert tuple(kinds) == ("auth", "timeout", "connection")

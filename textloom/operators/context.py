@@ -121,14 +121,34 @@ ERROR_KINDS = (
 )
 
 
-def error_kind(message: Column) -> Column:
-    """rate_limit, auth, quota, timeout or other."""
+#: What an HTTP status says of an error's kind.
+STATUS_KINDS = {429: "rate_limit", 401: "auth", 403: "auth", 402: "quota"}
+
+
+def error_kind(message: Column, status: Column | None = None, exception: Column | None = None) -> Column:
+    """rate_limit, auth, quota, timeout, connection or other: by the HTTP status, else the exception's name, else the text."""
     text = F.lower(T.text_or_empty(message))
-    kinds = [F.when(F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(True)) for w in words], F.lit(False)), F.lit(kind)) for kind, words in ERROR_KINDS]
+    kinds = [] if status is None else [F.when(status == code, kind) for code, kind in STATUS_KINDS.items()]
+    if exception is not None:
+        name = F.lower(T.text_or_empty(exception))
+        kinds += [F.when(F.contains(name, F.lit(kind)), kind) for kind in ("timeout", "connection")]
+    for kind, words in ERROR_KINDS:
+        kinds.append(F.when(F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(True)) for w in words], F.lit(False)), F.lit(kind)))
     return F.coalesce(*kinds, F.lit("other"))
 
 
-def retry_wait(attempt: Column, message: Column, jitter: Column | None = None) -> Column:
-    """Seconds before a retry: what the message asks for and one more, else 2 * 2^attempt within 20 % of jitter (-1 to 1)."""
-    asked = F.regexp_extract(F.lower(T.text_or_empty(message)), r"try again in ([0-9.]+)s", 1)
-    return F.when(asked != "", asked.try_cast("double") + 1.0).otherwise(2.0 * F.pow(F.lit(2.0), attempt) * (1.0 + 0.2 * (jitter if jitter is not None else F.lit(0.0))))
+def is_final(kind: Column) -> Column:
+    """Whether neither a retry nor another model helps."""
+    return kind.isin("auth", "quota")
+
+
+def retry_wait(attempt: Column, message: Column, jitter: Column | None = None, kind: Column | None = None) -> Column:
+    """Seconds before a retry: 2 * 2^attempt within 20 % of jitter (-1 to 1); of a rate limit at least what its text asks for and one more."""
+    asked = F.regexp_extract(F.lower(T.text_or_empty(message)), r"(?:try again in|retry after)\s*([0-9]+\.?[0-9]*)\s*s", 1).try_cast("double") + 1.0
+    own = 2.0 * F.pow(F.lit(2.0), attempt) * (1.0 + 0.2 * (jitter if jitter is not None else F.lit(0.0)))
+    return F.greatest(own, F.when((kind if kind is not None else error_kind(message)) == "rate_limit", asked))
+
+
+def next_model(models: Column, failed: Column, kind: Column) -> Column:
+    """The model to try after ``failed`` ones of a queue; null where the kind is final or none is left."""
+    return F.when(~is_final(kind), F.try_element_at(models, (failed + 1).cast("int")))

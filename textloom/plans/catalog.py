@@ -697,15 +697,18 @@ def generate_answers(spark, d):
     return got.select("qid", F.md5("answer").alias("answer"), "confidence", "context_count", F.array_join("used_docs", ",").alias("used_docs"), "fallback")
 
 
-_ERR = "lower(role || (['429', ' Unauthorized', ' insufficient_quota', ' timed out', ' boom, try again in 2.5s'])[turn % 5 + 1])"
+_ERR = "lower(role || (['429, try again in 9.5s', ' Unauthorized', ' insufficient_quota', ' timed out', ' boom, try again in 2.5s'])[turn % 5 + 1])"
 
 
-@query(f"""SELECT conv_id, turn, CASE {' '.join('WHEN ' + ' OR '.join(f"contains({_ERR}, '{w}')" for w in ws) + f" THEN '{k}'" for k, ws in context.ERROR_KINDS)} ELSE 'other' END AS kind,
- CASE WHEN turn % 5 = 4 THEN 3.5 ELSE 2 * pow(2, turn % 3) END::DOUBLE AS wait FROM conversations""")
+@query(f"""WITH k AS (SELECT conv_id, turn, {_ERR} AS m, CASE WHEN turn % 7 = 6 THEN 'quota' WHEN turn % 7 = 5 THEN 'connection' {' '.join('WHEN ' + ' OR '.join(f"contains({_ERR}, '{w}')" for w in ws) + f" THEN '{k}'" for k, ws in context.ERROR_KINDS)} ELSE 'other' END AS kind FROM conversations)
+SELECT conv_id, turn, kind, greatest(2 * pow(2, turn % 3), CASE WHEN kind = 'rate_limit' THEN 10.5 ELSE 0 END)::DOUBLE AS wait, CASE WHEN kind NOT IN ('auth', 'quota') THEN (['a', 'b'])[turn % 3 + 1] END AS next FROM k""")
 def classify_errors(spark, d):
-    tail = F.element_at(F.array(*[F.lit(x) for x in ("429", " Unauthorized", " insufficient_quota", " timed out", " boom, try again in 2.5s")]), (F.col("turn") % 5 + 1).cast("int"))
+    tail = F.element_at(F.array(*[F.lit(x) for x in ("429, try again in 9.5s", " Unauthorized", " insufficient_quota", " timed out", " boom, try again in 2.5s")]), (F.col("turn") % 5 + 1).cast("int"))
     c = table(spark, d, "conversations").withColumn("m", F.concat("role", tail))
-    return c.select("conv_id", "turn", context.error_kind(F.col("m")).alias("kind"), context.retry_wait(F.col("turn") % 3, F.col("m")).alias("wait"))
+    kind = context.error_kind(F.col("m"), F.when(F.col("turn") % 7 == 6, 402), F.when(F.col("turn") % 7 == 5, "APIConnectionError"))
+    c = c.withColumn("kind", kind)
+    wait = context.retry_wait(F.col("turn") % 3, F.col("m"), kind=F.col("kind"))
+    return c.select("conv_id", "turn", "kind", wait.alias("wait"), context.next_model(F.array(F.lit("a"), F.lit("b")), F.col("turn") % 3, F.col("kind")).alias("next"))
 
 
 @query("SELECT event_type AS model, count(*) AS runs, round(avg(value), 6) AS avg_total_s, round(avg(value) FILTER (user_id % 2 = 0), 6) AS avg_retrieval_s FROM events GROUP BY 1")
