@@ -71,6 +71,44 @@ def test_fm_identity():
         assert math.isclose(z[k], want)
 
 
+def test_fm_gradients():
+    """Against differences of the logistic loss when each parameter moves a little."""
+    rng = np.random.default_rng(1)
+    w, v = rng.normal(size=6), rng.normal(size=(6, 2))
+    starts, index, value, y = np.array([0, 3, 5]), np.array([0, 1, 4, 1, 5, 0, 4]), rng.normal(size=7), np.array([1.0, 0.0, 1.0])
+
+    def loss(w, v):
+        z = quality_fm._forward(np, 0.1, w, v, starts, index, value)[0]
+        return float(np.sum(np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y)))
+
+    z, s, vx = quality_fm._forward(np, 0.1, w, v, starts, index, value)
+    used, dw, dv = quality_fm.gradients(np, 1 / (1 + np.exp(-z)) - y, s, vx, starts, index, value)
+    assert used.tolist() == [0, 1, 4, 5]
+    for k, i in enumerate(used):
+        step = np.eye(6)[i] * 1e-6
+        assert math.isclose(dw[k], (loss(w + step, v) - loss(w - step, v)) / 2e-6, rel_tol=1e-4, abs_tol=1e-7)
+        for f in range(2):
+            d = np.zeros((6, 2))
+            d[i, f] = 1e-6
+            assert math.isclose(dv[k, f], (loss(w, v + d) - loss(w, v - d)) / 2e-6, rel_tol=1e-4, abs_tol=1e-7)
+
+
+def test_quality_features():
+    text = "Good words.\nGood words.\n\nBAD!! 12 $ averyveryverylongwordindeed good"
+    buckets, stats = quality_fm.text_features(text.encode(), None, lambda w: zlib.crc32(w) % 1000)
+    w = text.lower().split()
+    assert sorted(buckets) == sorted({zlib.crc32(x.encode()) % 1000 for x in w})
+    share = lambda cs: sum(c in cs for c in text) / len(text)
+    assert stats[:3] == [share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("abcdefghijklmnopqrstuvwxyz"), share("0123456789")] and stats[3] == share("!")
+    lines = [x for x in text.split("\n") if x.strip()]
+    want = [
+        math.log1p(len(w)), len(text) / len(w), len(set(w)) / len(w), max(Counter(w).values()) / len(w), math.log1p(3), 2 / 3, 2 / 3,
+        sum(c not in "!#$%&*|" for c in text) / len(text), 1 / len(set(w)), sum(x[-1] in ".!?" for x in w[:-1]) / len(w), len(set(zip(w, w[1:]))) / len(w), math.log1p(len(text)),
+    ]
+    assert len(lines) == 3 and np.allclose(stats[len(quality_fm.CLASSES) :], want)
+    assert quality_fm.text_features(b"", 7, len)[1][-1] == math.log1p(7)
+
+
 def test_quality_on_held_out(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

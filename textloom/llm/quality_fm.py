@@ -64,6 +64,15 @@ def _forward(np, w0, w, v, starts, index, value):
     return z, s, vx
 
 
+def gradients(np, err, s, vx, starts, index, value):
+    """(used, dw, dv): of sum(err * z), for the features that rows use."""
+    doc = np.repeat(np.arange(len(err)), np.diff(np.append(starts, len(index))))
+    e = err[doc] * value
+    used, back = np.unique(index, return_inverse=True)
+    dv = [np.bincount(back, e * (s[doc, f] - vx[:, f]), len(used)) for f in range(s.shape[1])]
+    return used, np.bincount(back, e, len(used)), np.stack(dv, axis=1)
+
+
 def _design(np, rows, mean, scale):
     """Flat (starts, index, value): hashed words of unit length in all, then the statistics."""
     lengths = np.array([len(b) for b, _ in rows])
@@ -102,11 +111,8 @@ def train(rows: list[tuple[list[int], list[float]]], y: list[int], rank: int = 8
                 starts, index, value = _design(np, [rows[i] for i in own], mean, scale)
                 z, s, vx = _forward(np, w0, w, v, starts, index, value)
                 err = (1 / (1 + np.exp(-z)) - target[own]) / len(own)
-                doc = np.repeat(np.arange(len(own)), np.diff(np.append(starts, len(index))))
-                e = err[doc] * value
-                used, back = np.unique(index, return_inverse=True)
-                dw = np.bincount(back, e, len(used)) + decay * w[used]
-                dv = np.stack([np.bincount(back, e * (s[doc, f] - vx[:, f]), len(used)) for f in range(rank)], axis=1) + decay * v[used]
+                used, dw, dv = gradients(np, err, s, vx, starts, index, value)
+                dw, dv = dw + decay * w[used], dv + decay * v[used]
                 g0 += err.sum() ** 2
                 gw[used] += dw * dw
                 gv[used] += dv * dv
