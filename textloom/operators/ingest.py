@@ -105,13 +105,16 @@ def sample_strata(df: DataFrame, key: str, strata: list[str], ratio: float = 0.5
     return hash_ranked(df, key, strata, seed).where(F.col("_n") <= F.ceil(F.col("_all") * ratio)).select(*df.columns)
 
 
-def stratified_sample(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, ratio: float = 0.5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def stratified_sample(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, ratio: float = 0.5, seed: int = 42, keep=DataFrame.persist) -> tuple[DataFrame, DataFrame]:
     """(sampled queries (qid), sampled documents (doc_id)).
 
+    ``keep`` holds ids and numbers of the inputs, which several jobs read; the caller lets go of them when
+    the result has been used.
+
     Queries by tertile of num_qrels and of avg_rel_len; all their known relevant documents stay; if
     those are fewer than ceil(N * ratio), each length bin is topped up to its own share.
     """
-    corpus, qrels = corpus.select("doc_id", "n_words").persist(), qrels.persist()  # ids and numbers, read by several jobs
+    corpus, qrels = keep(corpus.select("doc_id", "n_words")), keep(qrels)
     features = binned(binned(query_features(queries, qrels, corpus), "num_qrels", "_a"), "avg_rel_len", "_b")
     picked = sample_strata(features, "qid", ["_a", "_b"], ratio, seed).select("qid")
     docs = binned(corpus.select("doc_id", "n_words"), "n_words", "_bin")

@@ -48,10 +48,14 @@ def items(spark: SparkSession, d: str) -> DataFrame:
 
 def judged(spark: SparkSession, d: str) -> DataFrame:
     """qrels: item and document share eight consecutive words."""
-    run = lambda c: F.explode(F.array_distinct(F.when(F.size(c) >= 8, F.transform(F.sequence(F.lit(1), F.size(c) - 7), lambda i: F.array_join(F.slice(c, i, 8), " "))))).alias("g")
-    a = items(spark, d).select("qid", T.tokens(F.col("query")).alias("t")).select("qid", run(F.col("t")))
-    b = docs(spark, d).select("doc_id", T.tokens(F.col("text")).alias("t")).select("doc_id", run(F.col("t")))
-    return b.join(a, "g").select("qid", "doc_id").distinct().withColumn("rel", F.lit(1))
+    run = lambda i: F.slice("t", i, 8)
+    places = F.when(F.size("t") >= 8, F.sequence(F.lit(1), F.size("t") - 7))
+    own = items(spark, d)
+    a = own.select("qid", T.tokens(F.col("query")).alias("t")).select("qid", F.inline(F.transform(places, lambda i: F.struct(F.xxhash64(run(i)).alias("h"), run(i).alias("g")))))
+    b = docs(spark, d).select("doc_id", T.tokens(F.col("text")).alias("t")).select("doc_id", "t", F.posexplode(F.transform(places, lambda i: F.xxhash64(run(i)))).alias("p", "h"))
+    # few items are sent to the documents; runs of equal hash are compared word by word
+    a = F.broadcast(a) if own.count() <= 10_000 else a
+    return b.join(a, "h").where(run(F.col("p") + 1) == F.col("g")).select("qid", "doc_id").distinct().withColumn("rel", F.lit(1))
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -59,6 +63,21 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 _INDEXES: dict = {}
+_HELD: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Keep what several jobs of one query read, until ``release`` or the next sample."""
+    _HELD.append(df.persist())
+    return df
+
+
+def _let_go(frames) -> None:
+    for f in frames:
+        try:
+            f.unpersist()
+        except Exception:  # noqa: BLE001 - of a session that has ended
+            pass
 
 
 def indexed(spark: SparkSession, d: str) -> tuple[DataFrame, bm25.Bm25Index]:
@@ -73,13 +92,9 @@ def indexed(spark: SparkSession, d: str) -> tuple[DataFrame, bm25.Bm25Index]:
 
 
 def release() -> None:
-    """Give back what ``indexed`` holds."""
-    for c, index in _INDEXES.values():
-        try:
-            c.unpersist()
-            index.postings.unpersist()
-        except Exception:  # noqa: BLE001 - of a session that has ended
-            pass
+    """Give back what ``indexed`` and ``hold`` keep."""
+    _let_go([*_HELD, *(f for c, index in _INDEXES.values() for f in (c, index.postings))])
+    _HELD.clear()
     _INDEXES.clear()
 
 
@@ -299,7 +314,9 @@ sd AS (SELECT doc_id FROM rel UNION ALL SELECT doc_id FROM top WHERE (SELECT cei
 
 
 def _sampled(spark, d):
-    return ingest.stratified_sample(ingest.ingest(docs(spark, d)), items(spark, d), judged(spark, d))
+    _let_go(_HELD)
+    _HELD.clear()
+    return ingest.stratified_sample(ingest.ingest(docs(spark, d)), items(spark, d), judged(spark, d), keep=hold)
 
 
 @query(f"WITH {SQL_SAMPLE} SELECT 'query' AS kind, qid AS id FROM sq UNION ALL SELECT 'document', doc_id FROM sd")
@@ -778,7 +795,9 @@ def retrieval_pipeline(spark, d):
 
 
 def _ablation(spark, d, bi: bool):
-    runs = E.stages(_corpus(spark, d), items(spark, d), _stand_in_encoder(spark, d), Retrieval(top_k=50, bi_encoder_top_k=30, cross_encoder_top_k=10), bi_stage=bi)
+    _let_go(_HELD)
+    _HELD.clear()
+    runs = E.stages(_corpus(spark, d), items(spark, d), _stand_in_encoder(spark, d), Retrieval(top_k=50, bi_encoder_top_k=30, cross_encoder_top_k=10), bi_stage=bi, keep=hold)
     return E.ablation(runs, chunks(spark, d).select("chunk_id", "doc_id"), judged(spark, d))
 
 
