@@ -87,13 +87,15 @@ def indexed(spark: SparkSession, d: str) -> tuple[DataFrame, bm25.Bm25Index]:
         release()  # one at a time
         c = chunks(spark, d).persist()
         postings = bm25.term_frequencies(c).persist()
-        _INDEXES[key] = c, bm25.Bm25Index.of(c, postings)
+        index = bm25.Bm25Index.of(c, postings)
+        index.terms = index.terms.persist()
+        _INDEXES[key] = c, index
     return _INDEXES[key]
 
 
 def release() -> None:
     """Give back what ``indexed`` and ``hold`` keep."""
-    _let_go([*_HELD, *(f for c, index in _INDEXES.values() for f in (c, index.postings))])
+    _let_go([*_HELD, *(f for c, index in _INDEXES.values() for f in (c, index.postings, index.terms))])
     _HELD.clear()
     _INDEXES.clear()
 
