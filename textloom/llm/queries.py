@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import CHAT_SQL, digests, fingerprinted, formatted, frame_turns, record_turns
 from .common import crc_bucket, small_batches
 from .decontamination import leaks
+from .fill_in_middle import FIM_SQL, fill_in_middle, restored
 from .license_scan import SCAN_SQL, scan
 from .mixing import MIX_SQL, mix
 from .ngram_automaton import score_texts
@@ -16,6 +20,7 @@ from .simhash_dedup import near_duplicates
 from .suffix_dedup import kept_digests
 from .token_counts import token_counts
 from .url_graph import judge
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,5 +74,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "positions", "position")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_lm_scores, op4_license_scan, op5_url_filter, op6_suffix_dedup, op7_decontamination, op8_nearest, op9_simhash, op10_mixing)}
-SQL = {"op4_license_scan": SCAN_SQL, "op8_nearest": NEAREST_SQL, "op10_mixing": MIX_SQL}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    made = restored(fill_in_middle(_table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha("output"), sha("restored"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whiten(_table(spark, sf_dir, "embeddings"), components=8)
+    rows = made.select("vec_id", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("i", "c"))
+    return rows.select("vec_id", (F.col("i") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's rows are turns; conversation -1 comes as a record of another layout."""
+    said = "</s>[INST] ok [/INST]"
+    record = spark.createDataFrame([(-1, json.dumps({"prompt": said, "response": said}))], "conv_id long, record string")
+    turns = frame_turns(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "conv_id")
+    made = digests(formatted(turns.unionByName(record_turns(fingerprinted(record, "conv_id", "record")))))
+    return made.withColumnRenamed("key", "conv_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_lm_scores, op4_license_scan, op5_url_filter, op6_suffix_dedup, op7_decontamination, op8_nearest, op9_simhash, op10_mixing, op11_fill_in_middle, op12_whitening, op13_chat_format)}
+SQL = {"op4_license_scan": SCAN_SQL, "op8_nearest": NEAREST_SQL, "op10_mixing": MIX_SQL, "op11_fill_in_middle": FIM_SQL, "op13_chat_format": CHAT_SQL}
