@@ -20,9 +20,9 @@ SENTINELS = ("<P>", "<S>", "<M>")
 
 def _checked(sentinels: tuple[str, str, str]) -> tuple[str, str, str]:
     """Sentinels between which no text can make another one: none lies within or overlaps another, or itself."""
-    for a in sentinels:
-        for b in sentinels:
-            if not a or (a is not b and a in b) or any(a[-k:] == b[:k] for k in range(1, min(len(a), len(b)) + (a is not b))):
+    for i, a in enumerate(sentinels):
+        for j, b in enumerate(sentinels):
+            if not a or (i != j and a in b) or any(a[-k:] == b[:k] for k in range(1, min(len(a), len(b)) + (i != j))):
                 raise ValueError(f"sentinels must be distinct and must not overlap: {sentinels}")
     return sentinels
 

@@ -18,6 +18,8 @@ from .common import Stage
 
 #: Entries beyond it take no part, like those that aren't finite: their integers would leave 63 bits.
 LARGEST = float(2**40)
+#: Of the largest variance: products of doubles don't tell less from zero.
+NOTHING = 1e-12
 
 
 @dataclass
@@ -80,8 +82,8 @@ def fit(vectors: DataFrame, vector: str = "embedding", scale: int = 1024, shift:
     The rows are centred by the exact sums before anything is multiplied. All components are asked of
     computeSVD, which then decomposes a matrix of the dimensions' size with LAPACK, to double precision;
     that matrix (dimensions squared, at most 15,000 of them) is all that the driver holds. Components
-    whose variance is nothing beside the largest (singular values below 1e-9 of it) are left out. Each
-    component's largest entry is positive.
+    whose variance is below ``NOTHING`` of the largest are rounding and left out. Each component's largest
+    entry is positive.
     """
     import numpy as np
     from pyspark.ml.functions import array_to_vector
@@ -110,6 +112,8 @@ def fit(vectors: DataFrame, vector: str = "embedding", scale: int = 1024, shift:
     rows = MLUtils.convertVectorColumnsFromML(centred.select(array_to_vector("row").alias("row")), "row")
     found = RowMatrix(rows, n, len(sums)).computeSVD(len(sums), False)
     components, variances = found.V.toArray(), found.s.toArray() ** 2 / n
+    some = variances > NOTHING * variances[0]
+    components, variances = components[:, some], variances[some]
     signs = np.sign(components[np.abs(components).argmax(0), np.arange(components.shape[1])])
     return Whitening(n, sums, components * signs, variances, int(total) / n**3)
 
