@@ -15,6 +15,7 @@ from .operators.fusion import to_documents
 from .operators.metrics import evaluate
 from .plans import offline, retrieval
 from .sources import readers
+from .sources.versions import Stages
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
@@ -31,8 +32,11 @@ def _named(name: str | None):
 
 def build(spark: SparkSession, a: argparse.Namespace, config: Config) -> None:
     corpus, queries, qrels = readers.corpus(_read(spark, a.corpus)), readers.queries(_read(spark, a.queries)), readers.qrels(_read(spark, a.qrels))
-    for name, df in offline.build(spark, corpus, queries, qrels, a.index, config, _named(a.encoder)).items():
+    stages = Stages(spark, a.index)
+    for name, df in offline.build(spark, corpus, queries, qrels, a.index, config, _named(a.encoder), a.encoder or "", stages).items():
         print(f"{name}: {df.count()} rows")
+    for name, seconds in stages.seconds.items():
+        print(f"stage {name}: {'made' if name in stages.made else 'kept'}, {seconds:.1f} s")
 
 
 def retrieve(spark: SparkSession, a: argparse.Namespace, config: Config) -> None:

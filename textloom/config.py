@@ -28,6 +28,24 @@ class Bm25:
     epsilon: float = 0.25
 
 
+@dataclass(frozen=True)
+class Graph:
+    """The approximate index: vectors of a shard, links of a node, and how far building and searching go."""
+
+    shard: int = 20_000
+    links: int = 32
+    projections: int = 4
+    near: int = 4  # places apart in a projection, at first
+    wide: int = 6  # lasting links over 1, 4, 16, ... places
+    rounds: int = 8
+    rest: float = 0.02
+    beam: int = 128
+    entries: int = 128
+    ahead: int = 4  # nodes of a beam that are left at once
+    block: int = 1024
+    seed: int = 42
+
+
 @dataclass(frozen=True)
 class Retrieval:
     top_k: int = 100
@@ -61,6 +79,7 @@ class Config:
     ingest: Ingest = field(default_factory=Ingest)
     chunking: Chunking = field(default_factory=Chunking)
     bm25: Bm25 = field(default_factory=Bm25)
+    graph: Graph = field(default_factory=Graph)
     retrieval: Retrieval = field(default_factory=Retrieval)
     generation: Generation = field(default_factory=Generation)
     evaluation: Evaluation = field(default_factory=Evaluation)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
 from .ranking import top_k
 
 #: Queries of one block: what each task holds besides a batch of vectors.
@@ -25,7 +26,8 @@ def normalized(v: Column) -> Column:
     return F.when(size > 0, F.transform(v, lambda x: (x / size).cast("float"))).otherwise(v)
 
 
-def _search_block(vectors: DataFrame, ids: list, matrix, k: int) -> DataFrame:
+def _search_block(vectors: DataFrame, ids: list, matrix, k: int):
+    """(the block's broadcast, k rows a task and query)."""
     shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
     qid, item = "string", vectors.schema["chunk_id"].dataType.simpleString()
 
@@ -53,28 +55,36 @@ def _search_block(vectors: DataFrame, ids: list, matrix, k: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([names[q] for q in query], pa.string()), pa.array(item.tolist(), b_type), pa.array(score)], ["qid", "chunk_id", "score"])
 
     b_type = pa.string() if item == "string" else pa.int64()
-    return vectors.select("chunk_id", "embedding").mapInArrow(run, f"qid {qid}, chunk_id {item}, score double")
+    return shared, vectors.select("chunk_id", "embedding").mapInArrow(run, f"qid {qid}, chunk_id {item}, score double")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
     """(qid, chunk_id, score, rank): the k largest inner products of each query with all vectors.
 
-    vectors: (chunk_id, embedding); queries: (qid string, embedding), in blocks of ``BLOCK``. Each task
-    sends k rows a query at most, so the shuffle doesn't grow with the vectors of a task. Null vectors
-    take no part; without queries there are no rows.
+    vectors: (chunk_id, embedding); queries: (qid string, embedding), in blocks of ``BLOCK``. One block is
+    held at a time: its lists are written before the next one is fetched. Each task sends k rows a query at
+    most, so the shuffle doesn't grow with the vectors of a task. Null vectors take no part; without
+    queries there are no rows.
     """
     import numpy as np
 
-    vectors, queries = vectors.where("embedding is not null"), queries.where("embedding is not null")
+    vectors, queries = vectors.where("embedding is not null"), queries.where("embedding is not null").select("qid", "embedding")
     blocks, out = max(1, math.ceil(queries.count() / BLOCK)), None
+    scratch = Scratch(vectors.sparkSession, "dense") if blocks > 1 else None
+    if scratch:
+        queries = scratch.put(queries)
     for i in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).orderBy("qid").select("qid", "embedding").collect()
+        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).orderBy("qid").collect()
         if own:
-            got = _search_block(vectors, [r[0] for r in own], np.array([r[1] for r in own], float).reshape(len(own), -1), k)
+            shared, got = _search_block(vectors, [r[0] for r in own], np.array([r[1] for r in own], float).reshape(len(own), -1), k)
+            got = top_k(got, ["qid"], k)
+            if scratch:
+                got = scratch.put(got)
+                shared.unpersist()
             out = got if out is None else out.unionByName(got)
     if out is None:
-        out = vectors.where("false").select(F.lit("").alias("qid"), "chunk_id", F.lit(0.0).alias("score"))
-    return top_k(out, ["qid"], k)
+        return top_k(vectors.where("false").select(F.lit("").alias("qid"), "chunk_id", F.lit(0.0).alias("score")), ["qid"], k)
+    return out
 
 
 def lsh_search(vectors: DataFrame, queries: DataFrame, k: int = 100, bucket: float = 1.0, tables: int = 8, radius: float = 1.2, seed: int = 42) -> DataFrame:
@@ -88,8 +98,3 @@ def lsh_search(vectors: DataFrame, queries: DataFrame, k: int = 100, bucket: flo
     near = model.approxSimilarityJoin(v, q, radius, distCol="d")
     near = near.select(F.col("datasetB.qid").alias("qid"), F.col("datasetA.chunk_id").alias("chunk_id"), F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("score"))
     return top_k(near, ["qid"], k)
-
-
-def encode(df: DataFrame, encoder, text: str, keys: list[str]) -> DataFrame:
-    """keys and embedding; ``encoder`` maps a text column to a vector column (for instance a pandas UDF)."""
-    return df.select(*keys, normalized(encoder(F.col(text))).alias("embedding"))

@@ -44,17 +44,44 @@ def ingest_counters(docs: DataFrame, low: int = 10, high: int = 10_000) -> DataF
     )
 
 
-def cut_points(df: DataFrame, value: str, parts: int = 3) -> DataFrame:
-    """One row, cuts: of the n sorted values, those at index n*i div parts for i below ``parts``.
+#: Ranges into which a selection cuts the values, and distinct values that it counts one by one.
+RANGES, FEW_VALUES = 4096, 50_000
 
-    Found from counts by value, so that no sort holds all rows; the running count is over distinct values.
+
+def cut_points(df: DataFrame, value: str, parts: int = 3) -> list:
+    """Of the n sorted numbers, those at index n*i div parts for i below ``parts``; nulls don't count, NaN is the largest.
+
+    By selection: rows are counted by equal ranges of values, and only the ranges that hold a cut are looked
+    at again, in ranges of their own, until few distinct values are left. Nothing is sorted but these, and
+    nothing but ``RANGES`` or ``FEW_VALUES`` counts reaches the driver.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    up_to = F.sum("c").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-    ranked = counts.withColumn("hi", up_to).withColumn("n", F.sum("c").over(W.partitionBy()))
-    spots = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.floor(F.col("n") * i / parts))
-    hit = ranked.withColumn("at", F.explode(spots)).where((F.col("at") < F.col("hi")) & (F.col("at") >= F.col("hi") - F.col("c")))
-    return hit.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias("cuts"))
+    d = df.select(F.col(value).alias("v")).where("v is not null")
+    n, kinds = d.agg(F.count("*"), F.approx_count_distinct("v")).first()
+    found = _selected(d, [n * i // parts for i in range(1, parts)], kinds) if n else {}
+    return [found[n * i // parts] for i in range(1, parts)] if n else []
+
+
+def _selected(d: DataFrame, spots: list[int], kinds: int) -> dict:
+    """Index -> value for some indexes of the sorted ``v``, of which about ``kinds`` are distinct."""
+    out: dict = {}
+    if kinds > FEW_VALUES:
+        x = F.least(F.greatest(F.col("v").cast("double"), F.lit(-1e308)), F.lit(1e308)) / 4  # as v grows, never falls
+        lo, hi = d.agg(F.min(x), F.max(x)).first()
+        if lo < hi:
+            bucket = F.least(F.floor((x - lo) / (hi - lo) * RANGES), F.lit(RANGES - 1))
+            before, counted = 0, d.groupBy(bucket.alias("b")).agg(F.count("*").alias("c"), F.approx_count_distinct("v").alias("k")).orderBy("b").collect()
+            for r in counted:
+                if own := [s - before for s in spots if before <= s < before + r.c]:
+                    out |= {s + before: v for s, v in _selected(d.where(bucket == r.b), own, r.k).items()}
+                before += r.c
+            return out
+    # few values, or more than doubles tell apart, which are read in order without being held
+    before, left = 0, sorted(set(spots))
+    for r in d.groupBy("v").agg(F.count("*").alias("c")).orderBy("v").toLocalIterator():
+        while left and left[0] < before + r.c:
+            out[left.pop(0)] = r.v
+        before += r.c
+    return out
 
 
 def bin_of(value: Column, cuts: list) -> Column:
@@ -63,9 +90,8 @@ def bin_of(value: Column, cuts: list) -> Column:
 
 
 def binned(df: DataFrame, value: str, name: str, parts: int = 3) -> DataFrame:
-    """df with the bin of ``value`` by its own cut points (fetched: parts - 1 numbers)."""
-    got = cut_points(df, value, parts).first()
-    return df.withColumn(name, bin_of(F.col(value), list(got["cuts"] or []) if got else []))
+    """df with the bin of ``value`` by its own cut points."""
+    return df.withColumn(name, bin_of(F.col(value), cut_points(df, value, parts)))
 
 
 def histogram(df: DataFrame, value: str, parts: int = 3) -> DataFrame:
@@ -115,7 +141,8 @@ def stratified_sample(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, r
     those are fewer than ceil(N * ratio), each length bin is topped up to its own share.
     """
     corpus, qrels = keep(corpus.select("doc_id", "n_words")), keep(qrels)
-    features = binned(binned(query_features(queries, qrels, corpus), "num_qrels", "_a"), "avg_rel_len", "_b")
+    features = keep(query_features(queries, qrels, corpus))
+    features = binned(binned(features, "num_qrels", "_a"), "avg_rel_len", "_b")
     picked = sample_strata(features, "qid", ["_a", "_b"], ratio, seed).select("qid")
     docs = binned(corpus.select("doc_id", "n_words"), "n_words", "_bin")
     related = qrels.join(picked, "qid", "left_semi").select("doc_id").distinct().join(docs.select("doc_id"), "doc_id", "left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.scratch import Scratch
 from .ingest import hash_order
 
 
@@ -27,7 +28,7 @@ def random_negatives(queries: DataFrame, docs: DataFrame, positives: DataFrame,
     Drawn without replacement from all documents in hash order: each query starts at a hashed place and
     looks at 8n documents from there on; where these hold fewer than n negatives, at four times as many.
     """
-    drawn = _places(docs, seed)
+    drawn = Scratch(docs.sparkSession, "places").put(_places(docs, seed))  # each round reads it
     size = max(docs.count(), 1)
     start = F.conv(F.substring(hash_order(F.col("qid"), seed), 1, 8), 16, 10).cast("long") % size
     known = positives.select("qid", "doc_id").distinct()

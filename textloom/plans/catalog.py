@@ -14,9 +14,10 @@ from pyspark.sql.window import Window as Win
 from ..config import Retrieval
 from ..functions import intent as I
 from ..functions import text as T
-from ..operators import bm25, chunking, context, dense, fusion, ingest, metrics, mining, ranking, rerank
+from ..operators import block_index, bm25, chunking, context, dense, encoding, fusion, generation, graph_index, ingest, metrics, mining, ranking, rerank
 from ..sources import readers
 from ..sources import writers
+from ..sources.scratch import Scratch
 from . import evaluation as E
 from . import retrieval as R
 
@@ -51,11 +52,11 @@ def judged(spark: SparkSession, d: str) -> DataFrame:
     run = lambda i: F.slice("t", i, 8)
     places = F.when(F.size("t") >= 8, F.sequence(F.lit(1), F.size("t") - 7))
     own = items(spark, d)
-    a = own.select("qid", T.tokens(F.col("query")).alias("t")).select("qid", F.inline(F.transform(places, lambda i: F.struct(F.xxhash64(run(i)).alias("h"), run(i).alias("g")))))
-    b = docs(spark, d).select("doc_id", T.tokens(F.col("text")).alias("t")).select("doc_id", "t", F.posexplode(F.transform(places, lambda i: F.xxhash64(run(i)))).alias("p", "h"))
-    # few items are sent to the documents; runs of equal hash are compared word by word
-    a = F.broadcast(a) if own.count() <= 10_000 else a
-    return b.join(a, "h").where(run(F.col("p") + 1) == F.col("g")).select("qid", "doc_id").distinct().withColumn("rel", F.lit(1))
+    # a row for each run holds its own words alone; runs of equal hash are compared word by word
+    runs = lambda df, key, text: df.select(key, T.tokens(F.col(text)).alias("t")).select(key, F.inline(F.transform(places, lambda i: F.struct(F.xxhash64(run(i)).alias("h"), run(i).alias("g")))))
+    a, b = runs(own, "qid", "query"), runs(docs(spark, d), "doc_id", "text")
+    a = F.broadcast(a) if own.count() <= 10_000 else a  # few items are sent to the documents
+    return b.join(a, ["h", "g"]).select("qid", "doc_id").distinct().withColumn("rel", F.lit(1))
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -140,8 +141,9 @@ post AS (SELECT chunk_id, len(toks) AS dl, unnest(toks) AS term FROM chunks),
 tf AS (SELECT chunk_id, dl, term, count(*) AS tf FROM post GROUP BY ALL),
 st AS (SELECT count(*) AS n, avg(CAST(len(toks) AS DOUBLE)) AS avgdl FROM chunks),
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM dfs, st),
-idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT coalesce(avg(r) FILTER (r > 0), 0) FROM raw) ELSE r END AS idf FROM raw)"""
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM dfs, st),
+pm AS MATERIALIZED (SELECT coalesce(avg(r) FILTER (r > 0), 0) AS m FROM raw),
+idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * m ELSE r END AS idf FROM raw, pm)"""
 SQL_JUDGED = f"""
 jq AS (SELECT CAST(item_id AS VARCHAR) AS qid, {tok('text')} AS t FROM benchmark),
 jd AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, {tok('text')} AS t FROM documents),
@@ -388,6 +390,34 @@ def bm25_search(spark, d):
     return indexed(spark, d)[1].search(bm25.query_tokens(items(spark, d)).select("qid", "tokens"), 10)
 
 
+@query(SQL["bm25_search"])
+def bm25_block_search(spark, d):
+    """The same lists from blocks of postings, of which the bounds leave many unread."""
+    blocks = block_index.BlockIndex.fit(indexed(spark, d)[1], f"{Scratch(spark, 'blocks').root}/blocks")
+    return blocks.search(bm25.query_tokens(items(spark, d)).select("qid", "tokens"), 10, keep=hold)
+
+
+# ---- encoding ------------------------------------------------------------------------------------------------
+
+
+LETTERS = "etaoinsh"
+
+
+def letter_model():
+    """A model's stand-in: how often a text holds each of a few letters."""
+    letters = LETTERS
+    return lambda texts: [[float(t.count(c)) for c in letters] for t in texts]
+
+
+@query(f"""WITH {SQL_CHUNKS}, e AS (SELECT chunk_id, [CAST(length(t) - length(replace(t, c, '')) AS DOUBLE) FOR c IN {list(LETTERS)}] AS v FROM (SELECT chunk_id, array_to_string(toks, ' ') AS t FROM chunks)),
+n AS (SELECT chunk_id, v, sqrt(list_sum([x * x FOR x IN v])) AS size FROM e), u AS (SELECT chunk_id, unnest(v) AS x, size, unnest(range(0, {len(LETTERS)})) AS i FROM n)
+SELECT chunk_id, CAST(i AS INTEGER) AS i, round(CASE WHEN size > 0 THEN x / size ELSE 0 END, 6) AS value FROM u""")
+def encode_corpus(spark, d):
+    """Unit vectors of all chunks, from batches of similar length."""
+    got = encoding.encode(chunks(spark, d), letter_model, ["chunk_id"], "chunk_text", name="letters", kind="double")
+    return got.select("chunk_id", F.posexplode("embedding").alias("i", "value")).withColumn("value", F.round("value", 6))
+
+
 # ---- dense search and fusion ----------------------------------------------------------------------------------
 
 
@@ -405,6 +435,13 @@ def dense_search(spark, d):
     return dense.search(vectors(spark, d), vector_queries(spark, d), 10)
 
 
+@query(SQL["dense_search"])
+def graph_search(spark, d):
+    """The approximate index. On tables whose shards its beams reach as a whole, the rows are those of the exact search."""
+    index = graph_index.GraphIndex.fit(vectors(spark, d), f"{Scratch(spark, 'graph-index').root}/graph")
+    return index.search(vector_queries(spark, d), 10)
+
+
 #: Ranked lists by document number: BM25 chunks pooled to documents, vectors by vec_id. Plumbing, not quality.
 SQL_LISTS = f"""{SQL_POSTINGS}, {SQL_ITEM_TOKENS}, {sql_bm25('bq', 'qid', 100)},
 bl AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (
@@ -537,6 +574,30 @@ def enrich_results(spark, d):
     return R.enrich(ce, c).select("qid", "chunk_id", "doc_id", F.md5("chunk_text").alias("chunk_hash"), "score")
 
 
+def overlap_model():
+    """``rerank.overlap_scorer`` for a list of pairs, in place of a neural model."""
+    import math
+    import re
+
+    words = lambda t: set(re.sub(r"[^\w\s]", " ", t.lower()).split())
+
+    def score(pairs):
+        for q, t in pairs:
+            own = words(q)
+            yield 1 / (1 + math.exp(4 - 8 * len(own & words(t)) / max(len(own), 1)))
+
+    return score
+
+
+@query(f"WITH {SQL_CE} SELECT qid, chunk_id, score FROM ces")
+def score_pairs(spark, d):
+    """Pairs of items and their best chunks, scored in batches of similar length."""
+    c, index = indexed(spark, d)
+    found = index.search(bm25.query_tokens(items(spark, d)).select("qid", "tokens"), 30).select("qid", "chunk_id")
+    pairs = found.join(items(spark, d), "qid").join(c.select("chunk_id", "chunk_text"), "chunk_id")
+    return encoding.score_pairs(pairs, overlap_model, "query", "chunk_text", name="overlap").select("qid", "chunk_id", F.round("score", 6).alias("score"))
+
+
 # ---- metrics ----------------------------------------------------------------------------------------------------
 
 
@@ -730,6 +791,42 @@ def classify_errors(spark, d):
     return c.select("conv_id", "turn", "kind", wait.alias("wait"), context.next_model(F.array(F.lit("a"), F.lit("b")), F.col("turn") % 3, F.col("kind")).alias("next"))
 
 
+def unsteady_client():
+    """A client that fails by the length of what the user says, of every kind of error."""
+    last = {"asked": None, "n": 0}
+    named = lambda name: type(name, (Exception,), {})
+
+    def call(model, messages):
+        text = messages[-1]["content"]
+        last["n"] = last["n"] + 1 if last["asked"] == (model, text) else 1
+        last["asked"] = (model, text)
+        case = len(text) % 6
+        if case == 0 and model == "large":
+            raise RuntimeError("429: please try again in 7s")
+        if case == 1 and last["n"] < 2:
+            raise named("APITimeoutError")("too slow")
+        if case == 2:
+            raise RuntimeError("invalid API key")
+        if case == 3 and last["n"] < 3:
+            return "  "
+        if case == 4:
+            raise named("APIConnectionError")("reset")
+        last["asked"] = None
+        return f" {model}: {len(text)}\n"
+
+    return call
+
+
+@query("""WITH f AS (SELECT conv_id, length(arg_min(text, turn)) AS n FROM conversations WHERE role = 'user' AND text <> '' GROUP BY conv_id), k AS (SELECT *, n % 6 AS k FROM f)
+SELECT conv_id, CASE WHEN k = 0 THEN 'small: ' || n WHEN k NOT IN (2, 4) THEN 'large: ' || n END AS text, CASE WHEN k = 0 THEN 'small' WHEN k <> 4 THEN 'large' END AS model,
+CAST([4, 2, 1, 3, 6, 1][k + 1] AS INTEGER) AS tries, CAST([16, 2, 0, 6, 12, 0][k + 1] AS DOUBLE) AS waited, CASE k WHEN 2 THEN 'auth' WHEN 4 THEN 'connection' END AS error FROM k""")
+def complete_conversations(spark, d):
+    """An answer to each conversation's first question, by a client that fails in every way; nothing waits here."""
+    said = table(spark, d, "conversations").where("role = 'user' and text <> ''").groupBy("conv_id").agg(F.min_by("text", "turn").alias("content"))
+    asked = said.select("conv_id", F.array(F.struct(F.lit("user").alias("role"), "content")).alias("messages"))
+    return generation.complete(asked, "conv_id", "messages", unsteady_client, generation.Policy(("large", "small"), jitter=0.0, give_up=False), sleep=lambda s: None)
+
+
 @query("SELECT event_type AS model, count(*) AS runs, round(avg(value), 6) AS avg_total_s, round(avg(value) FILTER (user_id % 2 = 0), 6) AS avg_retrieval_s FROM events GROUP BY 1")
 def model_comparison(spark, d):
     e = table(spark, d, "events").withColumn("retrieval", F.when(F.col("user_id") % 2 == 0, F.col("value")))
@@ -830,6 +927,16 @@ def ablation_five_stages(spark, d):
     return writers.metric_table(_ablation(spark, d, False))
 
 
+@query(f"WITH {sql_ablation(True)} SELECT a.metric, a.k, a.value AS before, b.value AS after, round(b.value - a.value, 6) AS delta FROM met a JOIN met b USING (metric, k) WHERE a.stage = 'MultiHybrid+BiEncoder' AND b.stage = 'FullPipeline'")
+def stage_deltas(spark, d):
+    return E.deltas(_ablation(spark, d, True), "MultiHybrid+BiEncoder", "FullPipeline")
+
+
+@query(f"WITH {sql_ablation(False)}, g AS (SELECT round(max(value) FILTER (stage = 'BM25') - max(value) FILTER (stage = 'Dense'), 6) AS gap FROM met WHERE metric = 'NDCG' AND k = 10) SELECT gap, gap > 0.05 AS flagged FROM g")
+def bm25_dense_gap(spark, d):
+    return E.gap(_ablation(spark, d, False))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """BM25 top ten of every benchmark item over all chunks."""
     return bm25_search(spark, d)

@@ -1,19 +1,13 @@
-"""Sinks: JSON lines, JSON maps, versioned tables and metric reports."""
+"""Sinks: JSON lines, JSON maps, vectors and metric reports."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -31,29 +25,6 @@ def write_qrels_map(qrels: DataFrame, path: str, parts: int = 1) -> None:
     inner.groupBy("_p").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("qid", "docs")))).alias("value")).select("value").write.mode("overwrite").text(path)
 
 
-def write_once(spark: SparkSession, make: Callable[[], DataFrame], path: str) -> DataFrame:
-    """Make and write a stage unless its folder is complete; a folder without _SUCCESS is written anew."""
-    if not exists(spark, f"{path}/_SUCCESS"):
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def write_version(df: DataFrame, root: str) -> str:
-    """Write the next numbered version under a folder; earlier ones stay as backups. Returns its path."""
-    spark, n = df.sparkSession, 0
-    while exists(spark, f"{root}/v{n}/_SUCCESS"):
-        n += 1
-    df.write.mode("overwrite").parquet(f"{root}/v{n}")
-    return f"{root}/v{n}"
-
-
-def latest_version(spark: SparkSession, root: str) -> DataFrame:
-    n = 0
-    while exists(spark, f"{root}/v{n + 1}/_SUCCESS"):
-        n += 1
-    return spark.read.parquet(f"{root}/v{n}")
-
-
 def write_vectors(vectors: DataFrame, path: str, parts: int = 64) -> None:
     """(chunk_id, embedding), sorted by chunk_id within range partitions: look-ups by id prune files and row groups."""
     vectors.select("chunk_id", "embedding").repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id").write.mode("overwrite").parquet(path)
