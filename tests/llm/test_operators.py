@@ -165,14 +165,19 @@ def license_labels(text, coverage=0.6, drift=3, gap=8):
             for q in range(grams):
                 if w[p : p + k] == b[q : q + k]:
                     at[p - q].append((p, q))
-        spans = []
-        for lo, d in sorted((min(v)[0], d) for d, v in at.items()):
-            hits = at[d]
-            if spans and grams > 1 and lo - spans[-1]["hi"] <= gap and abs(d - spans[-1]["d"]) <= drift:
-                own = spans[-1]
+        bands = []
+        for d in sorted(at):
+            if bands and d - bands[-1][-1] <= drift:
+                bands[-1].append(d)
             else:
-                spans.append(own := {"top": -1, "q": set(), "lo": lo})
-            own |= {"hi": max(hits)[0], "d": d, "top": max(own["top"], max(hits)[0]), "q": own["q"] | {q for _, q in hits}}
+                bands.append([d])
+        spans = []
+        for band in bands:
+            own = None
+            for lo, d in sorted((min(at[d])[0], d) for d in band):
+                if own is None or grams == 1 or lo - own["top"] > gap:
+                    spans.append(own := {"top": -1, "q": set(), "lo": lo})
+                own |= {"top": max(own["top"], max(at[d])[0]), "q": own["q"] | {q for _, q in at[d]}}
         for s in spans:
             share = len(s["q"]) / grams
             if share >= coverage and s["top"] - s["lo"] + k <= 2 * len(b):
@@ -199,9 +204,48 @@ def test_license_labels(spark, real):
     assert license_scan.scan(frame(spark, [])).collect() == []
 
 
+def test_edited_licenses_are_found(spark):
+    """Each longer template with words put in and taken out: at its thirds, in its middle, and at places of chance."""
+    import random
+
+    rng, texts, want = random.Random(9), [], {}
+    for t, (label, body) in enumerate(license_scan.TEMPLATES):
+        w = body.split()
+        if len(w) < 30:
+            continue
+        n, new = len(w), ["alpha", "beta", "gamma"]
+        cuts = [*w[: n // 3], *new[:1], *w[n // 3 : 2 * n // 3], *new[:2], *w[2 * n // 3 :]]
+        middle = [*w[: n // 2], *new, *w[n // 2 :]]
+        out = [*w[: n // 3], *w[n // 3 + 2 : 2 * n // 3], *w[2 * n // 3 + 1 :]]
+        chance = list(w)
+        for _ in range(2):
+            chance[rng.randrange(n)] = "changed"
+        for k, own in enumerate((cuts, middle, out, chance, [*new * 9, *cuts, *new * 9, *cuts])):
+            texts.append((100 * t + k, " ".join(own)))
+            want[100 * t + k] = label
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(frame(spark, texts)).collect()}
+    missed = {i: got[i] for i, label in want.items() if label not in got[i][0].split(",")}
+    assert not missed
+    for i, t in texts:
+        labels, score = license_labels(t)
+        assert (got[i][0], round(got[i][1], 9)) == (labels, round(score, 9)), i
+
+
 # ---- URLs
 
 
+def test_long_hosts_and_pages(spark):
+    """A host of 100,000 labels, and pages of anchors that never close, take no longer than their length."""
+    import time
+
+    rows = [(1, "http://" + "a." * 100_000 + "net/x", "<a " * 350_000), (2, "http://a.example.net/en/x", '<a href="http://b.org/">' * 1_000), (3, "http://b.org/fr/", "<a x<a href=http://c.com/>y</a>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    began = time.perf_counter()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_graph.judge(df).collect()}
+    assert got == {1: ("net/", "block"), 2: ("example.net/en/", "allow"), 3: ("org/fr/", "allow")}
+    assert time.perf_counter() - began < 60
+
+
 def test_url_rules(spark):
     urls = [
         "http://a.net/x", "http://A.Example.NET/en/q", "http://example.net/eng", "https://example.com/de/", "https://notexample.com/de/", "http://b.org/fr/?q", "http://b.net", "no url", None,

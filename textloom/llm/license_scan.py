@@ -2,8 +2,10 @@
 
 All rolling word k-grams of the texts are joined by hash to the positions of license templates.
 Every hit votes for a diagonal, its text position less its template position. Votes are summed by
-(text, template, diagonal), neighbouring diagonals (insertions and deletions shift them) are merged,
-and a merged span counts if it holds enough of its template.
+(text, template, diagonal). Diagonals that are neighbours by number (insertions and deletions shift
+them) make a band, whatever stray ones a template's repeated phrases add elsewhere; within a band,
+stretches of the text that lie close together are merged, and a merged span counts if it holds enough
+of its template.
 
 The texts are read and split into words once. While the templates are few enough to broadcast, k-grams
 that are no template's are passed over before any row is made of them.
@@ -58,10 +60,10 @@ def scan(df: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of (doc_id, text).
 
     A-Z are lower-cased. n_base counts all places of ``phrases``; first_word and last_word are the
-    smallest and largest of their starts. A template's diagonals merge if they differ by at most
-    ``drift`` and their spans lie within ``gap`` words; a merged span that holds at least ``coverage`` of
-    the template's k-grams, in at most twice its words, adds the template's label. score: the best
-    coverage, 1 for a phrase, else 0.
+    smallest and largest of their starts. A template's diagonals are one band while each differs by at most
+    ``drift`` from the next; a band's hits are one span while each begins at most ``gap`` words behind all
+    before it. A span that holds at least ``coverage`` of the template's k-grams, in at most twice its words,
+    adds the template's label. score: the best coverage, 1 for a phrase, else 0.
 
     Null text counts as empty: 0 words, no labels (empty strings), score 0. Null or repeated doc_ids
     keep their rows; equal texts are scanned alike. Empty input: no rows. Other columns are ignored.
@@ -91,11 +93,15 @@ def scan(df: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple
     hits = own.join(F.broadcast(table) if small else table, ["key", "gram"])
     by = ["_text", "template", "label", "base", "length", "grams"]
     votes = hits.groupBy(*by, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("at").alias("ats"))
-    order = W.partitionBy("_text", "template").orderBy("lo", "diagonal")
-    far = (F.col("lo") - F.lag("hi").over(order) > gap) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > drift)
-    votes = votes.withColumn("new", (F.coalesce(far, F.lit(True)) | F.col("base") | (F.col("grams") == 1)).cast("int"))
-    votes = votes.withColumn("span", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    spans = votes.groupBy(*by, "span").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("held"))
+    so_far = lambda order: order.rowsBetween(W.unboundedPreceding, 0)
+    across = W.partitionBy("_text", "template").orderBy("diagonal")
+    votes = votes.withColumn("new", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(across) > drift, F.lit(True)).cast("int"))
+    votes = votes.withColumn("band", F.sum("new").over(so_far(across)))
+    along = W.partitionBy("_text", "template", "band").orderBy("lo", "diagonal")
+    far = F.coalesce(F.col("lo") - F.max("hi").over(along.rowsBetween(W.unboundedPreceding, -1)) > gap, F.lit(True))
+    votes = votes.withColumn("new", (far | F.col("base") | (F.col("grams") == 1)).cast("int"))
+    votes = votes.withColumn("span", F.sum("new").over(so_far(along)))
+    spans = votes.groupBy(*by, "band", "span").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("held"))
     base, share = F.col("base"), F.col("held") / F.col("grams")
     fits = (F.col("hi") - F.col("lo") + F.least(F.col("length"), F.lit(K))) <= 2 * F.col("length")
     spans = spans.withColumn("share", share).where(base & (F.col("held") == F.col("grams")) | ~base & (share >= coverage) & fits)
@@ -125,9 +131,11 @@ d AS (SELECT doc_id, md5(coalesce(text, '')) AS id,
 g AS (SELECT id, p - 1 AS pos, k, array_to_string(w[p : p + k - 1], ' ') AS gram FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS p FROM (SELECT id, any_value(w) AS w FROM d GROUP BY id)) CROSS JOIN (SELECT DISTINCT k FROM b) WHERE p + k - 1 <= len(w)),
 h AS (SELECT id, template, label, base, length, grams, pos - place AS diagonal, pos, place FROM g JOIN t USING (k, gram)),
 v AS (SELECT id, template, label, base, length, grams, diagonal, list(DISTINCT place) AS places, min(pos) AS lo, max(pos) AS hi FROM h GROUP BY ALL),
-n AS (SELECT *, CASE WHEN base OR grams = 1 OR coalesce(lo - lag(hi) OVER o > 8 OR abs(diagonal - lag(diagonal) OVER o) > 3, true) THEN 1 ELSE 0 END AS fresh FROM v WINDOW o AS (PARTITION BY id, template ORDER BY lo, diagonal)),
-s AS (SELECT *, sum(fresh) OVER (PARTITION BY id, template ORDER BY lo, diagonal ROWS UNBOUNDED PRECEDING) AS span FROM n),
-m AS (SELECT id, template, label, base, length, grams, span, CAST(len(list_distinct(flatten(list(places)))) AS DOUBLE) / grams AS share, min(s.lo) AS lo, max(s.hi) AS hi FROM s GROUP BY id, template, label, base, length, grams, span),
+b0 AS (SELECT id, template, diagonal AS band FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.id = a.id AND b.template = a.template AND b.diagonal BETWEEN a.diagonal - 3 AND a.diagonal - 1)),
+n AS (SELECT v.*, band, lo * 1000000000 + diagonal AS place FROM v ASOF JOIN b0 ON v.id = b0.id AND v.template = b0.template AND v.diagonal >= b0.band),
+s0 AS (SELECT id, template, band, place AS span FROM n a WHERE base OR grams = 1 OR NOT EXISTS (SELECT 1 FROM n b WHERE b.id = a.id AND b.template = a.template AND b.band = a.band AND b.place < a.place AND b.hi >= a.lo - 8)),
+s AS (SELECT n.*, span FROM n ASOF JOIN s0 ON n.id = s0.id AND n.template = s0.template AND n.band = s0.band AND n.place >= s0.span),
+m AS (SELECT id, template, label, base, length, grams, span, CAST(len(list_distinct(flatten(list(places)))) AS DOUBLE) / grams AS share, min(s.lo) AS lo, max(s.hi) AS hi FROM s GROUP BY id, template, label, base, length, grams, band, span),
 f AS (SELECT * FROM m WHERE base AND share >= 1 OR NOT base AND share >= 0.6 AND hi - lo + least(length, 4) <= 2 * length),
 r AS (SELECT id, count(*) FILTER (base) AS n_base, min(f.lo) FILTER (f.base) AS first_word, max(f.lo) FILTER (f.base) AS last_word,
   array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(share) AS score FROM f GROUP BY id)

@@ -16,7 +16,8 @@ from .common import Stage, ascii_lower, spread_join
 #: Fixed values: (verdict, rule).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-LINK = r"(?i)<a\s[^>]*?\bhref\s*=\s*[\"']?([^\"'>\s]+)"
+#: An anchor that doesn't end before the next < has no link; so no search runs over another anchor's text.
+LINK = r"(?i)<a\s[^<>]*?\bhref\s*=\s*[\"']?([^\"'<>\s]+)"
 
 
 def parse(url):
@@ -29,10 +30,11 @@ def host_rules(hosts: DataFrame, rules) -> DataFrame:
     """(host, rules): per host, the rules that fit it, longest first, as (length, rule, verdict, path)."""
     rows = [(r.split("/", 1)[0], "/" + r.split("/", 1)[1], r, v) for v, r in rules]
     table = hosts.sparkSession.createDataFrame(rows, "suffix string, path string, rule string, verdict string")
-    parts = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    # a rule's host is a suffix of as many labels as it has: others are never built
+    labels = sorted({s.count(".") + 1 for s, *_ in rows})
+    last = F.array(*[F.substring_index("host", ".", -n) for n in labels])
     one = F.struct(F.length("rule").alias("length"), "rule", "verdict", "path")
-    return hosts.select("host", F.explode(suffixes).alias("suffix")).join(table, "suffix").groupBy("host").agg(F.sort_array(F.collect_set(one), asc=False).alias("rules"))
+    return hosts.select("host", F.explode(F.array_distinct(last)).alias("suffix")).join(table, "suffix").groupBy("host").agg(F.sort_array(F.collect_set(one), asc=False).alias("rules"))
 
 
 def spread(stage: Stage, nodes: DataFrame, edges: DataFrame, damping: float, close: float) -> DataFrame:
