@@ -88,17 +88,19 @@ def extract(text: Column, n: int = 2) -> Column:
     return F.trim(T.first_sentences(text, n))
 
 
-def generate(queries: DataFrame, context: DataFrame, llm: Callable[[Column], Column] | None = None, max_sentences: int = 4) -> DataFrame:
+def generate(queries: DataFrame, context: DataFrame, llm: Callable[[Column], Column] | None = None, max_sentences: int = 4, completed: DataFrame | None = None) -> DataFrame:
     """(qid, answer, confidence, context_count, used_docs, citations, fallback) for (qid, query, intent).
 
-    ``llm`` maps a messages column to text, null on failure; without it or on failure the answer is
-    extracted. A query without context gets a fixed sentence at confidence 0.
+    ``llm`` maps a messages column to text, null on failure; ``completed`` holds such texts, as (qid, text),
+    of what ``generation.complete`` made of the prompts. Without either or on failure the answer is extracted. A query without context gets a fixed sentence at confidence 0.
     """
     c = context.groupBy("qid").agg(
         F.array_sort(F.collect_list(F.struct("pos", "doc_id", "chunk_text", "ce_score"))).alias("_c"), F.avg("ce_score").alias("_ce"), F.count("*").alias("_n")
     )
     q = queries.select("qid", "query", "intent").join(c, "qid", "left")
-    if llm is not None:
+    if completed is not None:
+        q = q.join(completed.select("qid", F.col("text").alias("_raw")), "qid", "left")
+    elif llm is not None:
         q = q.join(prompts(queries, context), "qid", "left").withColumn("_raw", F.when(F.col("messages").isNotNull(), llm(F.col("messages"))))
     else:
         q = q.withColumn("_raw", F.lit(None).cast("string"))

@@ -31,12 +31,20 @@ def build(spark: SparkSession, corpus: DataFrame, queries: DataFrame, qrels: Dat
     s, stages = config.ingest, stages or Stages(spark, out)
     clean = stages.stage("clean", lambda: ingest.ingest(corpus, s.min_words, s.max_words), inputs=(corpus,), settings=s)
 
+    held: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        held.append(df.persist())
+        return df
+
     def sample() -> DataFrame:
-        picked, kept = ingest.stratified_sample(clean, queries, qrels, s.sample_ratio, s.seed)
+        picked, kept = ingest.stratified_sample(clean, queries, qrels, s.sample_ratio, s.seed, keep=hold)
         one = lambda kind, df, key: df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"))
         return one("query", picked, "qid").unionByName(one("document", kept, "doc_id"))
 
     sampled = stages.stage("sample", sample, inputs=(queries, qrels), after=("clean",), settings=s)
+    for df in held:
+        df.unpersist()
     of = lambda kind, key: sampled.where(F.col("kind") == kind).select(F.col("id").alias(key))
     docs = stages.stage("docs", lambda: clean.join(of("document", "doc_id"), "doc_id", "left_semi"), after=("clean", "sample"))
     own = stages.stage("queries", lambda: ingest.split(queries.join(of("query", "qid"), "qid", "left_semi"), s.train_ratio, s.val_ratio, s.seed), inputs=(queries,), after=("sample",), settings=s)
