@@ -58,9 +58,10 @@ class BlockIndex:
         return by
 
     @classmethod
-    def fit(cls, index: Bm25Index, path: str, zone: int = 4, parts: int = 64) -> BlockIndex:
+    def fit(cls, index: Bm25Index, path: str, zone: int = 4, parts: int | None = None) -> BlockIndex:
         """The blocks of an index, written to ``path`` sorted by term and zone: look-ups prune files and row groups, and bounds read no postings."""
         spark = index.postings.sparkSession
+        parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
         blocks = cls.blocks_of(index, zone)
         blocks.repartitionByRange(parts, "term", "zone").sortWithinPartitions("term", "zone").write.mode("overwrite").option("compression", "zstd").parquet(path)
         return cls.load(spark, path, zone)
