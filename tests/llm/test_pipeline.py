@@ -51,5 +51,5 @@ def test_run_takes_planted_cases(spark, tmp_path):
 
 
 def test_names():
-    assert [q.split("_")[0] for q in Q.QUERIES] == [f"op{n}" for n in range(1, 11)] and set(Q.SQL) <= set(Q.QUERIES)
+    assert [q.split("_")[0] for q in Q.QUERIES] == [f"op{n}" for n in range(1, 14)] and set(Q.SQL) <= set(Q.QUERIES)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
