@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,12 +132,58 @@ def test_lambda_loss(spark):
     assert got["g"] == pytest.approx(want, abs=1e-6) and got["one"] == 0.0
 
 
+def test_lambda_loss_of_long_lists(spark, monkeypatch):
+    """Cut into tiles, a list has the loss that it has whole."""
+    rng = np.random.default_rng(1)
+    rows = [(g, i + 1, float(rng.normal()), float(rng.integers(0, 4))) for g, n in ((1, 50), (2, 7), (3, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "group int, pos int, score double, label double")
+    whole = {r.group: r.loss for r in metrics.lambda_loss(df).collect()}
+    monkeypatch.setattr(metrics, "TILE", 8)
+    assert {r.group: r.loss for r in metrics.lambda_loss(df).collect()} == pytest.approx(whole, abs=2e-6) and whole[1] > 0
+
+
 def test_cut_points(spark):
     df = spark.createDataFrame([(i,) for i in [5, 1, 4, 2, 3, 9, 8, 7, 6]], "v int")
     assert ingest.cut_points(df, "v") == [4, 7]
     assert {r.v: r.b for r in ingest.binned(df, "v", "b").collect()} == {i: (i > 4) + (i > 7) for i in range(1, 10)}
 
 
+@pytest.mark.parametrize("kind", ["double", "long", "decimal(30,0)", "ties"])
+def test_cut_points_by_selection(spark, monkeypatch, kind):
+    """Ranges of ranges, down to few values: the same cuts as a sort, at any share of ties and at values of any size."""
+    import random
+    from decimal import Decimal
+
+    monkeypatch.setattr(ingest, "FEW_VALUES", 20)
+    monkeypatch.setattr(ingest, "RANGES", 7)
+    rng = random.Random(3)
+    make = {
+        "double": lambda: rng.choice([rng.gauss(0, 1), rng.gauss(0, 1) * 1e200, float("inf"), -0.0, float("-inf"), 5e-324]),
+        "long": lambda: 2**62 + rng.randrange(10_000),  # more than doubles tell apart
+        "decimal(30,0)": lambda: Decimal(10**29 + rng.randrange(10**9)),
+        "ties": lambda: rng.choice([7, 7, 7, 7, rng.randrange(1000)]),
+    }[kind]
+    values = [make() for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], f"v {'int' if kind == 'ties' else kind}")
+    for parts in (2, 3, 10):
+        assert ingest.cut_points(df, "v", parts) == [sorted(values)[len(values) * i // parts] for i in range(1, parts)]
+    assert ingest.cut_points(df.where("v is null"), "v") == []
+
+
+def test_no_task_sorts_all_values(spark):
+    plan = ingest.binned(spark.range(10), "id", "b")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+
+
+def test_dense_blocks_give_the_same_lists(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    v = spark.createDataFrame([(f"v{i}", [float(x) for x in rng.normal(size=5)]) for i in range(300)], "chunk_id string, embedding array<float>")
+    q = v.limit(40).withColumnRenamed("chunk_id", "qid")
+    whole = sorted(map(tuple, dense.search(v, q, 7).collect()))
+    monkeypatch.setattr(dense, "BLOCK", 9)
+    assert sorted(map(tuple, dense.search(v, q, 7).collect())) == whole and len(whole) == 280
+
+
 def test_ingest_edges(spark):
     rows = [("a", words(10)), ("b", words(9)), ("c", words(10).upper() + "!"), ("d", None), ("", words(11)), (None, words(12)), ("e", words(10_000)), ("f", words(10_001))]
     got = {r.doc_id for r in ingest.ingest(spark.createDataFrame(rows, "doc_id string, text string")).collect()}

@@ -127,6 +127,32 @@ def test_config():
     assert pick_model("fine", "base", True, lambda p: True) == "fine" and pick_model("fine", "base", True, lambda p: False) == "base"
 
 
+def frame_encoder(path):
+    return lambda frame: frame.withColumn("model", F.lit(path))
+
+
+def test_models_by_flag_and_path(spark, tmp_path):
+    from textloom.__main__ import encoder
+
+    (tmp_path / "tuned").mkdir()
+    own = {"encoder": "tests.test_plans:frame_encoder", "base": "base", "fine_tuned": f"file://{tmp_path}/tuned"}
+    pick = lambda **x: encoder(spark, None, from_dict({"models": {**own, **x}}))
+    encode, name = pick()
+    assert name.endswith("tuned)") and encode(spark.range(1)).first().model.endswith("tuned")
+    assert pick(use_fine_tuned=False)[1].endswith("(base)") and pick(fine_tuned=f"file://{tmp_path}/no")[1].endswith("(base)") and pick(fine_tuned="")[1].endswith("(base)")
+    assert encoder(spark, None, Config()) == (None, "") and encoder(spark, "tests.test_plans:chunk_vectors", Config())[0] is chunk_vectors
+
+
+def test_pair_model_in_place_of_the_scorer(spark, corpus):
+    from textloom.operators import rerank
+    from textloom.plans.catalog import overlap_model
+
+    queries = spark.createDataFrame([("q", "alpha beta"), ("r", "gamma")], "qid string, query string")
+    candidates = corpus.chunks.select("chunk_id").crossJoin(queries.select("qid")).withColumn("rank", F.lit(1))
+    rows = lambda **x: sorted(map(tuple, rerank.cross_encoder(candidates, queries, corpus.chunks, k=3, **x).collect()))
+    assert rows(model=overlap_model) == rows() != []
+
+
 def test_streaming_ingest_equals_batch(spark, tmp_path):
     rows = [("a", " ".join(f"x{i}" for i in range(300))), ("b", "too short"), ("c", " ".join(f"X{i}" for i in range(300)) + "."), ("d", " ".join(f"y{i}" for i in range(20)))]
     spark.createDataFrame(rows, "doc_id string, text string").write.parquet(f"file://{tmp_path}/in")

@@ -8,14 +8,14 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .config import Config, from_yaml
+from .config import Config, from_yaml, pick_model
 from .functions import text as T
 from .operators.bm25 import query_tokens
 from .operators.fusion import to_documents
 from .operators.metrics import evaluate
 from .plans import offline, retrieval
 from .sources import readers
-from .sources.versions import Stages
+from .sources.versions import Stages, exists
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
@@ -30,10 +30,19 @@ def _named(name: str | None):
     return getattr(importlib.import_module(module), function)
 
 
+def encoder(spark: SparkSession, name: str | None, config: Config):
+    """(frame encoder, what it is called): the one that ``name`` says, else the configured one with its fine-tuned or base model."""
+    if name or not config.models.encoder:
+        return _named(name), name or ""
+    m = config.models
+    path = pick_model(m.fine_tuned, m.base, m.use_fine_tuned, lambda p: bool(p) and exists(spark, p))
+    return _named(m.encoder)(path), f"{m.encoder}({path})"
+
+
 def build(spark: SparkSession, a: argparse.Namespace, config: Config) -> None:
     corpus, queries, qrels = readers.corpus(_read(spark, a.corpus)), readers.queries(_read(spark, a.queries)), readers.qrels(_read(spark, a.qrels))
-    stages = Stages(spark, a.index)
-    for name, df in offline.build(spark, corpus, queries, qrels, a.index, config, _named(a.encoder), a.encoder or "", stages).items():
+    stages, (encode, model) = Stages(spark, a.index), encoder(spark, a.encoder, config)
+    for name, df in offline.build(spark, corpus, queries, qrels, a.index, config, encode, model, stages).items():
         print(f"{name}: {df.count()} rows")
     for name, seconds in stages.seconds.items():
         print(f"stage {name}: {'made' if name in stages.made else 'kept'}, {seconds:.1f} s")
@@ -45,7 +54,7 @@ def retrieve(spark: SparkSession, a: argparse.Namespace, config: Config) -> None
     judged = queries.withColumn("problem", T.query_problem(queries["query"]))
     for r in judged.where("problem is not null").groupBy("problem").count().collect():
         print(f"{r['count']} queries refused: {r['problem']}")
-    queries, encode = judged.where("problem is null").drop("problem"), _named(a.encoder)
+    queries, encode = judged.where("problem is null").drop("problem"), encoder(spark, a.encoder, config)[0]
     if encode is None:
         got = retrieval.enrich(corpus.bm25.search(query_tokens(queries).select("qid", "tokens"), config.retrieval.top_k), corpus.chunks)
     else:

@@ -74,6 +74,16 @@ class Evaluation:
     gap: float = 0.05
 
 
+@dataclass(frozen=True)
+class Models:
+    """``encoder``: module:function that makes a frame encoder of a model's path; the fine-tuned path counts if it is wanted and there."""
+
+    encoder: str = ""
+    base: str = ""
+    fine_tuned: str = ""
+    use_fine_tuned: bool = True
+
+
 @dataclass(frozen=True)
 class Config:
     ingest: Ingest = field(default_factory=Ingest)
@@ -83,6 +93,7 @@ class Config:
     retrieval: Retrieval = field(default_factory=Retrieval)
     generation: Generation = field(default_factory=Generation)
     evaluation: Evaluation = field(default_factory=Evaluation)
+    models: Models = field(default_factory=Models)
 
 
 def from_dict(values: dict) -> Config:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -57,19 +60,41 @@ def compare_runs(runs: DataFrame, model: str, total: str, retrieval: str) -> Dat
     return runs.groupBy(F.col(model).alias("model")).agg(F.count("*").alias("runs"), F.round(F.avg(total), 6).alias("avg_total_s"), F.round(F.avg(retrieval), 6).alias("avg_retrieval_s"))
 
 
+#: Documents of a group that one block of pairs takes from either side.
+TILE = 2048
+
+
 def lambda_loss(groups: DataFrame) -> DataFrame:
     """(group, loss) over (group, pos from 1, score, label).
 
     The mean over pairs with label_i > label_j of log(1 + exp(s_j - s_i)) times the change of NDCG by a
     swap, where a document's discount follows its position in the list, not its score.
+
+    Pairs are never rows: a group is cut into tiles of ``TILE`` documents by position, each two tiles are one
+    row, whose pairs are summed up at once. A long list is as many tasks' work as it has tiles.
     """
     disc = 1.0 / (F.log(F.col("pos") + 1.0) / F.log(F.lit(2.0)))
     g = groups.withColumn("disc", disc)
     ideal = g.withColumn("r", F.row_number().over(W.partitionBy("group").orderBy(F.desc("label")))).groupBy("group").agg(
         F.greatest(F.sum(F.col("label") / (F.log(F.col("r") + 1.0) / F.log(F.lit(2.0)))), F.lit(1e-10)).alias("idcg")
     )
-    a, b = g.alias("a"), g.alias("b")
-    pairs = a.join(b, (F.col("a.group") == F.col("b.group")) & (F.col("a.label") > F.col("b.label")))
-    part = F.log1p(F.exp(F.col("b.score") - F.col("a.score"))) * F.abs(F.col("a.disc") - F.col("b.disc")) * (F.col("a.label") - F.col("b.label"))
-    got = pairs.select(F.col("a.group").alias("group"), part.alias("part")).groupBy("group").agg(F.avg("part").alias("mean"))
+    each = lambda c: F.col(c).cast("double").alias(c)
+    tiles = g.groupBy("group", F.floor((F.col("pos") - 1) / TILE).alias("tile")).agg(F.collect_list(F.struct(each("score"), each("label"), each("disc"))).alias("t"))
+    side = lambda name: tiles.select("group", *[F.col(f"t.{c}").alias(f"{name}_{c}") for c in ("score", "label", "disc")])
+    blocks = side("a").join(side("b"), "group")
+    kind = groups.schema["group"].dataType.simpleString()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            total, n = [], []
+            for row in zip(*b.columns[1:]):
+                s, y, d, s2, y2, d2 = (x.values.to_numpy(zero_copy_only=False) for x in row)
+                i, j = np.nonzero(y[:, None] > y2[None, :])
+                total.append(float((np.log1p(np.exp(s2[j] - s[i])) * np.abs(d[i] - d2[j]) * (y[i] - y2[j])).sum()))
+                n.append(len(i))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.float64()), pa.array(n, pa.int64())], ["group", "total", "n"])
+
+    got = blocks.mapInArrow(sums, f"group {kind}, total double, n long").groupBy("group").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"))
     return ideal.join(got, "group", "left").select("group", F.round(F.coalesce(F.col("mean") / F.col("idcg"), F.lit(0.0)), 6).alias("loss"))

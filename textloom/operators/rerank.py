@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .dense import dot
+from .encoding import score_pairs
 from .ranking import top_k
 
 Scorer = Callable[[Column, Column], Column]
@@ -43,11 +44,17 @@ def bi_encoder(candidates: DataFrame, query_vectors: DataFrame, vectors: DataFra
     return top_k(c, ["qid"], k).withColumn("bi_encoder_score", F.col("score"))
 
 
-def cross_encoder(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, scorer: Scorer = overlap_scorer, k: int = 50, top_in: int | None = None, threshold: float | None = 0.0, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(qid, chunk_id, score, rank, ce_score, carry): unknown chunks drop out, scores are not fused with earlier ones."""
+def cross_encoder(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, scorer: Scorer = overlap_scorer, k: int = 50, top_in: int | None = None, threshold: float | None = 0.0, carry: tuple[str, ...] = (), model: Callable | None = None) -> DataFrame:
+    """(qid, chunk_id, score, rank, ce_score, carry): unknown chunks drop out, scores are not fused with earlier ones.
+
+    ``model``, if given, makes a model of ``encoding.score_pairs``, which takes the scorer's place: pairs in batches of similar length.
+    """
     c = candidates.where(F.col("rank") <= top_in) if top_in else candidates
     c = c.select("qid", "chunk_id", *carry).join(queries.select("qid", "query"), "qid").join(chunks.select("chunk_id", "chunk_text"), "chunk_id")
-    c = c.select("qid", "chunk_id", *carry, F.round(scorer(F.col("query"), F.col("chunk_text")), 6).alias("score"))
+    score = scorer(F.col("query"), F.col("chunk_text"))
+    if model is not None:
+        c, score = score_pairs(c, model, "query", "chunk_text", name=f"{model.__module__}.{model.__qualname__}", out="_score"), F.col("_score")
+    c = c.select("qid", "chunk_id", *carry, F.round(score, 6).alias("score"))
     if threshold is not None:
         c = c.where(F.col("score") >= threshold)
     return top_k(c, ["qid"], k).withColumn("ce_score", F.col("score"))

@@ -18,7 +18,11 @@ from ..operators import block_index, bm25, chunking, context, dense, encoding, f
 from ..sources import readers
 from ..sources import writers
 from ..sources.scratch import Scratch
+from ..sources.versions import Stages
+from ..streaming.index import SegmentedIndex
+from ..streaming.ingest import chunk_stream
 from . import evaluation as E
+from . import offline
 from . import retrieval as R
 
 QUERIES: dict = {}
@@ -254,6 +258,20 @@ def dedup_ids(spark, d):
     return readers.flattened(c)[0].select("doc_id", "text")
 
 
+@query(f"""WITH {SQL_JUDGED} SELECT 'query' AS kind, CAST(item_id AS VARCHAR) AS id, text AS value FROM benchmark UNION ALL SELECT 'grade', qid, doc_id || '=' || rel FROM qrels
+UNION ALL SELECT 'line', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')) FROM documents""")
+def scan_json(spark, d):
+    """Queries and judgments as JSON maps, documents as JSON lines: written, and read back by several tasks."""
+    at = Scratch(spark, "json").root
+    writers.write_query_map(items(spark, d), f"{at}/queries", 2)
+    writers.write_qrels_map(judged(spark, d), f"{at}/qrels", 2)
+    writers.write_jsonl(docs(spark, d), f"{at}/docs")
+    q, rel, lines = readers.read_query_map(spark, f"{at}/queries"), readers.read_qrels_map(spark, f"{at}/qrels"), readers.read_jsonl(spark, f"{at}/docs", "doc_id string, text string")
+    row = lambda df, kind, key, value: df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), value.alias("value"))
+    grade = F.concat("doc_id", F.lit("="), F.col("rel").cast("string"))
+    return row(q, "query", "qid", F.col("query")).unionByName(row(rel, "grade", "qid", grade)).unionByName(row(lines, "line", "doc_id", F.md5(F.coalesce("text", F.lit("")))))
+
+
 # ---- filters, deduplication, samples ------------------------------------------------------------------------
 
 
@@ -397,6 +415,24 @@ def bm25_block_search(spark, d):
     return blocks.search(bm25.query_tokens(items(spark, d)).select("qid", "tokens"), 10, keep=hold)
 
 
+@query(SQL["bm25_search"])
+def saved_index_search(spark, d):
+    """From an index that was written and loaded: terms prune what is read."""
+    at = f"{Scratch(spark, 'saved').root}/bm25"
+    indexed(spark, d)[1].save(at)
+    return bm25.Bm25Index.load(spark, at).search(bm25.query_tokens(items(spark, d)).select("qid", "tokens"), 10)
+
+
+@query(SQL["bm25_search"])
+def streamed_index_search(spark, d):
+    """From an index that a stream of the documents has built by segments."""
+    at = Scratch(spark, "stream").root
+    stream = spark.readStream.schema(table(spark, d, "documents").schema).parquet(f"{d}/documents.parquet*").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    index = SegmentedIndex(spark, f"{at}/index")
+    index.follow(chunk_stream(stream), f"{at}/progress").awaitTermination()
+    return index.index().search(bm25.query_tokens(items(spark, d)).select("qid", "tokens"), 10)
+
+
 # ---- encoding ------------------------------------------------------------------------------------------------
 
 
@@ -591,7 +627,7 @@ def overlap_model():
 
 @query(f"WITH {SQL_CE} SELECT qid, chunk_id, score FROM ces")
 def score_pairs(spark, d):
-    """Pairs of items and their best chunks, scored in batches of similar length."""
+    """Pairs of items and their best chunks, scored in batches of similar length by a model that workers hold."""
     c, index = indexed(spark, d)
     found = index.search(bm25.query_tokens(items(spark, d)).select("qid", "tokens"), 30).select("qid", "chunk_id")
     pairs = found.join(items(spark, d), "qid").join(c.select("chunk_id", "chunk_text"), "chunk_id")
@@ -927,6 +963,22 @@ def ablation_five_stages(spark, d):
     return writers.metric_table(_ablation(spark, d, False))
 
 
+@query(f"""WITH {SQL_SAMPLE}, sp AS (SELECT qid, row_number() OVER (ORDER BY md5('42|' || qid), qid) AS r, count(*) OVER () AS n FROM sq)
+SELECT 'docs' AS stage, doc_id AS id, '' AS value FROM sd UNION ALL SELECT 'queries', qid, CASE WHEN r <= floor(n * 0.8) THEN 'train' WHEN r <= floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END FROM sp
+UNION ALL SELECT 'qrels', qid, doc_id FROM qrels SEMI JOIN sq USING (qid) SEMI JOIN sd USING (doc_id)
+UNION ALL SELECT 'chunks', CAST(doc_id AS VARCHAR), CAST(count(*) AS VARCHAR) FROM (SELECT doc_id, unnest(range(0, len({tok('text')}), 224)) FROM documents) x WHERE CAST(x.doc_id AS VARCHAR) IN (SELECT doc_id FROM sd) GROUP BY 1, 2""")
+def offline_build(spark, d):
+    """All stages of the build, each behind its manifest, and then once more: nothing is made twice."""
+    at, inputs = f"{Scratch(spark, 'build').root}/o", (docs(spark, d), items(spark, d), judged(spark, d))
+    offline.build(spark, *inputs, at)
+    stages = Stages(spark, at)
+    got = offline.build(spark, *inputs, at, stages=stages)
+    assert not stages.made
+    row = lambda name, key, value: got[name].select(F.lit(name).alias("stage"), F.col(key).alias("id"), value.alias("value"))
+    counted = got["chunks"].groupBy("doc_id").agg(F.count("*").cast("string").alias("n")).select(F.lit("chunks").alias("stage"), F.col("doc_id").alias("id"), F.col("n").alias("value"))
+    return row("docs", "doc_id", F.lit("")).unionByName(row("queries", "qid", F.col("split"))).unionByName(row("qrels", "qid", F.col("doc_id"))).unionByName(counted)
+
+
 @query(f"WITH {sql_ablation(True)} SELECT a.metric, a.k, a.value AS before, b.value AS after, round(b.value - a.value, 6) AS delta FROM met a JOIN met b USING (metric, k) WHERE a.stage = 'MultiHybrid+BiEncoder' AND b.stage = 'FullPipeline'")
 def stage_deltas(spark, d):
     return E.deltas(_ablation(spark, d, True), "MultiHybrid+BiEncoder", "FullPipeline")
