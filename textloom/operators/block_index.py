@@ -31,7 +31,8 @@ def zones(postings: DataFrame, size: int) -> DataFrame:
     """(chunk_id, zone): chunks in order of the smallest hash among their terms, ``size`` to a zone.
 
     Places come from counts by the hash's first 16 bits, and windows within these; chunks that share a
-    hash, however many, are told apart by a hash of their ids. Only sums of 65,536 ranges meet in one task.
+    hash, however many, are dealt over 64 ranges by a hash of their ids. Only sums meet in one task, at most
+    65,536 times 64 of them at any size.
     """
     least = postings.groupBy("chunk_id").agg(F.min(F.xxhash64("term")).alias("h"))
     least = least.withColumn("p", F.struct(F.shiftright("h", 48).alias("a"), F.pmod(F.xxhash64("chunk_id"), F.lit(64)).alias("b")))

@@ -93,7 +93,8 @@ def encode(df: DataFrame, make: Callable, keys: list[str], text: str, name: str
 def encode_parts(df: DataFrame, make: Callable, keys: list[str], text: str, path: str, parts: int = 16, **options) -> DataFrame:
     """``encode`` to ``path``, a folder for each of ``parts`` hash ranges of the keys; complete ones are kept.
 
-    Each part reads df's rows of its range: df should be a written table. What a part holds follows from
+    Each part reads df's rows of its range: df should be a written table, and ``parts`` as few as make a broken
+    run's loss bearable, for df is read once a part. What a part holds follows from
     its rows alone, so a run with other tables, models or numbers of parts needs another path.
     """
     spark, part = df.sparkSession, F.pmod(F.xxhash64(*keys), F.lit(parts))
