@@ -77,3 +77,39 @@ def test_empty_and_untrained(spark):
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = score_texts(spark.createDataFrame([(only, "a b", 0.0)], SCHEMA)).first()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0)
+
+
+@pytest.mark.parametrize("discount", [1.0, 0.75, 0.0])
+def test_traversal_follows_arcs_and_failures(discount):
+    """Sums of a traversal, in lanes of any length, are those of walking word by word."""
+    import numpy as np
+
+    from textloom.llm.ngram_automaton import Automaton
+
+    rng = np.random.default_rng(2)
+    n, sizes = 9, np.array([1, 7, 0, 23, 4, 1]) + 1
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    ids = rng.integers(1, n, sizes.sum())
+    ids[starts + sizes - 1] = 0  # the end token
+    c = np.array([5.0, 9, 0, 3, 3, 2, 0, 1, 4])  # two words were never seen
+    word = (c + 1) / (c.sum() + 8)
+    pairs = np.unique(rng.integers(0, n * n, 40))
+    counts = rng.integers(0, 3, len(pairs)).astype(float)
+    types = np.bincount(pairs[counts > 0] // n, minlength=n).astype(float)
+    known = dict(zip(pairs.tolist(), counts.tolist()))
+    walked = []
+    for a, k in zip(starts, sizes):
+        state, total = 0, 0.0
+        for w in ids[a : a + k].tolist():
+            with np.errstate(divide="ignore"):
+                if c[state] == 0:
+                    total += np.log10(word[w])
+                elif known.get(state * n + w, 0.0) > discount:
+                    total += np.log10((known[state * n + w] - discount) / c[state] + discount * types[state] / c[state] * word[w])
+                else:
+                    total += np.log10(discount * types[state] / c[state]) + np.log10(word[w])
+            state = w
+        walked.append(total)
+    automaton = Automaton(np, c, types, word, pairs, counts, discount)
+    for lane in (1, 3, 2048):
+        assert np.allclose(automaton.traverse(np, ids, starts, 0, lane), walked)

@@ -3,7 +3,8 @@
 States are the root and one for each word that training has seen; the state after a word knows its
 continuations. One left-to-right traversal of a text carries the state: a word with an arc out of
 the state adds the arc's log-probability; without one, the state's backoff weight is added and the
-failure arc followed to the root, which has an arc for every word. The model is
+failure arc followed to the root, which has an arc for every word. All texts of a block are traversed
+at once, a word of each at a time. The model is
 P(w | h) = max(c(hw) - D, 0) / c(h) + D * types(h) / c(h) * P(w), a proper distribution at each state,
 over the smoothed words P(w) = (c(w) + 1) / (N + V + 1). With D = 1, what was seen once makes no arc.
 
@@ -131,11 +132,61 @@ class Block:
         types[spread] = types_of_heavy[self.heavy[spread]]
         c, types, arcs = c.astype(float), types.astype(float), arcs.astype(float)
         word = (c + 1) / (total + distinct + 1)
-        before, after = c[self.first], word[self.second]
-        state = np.maximum(before, 1)  # unseen words lead to the root
-        p = np.where(before > 0, np.maximum(arcs - discount, 0) / state + discount * types[self.first] / state * after, after)
+        automaton = Automaton(np, c, types, word, self.pairs, arcs, discount)
+        end = int(np.flatnonzero(self.hashes == np.uint64(_end()))[0])
         at = self.starts
-        return np.add.reduceat((c > 0)[self.ids].astype(np.int64), at), np.add.reduceat(np.log10(word)[self.ids], at), np.add.reduceat(np.log10(p)[self.pair_of], at)
+        return np.add.reduceat((c > 0)[self.ids].astype(np.int64), at), np.add.reduceat(np.log10(word)[self.ids], at), automaton.traverse(np, self.ids, at, end)
+
+
+class Automaton:
+    """States 0 to n - 1 for a block's words, of which unseen ones are the root, n.
+
+    arcs: keys state * (n + 1) + word, in order, with their log10 weights; fail: the log10 weight of each
+    state's failure arc to the root; root: the root's arcs, one for each word; then: the state that a word leads to.
+    """
+
+    def __init__(self, np, c, types, word, pairs, counts, discount: float):
+        n = len(c)
+        first, second = pairs // n, pairs % n
+        there = (c[first] > 0) & (counts > discount)
+        first, second, counts = first[there], second[there], counts[there]
+        self.n, self.root = n, np.log10(word)
+        self.arcs = first * (n + 1) + second
+        self.weights = np.log10((counts - discount) / c[first] + discount * types[first] / c[first] * word[second])
+        seen = np.maximum(c, 1)
+        with np.errstate(divide="ignore"):  # without a discount nothing is left for words without an arc
+            self.fail = np.append(np.where(c > 0, np.log10(discount * types / seen), 0.0), 0.0)
+        self.then = np.where(c > 0, np.arange(n), n)
+
+    def step(self, np, state, word):
+        """(log10 weight, next state) of a word in a state: along its arc, or else along the failure arc and the root's."""
+        key = state * (self.n + 1) + word
+        at = np.minimum(np.searchsorted(self.arcs, key), max(len(self.arcs) - 1, 0))
+        arc = self.arcs[at] == key if len(self.arcs) else np.zeros(len(key), bool)
+        along = self.weights[at] if len(self.arcs) else 0.0
+        return np.where(arc, along, self.fail[state] + self.root[word]), self.then[word]
+
+    def traverse(self, np, ids, starts, end: int, lane: int = 2048):
+        """The sum of each text's weights; texts begin in the state of the end token.
+
+        Texts of more than ``lane`` words go on in several lanes, each from the state that the word before it
+        leads to, so that a block has no more steps than that.
+        """
+        sizes = np.diff(np.append(starts, len(ids)))
+        number = -(-sizes // lane)
+        text = np.repeat(np.arange(len(starts)), number)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
+        begin = starts[text] + nth * lane
+        length = np.minimum(sizes[text] - nth * lane, lane)
+        state = self.then[np.where(nth == 0, end, ids[np.maximum(begin - 1, 0)])]
+        order = np.argsort(-length, kind="stable")
+        begin, length, state, total = begin[order], length[order], state[order], np.zeros(len(order))
+        active = np.searchsorted(-length, -np.arange(lane), side="left")  # lanes with more than so many words
+        for k in range(int(length[0])):
+            m = active[k]
+            weight, state[:m] = self.step(np, state[:m], ids[begin[:m] + k])
+            total[:m] += weight
+        return np.bincount(text[order], total, len(starts))
 
 
 def _end() -> int:
