@@ -24,13 +24,12 @@ NOTHING = 1e-12
 
 @dataclass
 class Whitening:
-    """What ``fit`` has learnt: rows, sums of the integers, components as columns, their variances, the total variance."""
+    """What ``fit`` has learnt: rows, sums of the integers, components as columns, their variances."""
 
     n: int
     sums: list[int]
     components: object
     variances: object
-    total: float
 
 
 def _finite(df: DataFrame, vector: str) -> DataFrame:
@@ -91,9 +90,8 @@ def fit(vectors: DataFrame, vector: str = "embedding", scale: int = 1024, shift:
     from pyspark.mllib.util import MLUtils
 
     n, sums = sums_of(vectors, vector, scale, shift)
-    none = Whitening(n, sums, np.zeros((len(sums), 0)), np.zeros(0), 0.0)
     if not n:
-        return none
+        return Whitening(n, sums, np.zeros((len(sums), 0)), np.zeros(0))
 
     def centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -103,19 +101,16 @@ def fit(vectors: DataFrame, vector: str = "embedding", scale: int = 1024, shift:
                 d = _centred(np, _matrix(np, b.column(0), scale, shift), n, sums)
                 flat = pa.array((d.astype(np.float64) / n).reshape(-1), pa.float64())
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1) * d.shape[1], pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([rows, pa.array(_squares(np, d), pa.decimal128(38, 0))], ["row", "deviation"])
+                yield pa.RecordBatch.from_arrays([rows], ["row"])
 
-    centred = vectors.select(vector).mapInArrow(centre, "row array<double>, deviation decimal(38,0)")
-    total = centred.agg(F.sum("deviation")).first()[0]
-    if not total:
-        return none
+    centred = vectors.select(vector).mapInArrow(centre, "row array<double>")
     rows = MLUtils.convertVectorColumnsFromML(centred.select(array_to_vector("row").alias("row")), "row")
     found = RowMatrix(rows, n, len(sums)).computeSVD(len(sums), False)
     components, variances = found.V.toArray(), found.s.toArray() ** 2 / n
     some = variances > NOTHING * variances[0]
     components, variances = components[:, some], variances[some]
     signs = np.sign(components[np.abs(components).argmax(0), np.arange(components.shape[1])])
-    return Whitening(n, sums, components * signs, variances, int(total) / n**3)
+    return Whitening(n, sums, components * signs, variances)
 
 
 def whiten(df: DataFrame, components: int = 8, vector: str = "embedding", key: str = "vec_id", scale: int = 1024, shift: int = 100_000) -> DataFrame:
@@ -139,7 +134,7 @@ def whiten(df: DataFrame, components: int = 8, vector: str = "embedding", key: s
     rows = rows.where(F.size("_vector") == (longest.d if longest else 0))
     model = fit(rows, "_vector", scale, shift)
     k = min(components, len(model.variances))
-    n, sums, total = model.n, model.sums, model.total
+    n, sums = model.n, model.sums
     basis = np.asarray(model.components)[:, :k] / np.sqrt(np.asarray(model.variances)[:k])
     shared = spark.sparkContext.broadcast(basis.reshape(-1).tolist())  # dimensions x components numbers
 
@@ -158,6 +153,6 @@ def whiten(df: DataFrame, components: int = 8, vector: str = "embedding", key: s
     out = Stage(spark, "whitening").put(rows.select("_key", "_vector").mapInArrow(project, f"_key {kind}, deviation decimal(38,0), whitened array<double>"))
     w = [F.col("whitened")[i] for i in range(k)]
     wrong = [F.abs(F.covar_pop(w[i], w[j]) - float(i == j)) for i in range(k) for j in range(i + 1)]
-    error = out.agg(F.array_max(F.array(*wrong)).alias("e")).first()["e"] if wrong else None
-    shares = F.array(*[F.lit(float(e / total)) for e in model.variances[:k]]) if k else F.expr("cast(array() as array<double>)")
+    squares, error = out.agg(F.sum("deviation"), F.array_max(F.array(*wrong)) if wrong else F.lit(None).cast("double")).first()
+    shares = F.array(*[F.lit(float(e) * n**3 / int(squares)) for e in model.variances[:k]]) if k else F.expr("cast(array() as array<double>)")
     return out.select(F.col("_key").alias(key), F.lit(n).cast("long").alias("n"), "deviation", "whitened", shares.alias("explained"), F.lit(error).cast("double").alias("identity_error"))
