@@ -55,6 +55,10 @@ def test_graph_on_the_tables(spark, tmp_path):
     queries = v.where("cast(chunk_id as int) % 100 = 0").withColumnRenamed("chunk_id", "qid")
     index = GraphIndex.fit(v, f"file://{tmp_path}/g", Graph(links=16, beam=48, entries=32))
     assert recall(index, v, queries, 10)[0] >= 0.9
+    row = index.shards.first()
+    links, data = np.frombuffer(row.links, np.int32).reshape(row.nodes, -1), np.frombuffer(row.vectors, np.float32).reshape(row.nodes, -1)
+    looked = graph_index.beams(np, np.array([queries.first().embedding], float), data, links, 48, 32, 4)[2]
+    assert 48 <= looked[0] < 0.6 * row.nodes
 
 
 def test_graph_edges(spark, tmp_path):

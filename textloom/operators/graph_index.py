@@ -214,7 +214,7 @@ def _walk(shared, k: int, settings: Graph):
                 qid, chunk, score = [], [], []
                 for at in range(0, len(queries), 256):
                     q = queries[at : at + 256]
-                    nodes, scores = beams(np, q, v, links, beam, entries, ahead)
+                    nodes, scores, _ = beams(np, q, v, links, beam, entries, ahead)
                     for n, (found, own) in enumerate(zip(nodes, scores)):
                         own = np.round(np.where(found >= 0, v[found].astype(float) @ q[n], -np.inf), 6)
                         best = np.argsort(-own, kind="stable")
@@ -233,7 +233,7 @@ def _walk(shared, k: int, settings: Graph):
 
 
 def beams(np, q, v, links, beam: int, entries: int, ahead: int):
-    """(nodes, scores) of each query, ``beam`` columns, -1 where a beam isn't full."""
+    """(nodes, scores, looked): of each query ``beam`` columns, -1 where a beam isn't full, and how many nodes it measured."""
     rows, wide = np.arange(len(q))[:, None], min(beam, len(v))
     start = np.unique(np.linspace(0, len(v) - 1, min(entries, len(v))).astype(int))
     seen = np.zeros((len(q), len(v) + 1), bool)  # the last column stands for no node
@@ -264,4 +264,4 @@ def beams(np, q, v, links, beam: int, entries: int, ahead: int):
         seen[rows, new] = True
         own = np.einsum("qd,qnd->qn", q, v[new])
         take(new, np.where(new >= 0, own, -np.inf))
-    return nodes, scores
+    return nodes, scores, seen[:, :-1].sum(axis=1)
