@@ -110,6 +110,6 @@ def test_traversal_follows_arcs_and_failures(discount):
                     total += np.log10(discount * types[state] / c[state]) + np.log10(word[w])
             state = w
         walked.append(total)
-    automaton = Automaton(np, c, types, word, pairs, counts, discount)
+    automaton = Automaton(np, c, types, word, pairs // n, pairs % n, counts, discount)
     for lane in (1, 3, 2048):
         assert np.allclose(automaton.traverse(np, ids, starts, 0, lane), walked)

@@ -132,7 +132,8 @@ class Block:
         types[spread] = types_of_heavy[self.heavy[spread]]
         c, types, arcs = c.astype(float), types.astype(float), arcs.astype(float)
         word = (c + 1) / (total + distinct + 1)
-        automaton = Automaton(np, c, types, word, self.pairs, arcs, discount)
+        automaton = Automaton(np, c, types, word, self.first, self.second, arcs, discount)
+        del self.pairs, self.pair_of, self.pair_bucket, self.first, self.second, self.pairs_in, self.spread_in, arcs  # what counting alone needs
         end = int(np.flatnonzero(self.hashes == np.uint64(_end()))[0])
         at = self.starts
         return np.add.reduceat((c > 0)[self.ids].astype(np.int64), at), np.add.reduceat(np.log10(word)[self.ids], at), automaton.traverse(np, self.ids, at, end)
@@ -145,10 +146,8 @@ class Automaton:
     state's failure arc to the root; root: the root's arcs, one for each word; then: the state that a word leads to.
     """
 
-    def __init__(self, np, c, types, word, pairs, counts, discount: float):
-        n = len(c)
-        first, second = pairs // n, pairs % n
-        there = (c[first] > 0) & (counts > discount)
+    def __init__(self, np, c, types, word, first, second, counts, discount: float):
+        n, there = len(c), (c[first] > 0) & (counts > discount)
         first, second, counts = first[there], second[there], counts[there]
         self.n, self.root = n, np.log10(word)
         self.arcs = first * (n + 1) + second
