@@ -56,11 +56,14 @@ def judged(spark: SparkSession, d: str) -> DataFrame:
     run = lambda i: F.slice("t", i, 8)
     places = F.when(F.size("t") >= 8, F.sequence(F.lit(1), F.size("t") - 7))
     own = items(spark, d)
-    # a row for each run holds its own words alone; runs of equal hash are compared word by word
-    runs = lambda df, key, text: df.select(key, T.tokens(F.col(text)).alias("t")).select(key, F.inline(F.transform(places, lambda i: F.struct(F.xxhash64(run(i)).alias("h"), run(i).alias("g")))))
-    a, b = runs(own, "qid", "query"), runs(docs(spark, d), "doc_id", "text")
+    a = own.select("qid", T.tokens(F.col("query")).alias("t")).select("qid", F.inline(F.transform(places, lambda i: F.struct(F.xxhash64(run(i)).alias("h"), run(i).alias("g")))))
+    b = docs(spark, d).select("doc_id", T.tokens(F.col("text")).alias("t")).select("doc_id", F.posexplode(F.transform(places, lambda i: F.xxhash64(run(i)))).alias("p", "h"))
     a = F.broadcast(a) if own.count() <= 10_000 else a  # few items are sent to the documents
-    return b.join(a, ["h", "g"]).select("qid", "doc_id").distinct().withColumn("rel", F.lit(1))
+    hits = b.join(a, "h").groupBy("doc_id").agg(F.collect_set(F.struct("p", "qid", "g")).alias("hits"))
+    # runs of equal hash are compared word by word, in the documents that have any
+    both = docs(spark, d).join(hits, "doc_id").select("doc_id", "hits", T.tokens(F.col("text")).alias("t"))
+    same = F.filter("hits", lambda x: F.slice("t", x["p"] + 1, 8) == x["g"])
+    return both.select("doc_id", F.explode(F.array_distinct(F.transform(same, lambda x: x["qid"]))).alias("qid")).select("qid", "doc_id").distinct().withColumn("rel", F.lit(1))
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
