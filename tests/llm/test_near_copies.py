@@ -81,7 +81,7 @@ def test_recall_of_made_copies(spark):
 def test_recall_of_random_words(spark):
     """The same on words drawn evenly, which share no frequent ones: the hardest for fingerprints."""
     pairs, hit = linked(spark, variants(40))
-    assert pairs > 300 and hit >= 0.85 * pairs
+    assert pairs > 300 and hit >= 0.9 * pairs
 
 
 def test_recall_on_documents(spark):

@@ -455,6 +455,25 @@ print("FOUND", leaks(docs, spark.createDataFrame([(3, "two three four five six")
 # ---- neighbours
 
 
+def test_stage_drops_its_own_tables_alone(spark):
+    """A frame that the stage did not write has nothing to drop, whatever the id that Python gives it."""
+    import gc
+
+    from textloom.llm.common import Stage
+
+    stage = Stage(spark, "test")
+    derived = [stage.put(spark.range(k)).select("id") for k in range(1, 6)]
+    gc.collect()
+    for _ in range(50):
+        stage.drop(spark.range(3))
+    assert [d.count() for d in derived] == [1, 2, 3, 4, 5]
+    a, b = stage.put(spark.range(7)), stage.put(spark.range(8))
+    stage.keep_only(b)
+    assert b.count() == 8 and list(stage.frames.values()) == [b]
+    stage.drop(b)
+    assert not stage.frames
+
+
 def test_nearest_is_exact_here(spark):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(400, 12)).astype(np.float32)

@@ -47,7 +47,7 @@ class Stage:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
+        self.frames: dict[str, DataFrame] = {}  # by path; held, as the id of a frame that is gone may be another's
         atexit.register(self._close)
 
     def put(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
@@ -56,20 +56,24 @@ class Stage:
         w = df.write.mode("overwrite").option("compression", "zstd")
         (w.partitionBy(partition_by) if partition_by else w).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.frames[path] = out
         return out
 
+    def _path(self, frame: DataFrame) -> str | None:
+        return next((p for p, f in self.frames.items() if f is frame), None)
+
     def drop(self, *frames: DataFrame) -> None:
         for f in frames:
-            if path := self.paths.pop(id(f), None):
+            if path := self._path(f):
+                del self.frames[path]
                 _delete(self.spark, path)
 
     def keep_only(self, *frames: DataFrame) -> None:
-        kept = {self.paths[id(f)] for f in frames}
+        kept = {self._path(f): f for f in frames}
         for i in range(self.n):
             if (path := f"{self.root}/{i}") not in kept:
                 _delete(self.spark, path)
-        self.paths = {id(f): self.paths[id(f)] for f in frames}
+        self.frames = kept
 
     def _close(self) -> None:
         try:

@@ -63,7 +63,7 @@ def mix(df: DataFrame, weights=(1, 2, 3), cap: float = 3.0, tilts=(0.5, 0.0, -0.
     start cut within its document.
 
     Cumulative sizes are built in two levels (hash prefixes of ``bucket_digits`` hex digits, then rows
-    within a prefix), so that no task holds a whole source.
+    within a prefix), so that no task holds a whole source unless its rows share one doc_id.
 
     Null or empty text: size 0, nothing taken. Null source: a source of its own, last in order. Null
     doc_id: ordered as empty text. Repeated rows are mixed as rows of their own; rows that tie in
