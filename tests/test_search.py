@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import bm25
+from textloom.operators import bm25, fusion
 from textloom.operators.ranking import Best
-from textloom.plans import catalog
+from textloom.plans import catalog, retrieval
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -65,3 +65,23 @@ def test_what_an_index_holds_is_not_read_by_others(spark):
         assert "InMemoryTableScan" not in plan(catalog.corpus_statistics(spark, TABLES)) and "InMemoryTableScan" not in plan(catalog.indexed(spark, TABLES)[1].postings)
     finally:
         catalog.release()
+
+
+def test_results_are_looked_up_without_shuffling_the_table(spark):
+    """Few results are sent to the chunks; an unknown chunk stays, without a text."""
+    rows = spark.range(50_000).selectExpr("concat('c', id) as chunk_id", "id as doc_id", "repeat(cast(id as string), 20) as chunk_text")
+    results = spark.createDataFrame([("q", "c7", 2.0), ("q", "c8", 1.0), ("q", "gone", 0.5)], "qid string, chunk_id string, score double")
+    got = retrieval.enrich(results, rows)
+    assert sorted((r.chunk_id, r.doc_id, len(r.chunk_text)) for r in got.collect()) == [("c7", "7", 20), ("c8", "8", 20), ("gone", "", 0)]
+    assert "LeftSemi, BuildRight" in plan(got)
+    assert [r.doc_id for r in fusion.to_documents(results, rows).orderBy("rank").collect()] == ["7", "8", "gone"]
+
+
+def test_judgments_are_made_once(spark):
+    try:
+        first = catalog.judged(spark, TABLES)
+        assert catalog.judged(spark, TABLES) is first and "Join" not in plan(first)
+        catalog.release()
+        assert catalog.judged(spark, TABLES) is not first  # its table is gone
+    finally:
+        catalog.release()
