@@ -114,3 +114,12 @@ def test_blocks_with_keys_and_hot_terms(spark, tmp_path):
     keys = ["qid", "variant"]
     assert sorted(map(tuple, blocks.search(q, 5, keys).collect())) == sorted(map(tuple, index.search(q, 5, keys).collect()))
     assert blocks.blocks.agg(F.max("n")).first()[0] <= 4
+
+
+def test_graph_with_the_exact_check(spark, tmp_path):
+    """Beams alone miss neighbours here; the check adds them, scores and ranks like those of the exact search."""
+    v = vectors(spark, units(np.random.default_rng(6), 1500, 24))
+    queries = v.where("pmod(cast(substring(chunk_id, 2) as int), 20) = 3").withColumnRenamed("chunk_id", "qid")
+    index = GraphIndex.fit(v, f"file://{tmp_path}/g", Graph(shard=700, links=4, beam=10, entries=2, block=50))
+    assert recall(index, v, queries, 10)[0] < 1
+    assert sorted(map(tuple, index.search(queries, 10, exact=True).collect())) == sorted(map(tuple, dense.search(v, queries, 10).collect()))

@@ -146,9 +146,12 @@ class GraphIndex:
     def load(cls, spark: SparkSession, path: str, settings: Graph = Graph()) -> GraphIndex:
         return cls(spark.read.schema(ROW).parquet(path), settings)
 
-    def search(self, queries: DataFrame, k: int = 100) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 100, exact: bool = False) -> DataFrame:
         """(qid, chunk_id, score, rank): for each query of (qid, embedding) the largest inner products found; approximate.
 
+        ``exact``: a check follows the beams: what of a shard they left out is measured too, and what reaches the
+        k-th score found joins the list. It looks at every vector.
+
         Queries come in blocks of ``settings.block``, one held at a time; each block's lists are written before the next.
         """
         spark = self.shards.sparkSession
@@ -158,7 +161,7 @@ class GraphIndex:
         for b in range(blocks):
             rows = q.where(F.col("block") == b).orderBy("qid").collect()
             shared = spark.sparkContext.broadcast(([r.qid for r in rows], [r.v for r in rows]))
-            found = self.shards.mapInArrow(_walk(shared, k, self.settings), "qid string, chunk_id string, score double")
+            found = self.shards.mapInArrow(_walk(shared, k, self.settings, exact), "qid string, chunk_id string, score double")
             # an id with several vectors counts by its best
             got = top_k(found.groupBy("qid", "chunk_id").agg(F.max("score").alias("score")), ["qid"], k)
             if blocks > 1:
@@ -195,7 +198,7 @@ def _pack(width: int):
     return pack
 
 
-def _walk(shared, k: int, settings: Graph):
+def _walk(shared, k: int, settings: Graph, exact: bool = False):
     """Beams over a shard's graph: all queries of the block go on together, each from its best node that has not been left yet."""
     beam, entries, ahead = max(settings.beam, k), settings.entries, settings.ahead
 
@@ -215,10 +218,16 @@ def _walk(shared, k: int, settings: Graph):
                 for at in range(0, len(queries), 256):
                     q = queries[at : at + 256]
                     nodes, scores, _ = beams(np, q, v, links, beam, entries, ahead)
+                    every = np.round(q @ v.T.astype(float), 6) if exact else None
                     for n, (found, own) in enumerate(zip(nodes, scores)):
                         own = np.round(np.where(found >= 0, v[found].astype(float) @ q[n], -np.inf), 6)
                         best = np.argsort(-own, kind="stable")
                         limit = own[best[min(k, len(best)) - 1]]
+                        if exact:
+                            found = np.nonzero(every[n] >= limit - 1e-6)[0]  # two ways to add up differ by rounding
+                            own = every[n][found]
+                            best = np.argsort(-own, kind="stable")
+                            limit = own[best[min(k, len(best)) - 1]]
                         for f, s in zip(found[best], own[best]):
                             if f < 0 or s < limit:  # ties with the k-th go on, so that ids decide
                                 break
