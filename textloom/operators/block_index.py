@@ -4,24 +4,26 @@ Chunks that have a word in common (the one with the smallest hash) are neighbour
 cut into zones of a few chunks. A block holds a term's postings within a zone and their largest impact.
 A query's bound for a zone is the sum of its terms' largest impacts there: no chunk of the zone scores
 higher. The zones with the largest bounds are scored first; the k-th score found there is the query's
-threshold, and zones whose bound lies below it are never read. In the others, only blocks of the query's
-stronger terms are read at first: chunks that hold none of them can't reach the threshold, as the weaker
-terms' largest impacts together lie below it. The weaker terms' blocks, which are the long ones, are read
-where a chunk is left that could still reach it. All that ends up in a list is scored in full, so the
-lists are exact.
+threshold, and only zones whose bound reaches the threshold of a query are read. All that ends up in a
+list is scored in full, so the lists are exact.
+
+Bounds and scores are worked out zone by zone and chunk by chunk for a whole block of queries, as in
+``bm25``; no row of a query and a zone is ever shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..config import Bm25
-from .bm25 import BROADCAST_TERMS, Bm25Index
-from .ranking import top_k
+from ..sources.scratch import Scratch
+from .bm25 import FOUND, SLAB, Bm25Index, grouped, score_rows, searched, term_frequencies
+from .ranking import Best, top_k
 
 #: Scores are rounded to six digits before they are ranked; a bound must lie below a threshold by more than that.
 SLACK = 1e-5
@@ -42,85 +44,141 @@ def zones(postings: DataFrame, size: int) -> DataFrame:
     return least.join(before, "p").select("chunk_id", F.floor(place / size).cast("long").alias("zone"))
 
 
+def _slabs(weights, t: pa.Table, starts, columns: tuple[int, ...]):
+    """(first group, matrices of terms and groups, one a column) of a table of groups (group, code, ...)."""
+    import numpy as np
+
+    code, place = t.column(1).to_numpy().astype(np.int64), np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows)))
+    values, step = [t.column(c).to_numpy().astype(float) for c in columns], max(1, SLAB // max(1, len(weights.terms)))
+    for a in range(0, len(starts), step):
+        m = min(step, len(starts) - a)
+        i, j = np.searchsorted(place, (a, a + m))
+        yield a, [np.bincount(code[i:j] * m + place[i:j] - a, weights=v[i:j], minlength=len(weights.terms) * m).reshape(-1, m) for v in values]
+
+
+def _bounds(shared, k: int):
+    """The zones of the largest bounds, from rows (zone, code, top), a zone's one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        weights = shared.value
+        best, used = Best(len(weights.lists), k), weights.used()
+        for t, starts in grouped(batches):
+            zone = t.column(0).to_numpy()[starts]
+            for a, (top, held) in _slabs(weights, t, starts, (2, 3)):
+                best.add(weights.matrix @ top, lambda i, a=a: zone[a + i].astype(object), used @ (held > 0) > 0)
+        query, item, score = best.lists()
+        yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(item.tolist(), pa.int64()), pa.array(score, pa.float64())], ["q", "zone", "score"])
+
+    return run
+
+
+def _wanted(shared, more):
+    """(zone, postings, scanned) from rows (zone, code, top, n): postings of all lists' terms, and of the lists that read the zone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        weights, (floor, first) = shared.value, more.value
+        used = weights.used()
+        for t, starts in grouped(batches):
+            zone = t.column(0).to_numpy()[starts]
+            out = [np.zeros(len(zone), np.int64) for _ in range(2)]
+            for a, (top, n) in _slabs(weights, t, starts, (2, 3)):
+                each, read = used @ n, weights.matrix @ top >= floor[:, None]
+                for i, z in enumerate(zone[a : a + top.shape[1]].tolist()):
+                    read[first.get(z, []), i] = True
+                out[0][a : a + top.shape[1]], out[1][a : a + top.shape[1]] = each.sum(0).round(), (each * read).sum(0).round()
+            yield pa.RecordBatch.from_arrays([pa.array(zone, pa.int64()), *map(pa.array, out)], ["zone", "postings", "scanned"])
+
+    return run
+
+
 @dataclass
 class BlockIndex:
-    """blocks (term, zone, top, n, postings array of (chunk_id, impact)); an impact includes the term's idf."""
+    """blocks (term, zone, top, n, postings array of (chunk_id, impact)), terms (term, idf); a posting counts its impact times the term's idf."""
 
     blocks: DataFrame
     zone: int
+    terms: DataFrame
 
     @classmethod
-    def blocks_of(cls, index: Bm25Index, zone: int = 4) -> DataFrame:
+    def blocks_of(cls, index: Bm25Index, zone: int = 4, parts: int | None = None) -> DataFrame:
+        """A zone's chunks are brought into one task before their words are counted, so blocks are put together where they are."""
         s = index.settings
         norm = s.k1 * (1 - s.b + s.b * F.col("dl") / F.lit(index.avgdl or 1.0))
-        impact = F.col("idf") * F.col("tf") * (s.k1 + 1) / (F.col("tf") + norm)
-        p = index.postings.join(zones(index.postings, zone), "chunk_id").join(index.terms.select("term", "idf"), "term").select("term", "zone", "chunk_id", impact.alias("impact"))
-        by = p.groupBy("term", "zone").agg(F.max("impact").alias("top"), F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("chunk_id", "impact"))).alias("postings"))
-        return by
+        impact = F.col("tf") * (s.k1 + 1) / (F.col("tf") + norm)
+        parts = parts or int(index.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        places = zones(index.postings, zone)
+        if index.chunks is None:
+            p = index.postings.join(places, "chunk_id").repartition(parts, "zone")
+        else:
+            p = term_frequencies(index.chunks.join(places, "chunk_id").repartition(parts, "zone"), ("zone",))
+        p = p.select("term", "zone", "chunk_id", impact.alias("impact"))
+        return p.groupBy("term", "zone").agg(F.max("impact").alias("top"), F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("chunk_id", "impact"))).alias("postings"))
 
     @classmethod
     def fit(cls, index: Bm25Index, path: str, zone: int = 4, parts: int | None = None) -> BlockIndex:
-        """The blocks of an index, written to ``path`` sorted by term and zone: look-ups prune files and row groups, and bounds read no postings."""
-        spark = index.postings.sparkSession
-        parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        blocks = cls.blocks_of(index, zone)
-        blocks.repartitionByRange(parts, "term", "zone").sortWithinPartitions("term", "zone").write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return cls.load(spark, path, zone)
+        """The blocks of an index, written to ``path``, the zones of a part sorted by term: bounds read no postings."""
+        write = lambda df: df.write.mode("overwrite").option("compression", "zstd")
+        write(cls.blocks_of(index, zone, parts).sortWithinPartitions("term", "zone")).parquet(f"{path}/blocks")
+        write(index.terms.select("term", "idf")).parquet(f"{path}/terms")
+        return cls.load(index.postings.sparkSession, path, zone)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, zone: int = 4) -> BlockIndex:
-        return cls(spark.read.parquet(path), zone)
-
-    def _terms(self, queries: DataFrame, keys: list[str]) -> DataFrame:
-        """(keys, term, qtf); queries: (keys, tokens)."""
-        terms = queries.select(*keys, F.explode("tokens").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("qtf"))
-        small = queries.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0] <= BROADCAST_TERMS
-        return F.broadcast(terms) if small else terms
-
-    def _hits(self, terms: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-        """(keys, zone, chunk_id, part): the impacts of terms in the wanted (keys, zone)."""
-        hits = self.blocks.select("term", "zone", "postings").join(terms, "term").join(wanted, [*keys, "zone"])
-        return hits.select(*keys, "zone", "qtf", F.inline("postings")).select(*keys, "zone", "chunk_id", (F.col("qtf") * F.col("impact")).alias("part"))
-
-    def passes(self, queries: DataFrame, k: int = 100, keys: list[str] | None = None, keep=DataFrame.persist) -> dict[str, DataFrame]:
-        """What a search reads, step by step; ``keep`` holds what several steps read, until the caller lets go.
-
-        first: (keys, zone) that are read whole; scored: their chunks' scores; strong and weak: the queries'
-        terms; later: (keys, zone) whose bound reaches the threshold; left: (keys, zone, chunk_id, part) that
-        could still reach it after the strong terms; rest: their (keys, zone).
-        """
-        keys = keys or ["qid"]
-        terms, most = self._terms(queries, keys), F.col("qtf") * F.col("top")
-        tops = keep(self.blocks.select("term", "zone", "top").join(terms, "term").select(*keys, "term", "zone", most.alias("most"), "qtf"))
-        bounds = keep(tops.groupBy(*keys, "zone").agg(F.sum("most").alias("bound")))
+        return cls(spark.read.parquet(f"{path}/blocks"), zone, spark.read.parquet(f"{path}/terms"))
+
+    def _by_zone(self, codes: DataFrame) -> DataFrame:
+        """(zone, code, top, n) of a block's terms, a zone's rows one after the other."""
+        own = self.blocks.select("term", "zone", "top", "n").join(F.broadcast(codes), "term").select("zone", "code", "top", "n")
+        return own.repartition("zone").sortWithinPartitions("zone")
+
+    def _scores(self, shared, k: int, codes: DataFrame, zones: DataFrame) -> DataFrame:
+        """Rows of ``FOUND`` from the blocks of some zones; every chunk there is scored in full."""
+        own = self.blocks.select("term", "zone", "postings").join(F.broadcast(codes), "term").join(zones, "zone", "left_semi")
+        own = own.select("code", F.inline("postings")).select("chunk_id", "code", "impact")
+        return own.repartition("chunk_id").sortWithinPartitions("chunk_id").mapInArrow(score_rows(shared, k), FOUND)
+
+    def _read(self, shared, k: int, codes: DataFrame, scratch: Scratch) -> DataFrame:
+        """(zone, postings, scanned) for a block of queries."""
+        import numpy as np
+
+        spark, lists = self.blocks.sparkSession, len(shared.value.lists)
         # twice the zones that k chunks fill: more than k of their chunks hold a term of the query
-        first = keep(top_k(bounds, keys, 2 * -(-k // self.zone), item="zone", score="bound").select(*keys, "zone"))
-        scored = keep(self._hits(terms, first, keys).groupBy(*keys, "chunk_id").agg(F.round(F.sum("part"), 6).alias("score")))
-        floor = keep(top_k(scored, keys, k).groupBy(*keys).agg((F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(-1.0)) - SLACK).alias("floor")))
-        later = keep(bounds.join(floor, keys).where("bound >= floor").select(*keys, "zone", "floor").join(first, [*keys, "zone"], "left_anti"))
-        best = tops.groupBy(*keys, "term", "qtf").agg(F.max("most").alias("most")).join(floor, keys)
-        together = F.sum("most").over(W.partitionBy(*keys).orderBy("most", "term").rowsBetween(W.unboundedPreceding, 0))
-        ranked = keep(best.withColumn("strong", together >= F.col("floor")).select(*keys, "term", "qtf", "strong"))
-        strong, weak = ranked.where("strong").drop("strong"), ranked.where(~F.col("strong")).drop("strong")
-        parts = self._hits(strong, later.select(*keys, "zone"), keys).groupBy(*keys, "zone", "chunk_id").agg(F.sum("part").alias("part"))
-        more = tops.join(weak.select(*keys, "term"), [*keys, "term"], "left_semi").groupBy(*keys, "zone").agg(F.sum("most").alias("more"))
-        parts = parts.join(later, [*keys, "zone"]).join(more, [*keys, "zone"], "left")
-        left = keep(parts.where(F.col("part") + F.coalesce("more", F.lit(0.0)) >= F.col("floor")).select(*keys, "zone", "chunk_id", "part"))
-        return {"terms": terms, "first": first, "scored": scored, "later": later.select(*keys, "zone"), "strong": strong, "weak": weak, "left": left, "rest": left.select(*keys, "zone").distinct()}
-
-    def search(self, queries: DataFrame, k: int = 100, keys: list[str] | None = None, keep=DataFrame.persist) -> DataFrame:
+        most = 2 * -(-k // self.zone)
+        bounds = self._by_zone(codes).mapInArrow(_bounds(shared, most), "q int, zone long, score double")
+        first = scratch.put(top_k(bounds, ["q"], most, item="zone").select("q", "zone"))
+        scored = top_k(self._scores(shared, k, codes, first.select("zone").distinct()), ["q"], k)
+        floor, early = np.full(lists, -np.inf), {}
+        for q, n, least in scored.groupBy("q").agg(F.count("*"), F.min("score")).collect():
+            floor[q] = least - SLACK if n >= k else -np.inf
+        for q, z in first.collect():
+            early.setdefault(z, []).append(q)
+        return scratch.put(self._by_zone(codes).mapInArrow(_wanted(shared, spark.sparkContext.broadcast((floor, early))), "zone long, postings long, scanned long"))
+
+    def search(self, queries: DataFrame, k: int = 100, keys: list[str] | None = None) -> DataFrame:
         """(keys, chunk_id, score, rank) of the k best chunks, as ``Bm25Index.search`` returns them."""
-        keys = keys or ["qid"]
-        p = self.passes(queries, k, keys, keep)
-        rest = self._hits(p["weak"], p["rest"], keys).join(p["left"].select(*keys, "chunk_id"), [*keys, "chunk_id"], "left_semi")
-        whole = p["left"].unionByName(rest.select(*p["left"].columns)).groupBy(*keys, "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
-        return top_k(p["scored"].unionByName(whole), keys, k)
-
-    def scanned(self, queries: DataFrame, k: int = 100, keys: list[str] | None = None, keep=DataFrame.persist) -> DataFrame:
-        """One row: postings of the queries' terms, and how many of them a search reads."""
-        keys = keys or ["qid"]
-        p, sizes = self.passes(queries, k, keys, keep), self.blocks.select("term", "zone", "n")
-        read = lambda terms, wanted: sizes.join(terms, "term").join(wanted, [*keys, "zone"]).select("n")
-        count = lambda df, name: df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name))
-        scanned = read(p["terms"], p["first"]).union(read(p["strong"], p["later"])).union(read(p["weak"], p["rest"]))
-        return count(sizes.join(p["terms"], "term"), "postings").join(count(scanned, "scanned"))
+        scratch = Scratch(self.blocks.sparkSession, "zones")
+
+        def found(shared, k: int, codes: DataFrame) -> DataFrame:
+            read = self._read(shared, k, codes, scratch).where("scanned > 0")
+            return self._scores(shared, k, codes, read.select("zone"))
+
+        return searched(queries, self.terms, k, keys or ["qid"], found)
+
+    def scanned(self, queries: DataFrame, k: int = 100, keys: list[str] | None = None) -> DataFrame:
+        """One row: postings of the queries' terms, and how many of them lie in zones that their query's threshold or first look asks for."""
+        spark = self.blocks.sparkSession
+        scratch, parts = Scratch(spark, "zones"), []
+
+        def found(shared, k: int, codes: DataFrame) -> DataFrame:
+            parts.append(self._read(shared, k, codes, scratch))
+            return spark.createDataFrame([], FOUND)
+
+        searched(queries, self.terms, k, keys or ["qid"], found)
+        every = spark.createDataFrame([(0, 0)], "postings long, scanned long")
+        for p in parts:
+            every = every.unionByName(p.select("postings", "scanned"))
+        return every.agg(F.sum("postings").alias("postings"), F.sum("scanned").alias("scanned"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import Bm25
 from ..operators import bm25
+from ..sources.scratch import Scratch
 from ..sources.versions import POINTER, delete, read_json, replace_json
 
 
@@ -35,14 +36,15 @@ class SegmentedIndex:
         if any(s["first"] <= batch <= s["last"] for s in now):
             return
         path = f"{self.root}/segment-{batch:012d}"
-        held = chunks.select("chunk_id", "chunk_tokens").persist()
+        scratch = Scratch(self.spark, "segment")
+        held = scratch.put(chunks.select("chunk_id", "chunk_tokens"))
         try:
             n, words = held.agg(F.count("*"), F.coalesce(F.sum(F.size("chunk_tokens")), F.lit(0))).first()
             if n:
                 self._write(bm25.term_frequencies(held), bm25.document_frequencies(held), path)
             replace_json(self.spark, f"{self.root}/{POINTER}", [*now, {"path": path, "first": batch, "last": batch, "chunks": n, "words": words}])
         finally:
-            held.unpersist()
+            scratch.close()
 
     @staticmethod
     def _write(postings: DataFrame, terms: DataFrame, path: str) -> None:
