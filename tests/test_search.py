@@ -85,3 +85,48 @@ def test_judgments_are_made_once(spark):
         assert catalog.judged(spark, TABLES) is not first  # its table is gone
     finally:
         catalog.release()
+
+
+def test_candidates_are_scored_without_shuffling_the_corpus(spark):
+    """Vectors and texts of few candidates are looked up where they are; the rows are those of one plan."""
+    from textloom.operators import rerank
+
+    table = spark.range(50_000).selectExpr("concat('c', id) as chunk_id", "concat('word', id % 7, ' and ', id) as chunk_text", "array(float(id % 5), float(id % 3)) as embedding")
+    found = spark.createDataFrame([(q, f"c{i}", i + 1) for q in "ab" for i in range(40)] + [("a", "gone", 41)], "qid string, chunk_id string, rank int")
+    queries = spark.createDataFrame([("a", "word3"), ("b", "and 7")], "qid string, query string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.5]), ("b", [0.0, 1.0])], "qid string, embedding array<float>")
+    for make in (lambda **x: rerank.bi_encoder(found, vectors, table, 9, **x), lambda **x: rerank.cross_encoder(found, queries, table, k=9, **x)):
+        got = make(written=True)
+        assert "LeftSemi, BuildRight" in plan(got)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, make().collect())) != []
+
+
+def test_texts_in_place_of_tokens(spark):
+    """Frequencies and lists are the same from texts as from arrays; an empty chunk has no term."""
+    c = chunks(spark, [["b", "a", "b"], [], ["a", "é"], ["b", "b", "b"], ["", "x"][1:]]).withColumn("text", F.array_join("chunk_tokens", " "))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(bm25.text_frequencies(c)) == rows(bm25.document_frequencies(c)) == [("a", 2), ("b", 2), ("x", 1), ("é", 1)]
+    q = spark.createDataFrame([("1", ["a", "b"]), ("2", ["é", "none"])], "qid string, tokens array<string>")
+    own = bm25.Bm25Index.fit(c, texts=c.select("chunk_id", "text"))
+    assert "Generate" not in plan(own.terms) and rows(own.search(q, 3)) == rows(bm25.Bm25Index.fit(c.drop("text")).search(q, 3)) != []
+
+
+def test_shared_runs_are_those_of_a_join_by_words(spark, monkeypatch):
+    """No run crosses texts, unknown words part runs, and runs of one hash are told apart word by word."""
+    from textloom.operators import mining
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdef"), int(n))) for n in rng.integers(0, 12, 300)] + ["a b c d", "", "zz a b c zz", "a b"]
+    asked = [("q1", "a b c".split()), ("q2", "f e d c a".split()), ("q3", ["a"]), ("q4", "a b c".split())]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(999, None)], "doc_id long, text string")
+    items = spark.createDataFrame(asked, "qid string, words array<string>")
+    grams = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    want = sorted((q, i) for q, w in asked for i, t in enumerate(texts) if grams(w) & grams(t.split()))
+    monkeypatch.setattr(mining, "SOME", 7)
+    assert sorted(map(tuple, mining.shared_runs(docs, items, 3).collect())) == want and len(want) > 20
+    same = mining.Runs(asked, 3)
+    same.power = same.power * np.uint64(0)  # every run has one hash
+    same.key = same.key * np.uint64(0)
+    codes = np.array([same.terms.index(w) for w in "a b c".split()])
+    places, runs = same.found(codes, np.full(3, 3))
+    assert [same.qids[r] for r in runs] == [["q1", "q4"]] and "Exchange" not in plan(mining.shared_runs(docs, items, 3)).split("MapInArrow")[1]
