@@ -10,8 +10,12 @@ from ..functions import text as T
 
 
 def length_filter(docs: DataFrame, low: int = 10, high: int = 10_000) -> DataFrame:
-    """Documents of ``low`` to ``high`` words, with n_words."""
-    return docs.withColumn("n_words", T.word_count(F.col("text"))).where(F.col("n_words").between(low, high))
+    """Documents of ``low`` to ``high`` words, with n_words.
+
+    The count is generated, so that a text is cut into words once: a plain column is worked out again for each
+    bound of the filter and for the result.
+    """
+    return docs.withColumn("n_words", F.explode(F.array(T.word_count(F.col("text"))))).where(F.col("n_words").between(low, high))
 
 
 def with_id(df: DataFrame, column: str) -> DataFrame:
