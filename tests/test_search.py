@@ -67,6 +67,20 @@ def test_what_an_index_holds_is_not_read_by_others(spark):
         catalog.release()
 
 
+def test_queries_after_an_index_read_nothing_held_in_executors(spark):
+    """A held partition is read whole by one task: neither the index nor a query over chunks keeps any."""
+    names = ["encode_corpus", "inverse_document_frequencies", "enrich_results", "hybrid_rrf"]  # the others of an index share their steps
+    held = lambda: set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    catalog.release()
+    before = held()
+    try:
+        catalog.indexed(spark, TABLES)
+        found = {n: "InMemoryTableScan" in plan(catalog.QUERIES[n](spark, TABLES)) for n in names}
+        assert [n for n in names if found[n]] == [] and held() <= before
+    finally:
+        catalog.release()
+
+
 def test_results_are_looked_up_without_shuffling_the_table(spark):
     """Few results are sent to the chunks; an unknown chunk stays, without a text."""
     rows = spark.range(50_000).selectExpr("concat('c', id) as chunk_id", "id as doc_id", "repeat(cast(id as string), 20) as chunk_text")
